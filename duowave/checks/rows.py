@@ -25,7 +25,7 @@ def typed_items(t: Tables):
 
 def coded_items(t: Tables):
     """Items as codes of the default burden map."""
-    return scoring.apply_across(typed_items(t), ITEMS, lambda c: text.likert_code(c, text.BURDEN_CODES))
+    return scoring.code_items(typed_items(t), ITEMS, text.BURDEN_CODES)
 
 
 # --- SQL pieces -------------------------------------------------------------------------------

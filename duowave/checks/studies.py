@@ -12,8 +12,10 @@ from duowave.functions import tails, text
 from duowave.operators import (
     anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, summary, visits,
 )
+from duowave.plans.scratch import materialize
 
-KEYS = ["instrument", "patient"]
+# The key with most distinct values first: aggregation sorts by the keys in this order.
+KEYS = ["patient", "instrument"]
 INSTRUMENTS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -492,9 +494,10 @@ def ols_moments(t):
 
 
 def reports(t):
-    base = t["fx_baseline"]
+    base = materialize(outcomes(t), "baseline")
     return linear.predictor_report(
-        uni_lm_numeric(t), uni_lm_factor(t),
+        linear.uni_lm_numeric(base, ["score_pre", "delta"], ["acctbal", "n_orders"]),
+        linear.uni_lm_factor(base, ["score_pre", "delta"], ["segment", "region"]),
         linear.moderator_numeric(base, ["acctbal", "n_orders"], "score_pre", "score_post", "grp"),
         linear.moderator_factor(base, ["segment", "region"], "score_pre", "score_post", "grp"))
 
@@ -563,7 +566,7 @@ Z_TAIL = ("1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k:
 
 
 def responses(t):
-    rows = pairs(t)
+    rows = materialize(pairs(t), "pairs")
     return response.classify_response(rows, response.mcid_threshold(rows, RULES))
 
 

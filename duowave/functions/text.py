@@ -142,7 +142,11 @@ def code_lookup(key: Column, codes: Mapping[str, float]) -> Column:
 def likert_code(c: Column | str, codes: Mapping[str, float] | None = None, number_first: bool = True,
                 squish: bool = True) -> Column:
     """Numeric code of an answer text: its leading number if wanted, else its label's code."""
-    label = normalize_label(c, squish)
+    return label_code(normalize_label(c, squish), codes, number_first)
+
+
+def label_code(label: Column, codes: Mapping[str, float] | None = None, number_first: bool = True) -> Column:
+    """Numeric code of a normalised label; without ``codes`` only numbers count."""
     if codes is None:
         return parse_number(label)
     code = code_lookup(label, codes)

@@ -11,6 +11,7 @@ from duowave.functions.categories import CONTROL, GROUPS, INTERVENTION, signif
 from duowave.functions.tails import f_upper
 from duowave.operators.joins import anti_not_in
 from duowave.operators.ranking import top_changes_n, top_changes_ties
+from duowave.plans.scratch import materialize
 
 
 def side_by_side(moments: DataFrame, by: Sequence[str], columns: Sequence[str], group: str = "group") -> DataFrame:
@@ -71,6 +72,8 @@ def anova_report(anova: DataFrame) -> DataFrame:
 def anova_without_outliers(pairs: DataFrame, n: int = 2, ties: bool = False, by: Sequence[str] = ("instrument",),
                            patient: str = "patient", group: str = "group") -> DataFrame:
     """The group:time test on all pairs and without the ``n`` largest absolute changes per instrument."""
+    # Read three times below: all pairs, the largest changes, the rest.
+    pairs = materialize(pairs.select(*by, patient, group, "pre", "post", "change"), "pairs")
     if ties:
         top = top_changes_ties(pairs, n, by)
     else:

@@ -14,14 +14,20 @@ from duowave.operators.anova import side_by_side
 Z95 = 1.96
 
 
+def change_stats(pairs: DataFrame, by: Sequence[str], group: str, change: str, n_mode: str = "known") -> DataFrame:
+    """Count, mean and variance of change per group; the shared aggregation of all effect sizes."""
+    size = F.count(change) if n_mode == "known" else F.count("*")
+    return pairs.where(F.col(group).isin(*GROUPS)).groupBy(*by, group).agg(
+        size.alias("n"), F.avg(change).alias("m"), F.var_samp(change).alias("v")
+    )
+
+
 def effect_dz(pairs: DataFrame, by: Sequence[str] = ("instrument",), group: str = "group",
               change: str = "change") -> DataFrame:
     """Within-group effect: mean change over its standard deviation, with 95 % limits."""
-    stats = pairs.where(F.col(group).isin(*GROUPS)).groupBy(*by, group).agg(
-        F.count(change).alias("n"), F.avg(change).alias("m"), F.stddev_samp(change).alias("s")
-    )
-    usable = (F.col("n") >= 2) & (F.col("s") > 0)
-    dz = F.when(usable, F.try_divide("m", "s"))
+    stats = change_stats(pairs, by, group, change)
+    usable = (F.col("n") >= 2) & (F.col("v") > 0)
+    dz = F.when(usable, F.try_divide(F.col("m"), F.sqrt("v")))
     se = F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.pow("dz", F.lit(2)), 2 * (F.col("n") - 1)))
     return (
         stats.withColumn("dz", dz).withColumn("se", se)
@@ -36,10 +42,7 @@ def effect_hedges_g(pairs: DataFrame, by: Sequence[str] = ("instrument",), group
 
     ``n_mode="all"`` counts rows with an unknown change in the group sizes.
     """
-    size = F.count(change) if n_mode == "known" else F.count("*")
-    stats = pairs.where(F.col(group).isin(*GROUPS)).groupBy(*by, group).agg(
-        size.alias("n"), F.avg(change).alias("m"), F.var_samp(change).alias("v")
-    )
+    stats = change_stats(pairs, by, group, change, n_mode)
     wide = side_by_side(stats, by, ["n", "m", "v"], group)
     n_c, n_i = F.col("n_c"), F.col("n_i")
     usable = (n_c >= 2) & (n_i >= 2) & (F.col("v_c") > 0) & (F.col("v_i") > 0)

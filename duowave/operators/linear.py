@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duowave.functions.categories import (
@@ -17,6 +17,7 @@ from duowave.functions.categories import (
 from duowave.functions.tails import with_t_inference
 from duowave.functions.text import format_interval
 from duowave.operators.anova import side_by_side
+from duowave.operators.ranking import order_levels
 from duowave.operators.reshape import bind_results
 
 COEFFICIENT_COLUMNS = ["outcome", "predictor", "model", "term", "estimate", "std_error", "statistic", "p_value",
@@ -236,9 +237,6 @@ def predictor_report(*results: DataFrame) -> DataFrame:
 def forest_table(report: DataFrame, labels: Mapping[str, str] = TERM_LABELS,
                  moderator_labels: Mapping[str, str] = MODERATOR_LABELS) -> DataFrame:
     """Everything a forest plot shows: label, significance, interval text, order and x-range per report."""
-    from duowave.operators.ranking import order_levels
-    from duowave.operators.summary import value_range
-
     by = ["outcome", "model"]
     is_moderator = F.col("model") == "Moderator ANCOVA"
     side = interaction_side(F.col("term"))
@@ -249,9 +247,11 @@ def forest_table(report: DataFrame, labels: Mapping[str, str] = TERM_LABELS,
     shown = report.where(
         ~is_moderator | F.col("estimate").isNotNull() | F.col("conf_low").isNotNull() | F.col("conf_high").isNotNull()
     )
-    ranges = value_range(shown, "conf_low", "conf_high", by)
+    report_rows = Window.partitionBy(*by)
     labelled = shown.withColumns({
         "label": label, "sig": significance_label("p_value"),
         "stats_label": format_interval("estimate", "conf_low", "conf_high"),
+        "range_low": F.least(F.min("conf_low").over(report_rows), F.min("conf_high").over(report_rows)),
+        "range_high": F.greatest(F.max("conf_low").over(report_rows), F.max("conf_high").over(report_rows)),
     })
-    return order_levels(labelled, by).join(ranges, by)
+    return order_levels(labelled, by)

@@ -179,9 +179,7 @@ def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES,
         for v in incomplete:
             predictors = [x for x in variables if x != v]
             moments = cross_products(state.where(f"seen_{v}"), [*predictors, v], ["imp"])
-            coefficients = scratch.write(
-                _draw_coefficients(moments, len(predictors), seed, f"{round_}:{v}"), f"coefficients_{turn % 2}"
-            )
+            coefficients = _draw_coefficients(moments, len(predictors), seed, f"{round_}:{v}")
             # One row per copy.
             scored = state.join(F.broadcast(coefficients), "imp")
             at = F.when(F.col(f"seen_{v}"), _prediction("fitted", predictors)).otherwise(_prediction("drawn", predictors))

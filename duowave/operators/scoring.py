@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duowave.functions.text import label_code, normalize_label
+
 
 def row_missing(items: Sequence[str]) -> Column:
     """Number of unanswered items."""
@@ -47,11 +49,13 @@ def impute_scale(df: DataFrame, items: Sequence[str], score_name: str, max_missi
     if not items:
         raise ValueError("no item columns to score")
     tolerated = row_missing(items) <= missing_allowed(len(items), max_missing_count, max_missing_prop)
-    filled = df.withColumns({
-        score_name: tolerated,
-        **{c: F.when(F.col(c).isNull() & tolerated, row_mean(items)).otherwise(F.col(c)) for c in items},
-    })
-    return filled.withColumn(score_name, F.when(F.col(score_name), row_sum(items)))
+    return (
+        df.withColumn("_tolerated", tolerated)
+        .withColumn("_fill", F.when(F.col("_tolerated"), row_mean(items)))
+        .withColumns({c: F.coalesce(F.col(c).cast("double"), "_fill") for c in items})
+        .withColumn(score_name, F.when(F.col("_tolerated"), row_sum(items)))
+        .drop("_tolerated", "_fill")
+    )
 
 
 def score_observed(items: Sequence[str], max_missing: int) -> Column:
@@ -80,6 +84,13 @@ def apply_across(df: DataFrame, items: Sequence[str], fn) -> DataFrame:
     return df.withColumns({c: fn(F.col(c)) for c in items})
 
 
+def code_items(df: DataFrame, items: Sequence[str], codes: Mapping[str, float] | None = None,
+               number_first: bool = True) -> DataFrame:
+    """Replace item texts by codes; labels are normalised in a projection of their own, once per cell."""
+    labels = apply_across(df, items, normalize_label)
+    return apply_across(labels, items, lambda c: label_code(c, codes, number_first))
+
+
 def keep_any_observed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with at least one known value among ``columns``."""
     return df.where(F.coalesce(*columns).isNotNull())

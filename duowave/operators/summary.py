@@ -188,14 +188,22 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
                        F.approx_count_distinct(inside(c)).alias(f"{c}_kinds")]
         probe = df.agg(*probes).first()
         few = [c for c in open_ if probe[f"{c}_kinds"] <= MEDIAN_DISTINCT]
-        for c in few:
-            first, last = open_[c][:2]
-            values = df.select(inside(c).alias("x")).where("x is not null").groupBy("x").count()
-            running = values.withColumn("upto", F.sum("count").over(Window.orderBy("x")))
-            picked = running.where(F.col("upto") >= first).agg(
-                F.min("x").alias("a"), F.min(F.when(F.col("upto") >= last, F.col("x"))).alias("b")).first()
-            result[c] = (picked["a"] + picked["b"]) / 2
-            del open_[c]
+        if few:
+            cells = F.array(*[
+                F.struct(F.lit(c).alias("name"), F.lit(open_[c][0]).alias("first"), F.lit(open_[c][1]).alias("last"),
+                         inside(c).cast("double").alias("x")) for c in few
+            ])
+            values = (
+                df.select(F.explode(cells).alias("c")).where("c.x is not null")
+                .groupBy("c.name", "c.first", "c.last", "c.x").count()
+            )
+            running = values.withColumn("upto", F.sum("count").over(Window.partitionBy("name").orderBy("x")))
+            for row in running.groupBy("name").agg(
+                F.min(F.when(F.col("upto") >= F.col("first"), F.col("x"))).alias("a"),
+                F.min(F.when(F.col("upto") >= F.col("last"), F.col("x"))).alias("b"),
+            ).collect():
+                result[row["name"]] = (row["a"] + row["b"]) / 2
+                del open_[row["name"]]
         if not open_:
             break
         cuts = {c: probe[f"{c}_cut"] for c in open_}

@@ -23,6 +23,13 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """Add the broadcast hint to a written table of at most ``BROADCAST_ROWS`` rows."""
+    if written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(written)
+    return written
+
+
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join an aggregate to its source rows, broadcasting it only when its counted size allows.
 
@@ -30,10 +37,7 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     whole of ``big`` through a shuffle into as many tasks.
     """
     on = list(on)
-    small = materialize(small, "lookup")
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    return big.join(broadcast_if_small(materialize(small, "lookup")), on, how)
 
 
 def range_buckets(df: DataFrame, order: Sequence[str], rows: int, scratch: Scratch, name: str,
@@ -57,7 +61,6 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     """
     keys, order = list(keys), list(order)
     scratch = Scratch(df.sparkSession, "index")
-    # At most (all rows / max_rows) keys can be hot.
     hot = scratch.write(
         df.groupBy(*keys).count().where(F.col("count") > max_rows), "hot_keys"
     )
@@ -66,7 +69,7 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     if not hot_rows:
         return df.withColumn(out, F.row_number().over(window).cast("long"))
 
-    hot_keys = F.broadcast(hot.select(*keys))
+    hot_keys = broadcast_if_small(hot.select(*keys))
     cold = df.join(hot_keys, same_keys(df, hot_keys, keys), "left_anti").withColumn(
         out, F.row_number().over(window).cast("long")
     )
@@ -76,16 +79,16 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row per hot key and bucket: no more than buckets + hot keys.
-    shifts = (
+    shifts = scratch.write(
         cut.groupBy(*keys, "bucket").count()
         .withColumn("shift", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count")
+        .drop("count"), "shifts"
     )
     numbered = cut.withColumn(
         "place", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*order))
     )
     warm = numbered.join(
-        F.broadcast(shifts),
+        broadcast_if_small(shifts),
         same_keys(numbered, shifts, [*keys, "bucket"]),
     ).select(*[numbered[c] for c in df.columns], (F.col("place") + F.col("shift")).alias(out))
     return cold.unionByName(warm)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -130,7 +131,7 @@ def parse_number(c: Column | str, decimal_comma: bool = False) -> Column:
     if decimal_comma:
         text = F.translate(text, ".,", ",.")
     digits = F.replace(F.regexp_extract(text, NUMBER, 0), F.lit(","), F.lit(""))
-    return F.nullif(digits, F.lit("")).try_cast("double")
+    return digits.try_cast("double")
 
 
 def code_lookup(key: Column, codes: Mapping[str, float]) -> Column:
@@ -139,18 +140,25 @@ def code_lookup(key: Column, codes: Mapping[str, float]) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def likert_code(c: Column | str, codes: Mapping[str, float] | None = None, number_first: bool = True,
-                squish: bool = True) -> Column:
-    """Numeric code of an answer text: its leading number if wanted, else its label's code."""
-    return label_code(normalize_label(c, squish), codes, number_first)
+def likert_code(c: Column | str, codes: Mapping[str, float] | None = None, number_first: bool = True) -> Column:
+    """Numeric code of an answer text: its first number if wanted, else its label's code."""
+    return label_code(normalize_label(c, squish=False), codes, number_first)
 
 
 def label_code(label: Column, codes: Mapping[str, float] | None = None, number_first: bool = True) -> Column:
-    """Numeric code of a normalised label; without ``codes`` only numbers count."""
+    """Numeric code of a lower-case, trimmed label; without ``codes`` only numbers count.
+
+    A label found as it stands needs no pattern matching: known labels hold no number, or the very
+    number that is their code. Only the others have white space folded and are searched for a number.
+    """
     if codes is None:
         return parse_number(label)
-    code = code_lookup(label, codes)
-    return F.coalesce(parse_number(label), code) if number_first else code
+    known = code_lookup(label, codes)
+    folded = code_lookup(F.trim(F.regexp_replace(label, r"(?U)\s+", " ")), codes)
+    if not number_first:
+        return F.coalesce(known, folded)
+    plain = all(not re.search(r"\d", key) or key == f"{code:g}" for key, code in codes.items())
+    return F.coalesce(known, parse_number(label), folded) if plain else F.coalesce(parse_number(label), known, folded)
 
 
 def canon_sex(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duowave.functions.text import label_code, normalize_label
+from duowave.functions.text import likert_code
 
 
 def row_missing(items: Sequence[str]) -> Column:
@@ -80,15 +80,22 @@ def score_preferred(*scores: str) -> Column:
 
 
 def apply_across(df: DataFrame, items: Sequence[str], fn) -> DataFrame:
-    """Replace every item column by ``fn(column)`` in one projection."""
-    return df.withColumns({c: fn(F.col(c)) for c in items})
+    """Replace every item column by ``fn(column)`` in one pass.
+
+    Columns of one type go through an array, so that the generated code holds ``fn`` once: written out
+    per column, the text patterns of a scale of 20 items exceed what the JVM compiles.
+    """
+    kinds = {df.schema[c].dataType.simpleString() for c in items}
+    if len(kinds) > 1:
+        return df.withColumns({c: fn(F.col(c)) for c in items})
+    packed = df.withColumn("_items", F.transform(F.array(*items), fn))
+    return packed.withColumns({c: F.col("_items")[i] for i, c in enumerate(items)}).drop("_items")
 
 
 def code_items(df: DataFrame, items: Sequence[str], codes: Mapping[str, float] | None = None,
                number_first: bool = True) -> DataFrame:
-    """Replace item texts by codes; labels are normalised in a projection of their own, once per cell."""
-    labels = apply_across(df, items, normalize_label)
-    return apply_across(labels, items, lambda c: label_code(c, codes, number_first))
+    """Replace item texts by codes."""
+    return apply_across(df, items, lambda c: likert_code(c, codes, number_first))
 
 
 def keep_any_observed(df: DataFrame, columns: Sequence[str]) -> DataFrame:

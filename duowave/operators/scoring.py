@@ -88,7 +88,7 @@ def apply_across(df: DataFrame, items: Sequence[str], fn) -> DataFrame:
     kinds = {df.schema[c].dataType.simpleString() for c in items}
     if len(kinds) > 1:
         return df.withColumns({c: fn(F.col(c)) for c in items})
-    packed = df.withColumn("_items", F.transform(F.array(*items), fn))
+    packed = df.withColumn("_items", F.transform(F.array(*items), lambda c: fn(c)))
     return packed.withColumns({c: F.col("_items")[i] for i, c in enumerate(items)}).drop("_items")
 
 

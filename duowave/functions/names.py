@@ -67,15 +67,20 @@ def clean_name(name: str) -> str:
     return text
 
 
-def clean_names(df: DataFrame) -> DataFrame:
-    """Rename every column with :func:`clean_name`; repeats get ``_2``, ``_3`` and so on."""
+def clean_header(header: Sequence[str]) -> list[str]:
+    """Cleaned names of all headers; repeats get ``_2``, ``_3`` and so on."""
     seen: dict[str, int] = {}
     names = []
-    for column in df.columns:
+    for column in header:
         name = clean_name(column)
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return df.toDF(*names)
+    return names
+
+
+def clean_names(df: DataFrame) -> DataFrame:
+    """Rename every column to its cleaned name."""
+    return df.toDF(*clean_header(df.columns))
 
 
 def standardize_id(df: DataFrame, id_col: str | None = None, out: str = "patient_id") -> DataFrame:

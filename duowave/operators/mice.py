@@ -76,18 +76,20 @@ def _edge_donors(cut: DataFrame, order: Sequence[str], donors: int) -> DataFrame
     asc = Window.partitionBy("imp", "bucket").orderBy(*order)
     desc = Window.partitionBy("imp", "bucket").orderBy(*[F.desc(c) for c in order])
     given = cut.where("is_donor")
-    low = given.withColumn("at", F.row_number().over(asc)).where(F.col("at") <= donors)
-    high = given.withColumn("at", F.row_number().over(desc)).where(F.col("at") <= donors)
+    low = given.withColumn("place", F.row_number().over(asc)).where(F.col("place") <= donors)
+    high = given.withColumn("place", F.row_number().over(desc)).where(F.col("place") <= donors)
     earlier = Window.partitionBy("imp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per copy and bucket, as the two tables of outermost donors are a few per copy and bucket.
     sizes = (
         cut.groupBy("imp", "bucket").agg(F.count_if("is_donor").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     )
-    own = low.unionByName(high.join(sizes, ["imp", "bucket"]).withColumn("at", F.col("n") - F.col("at") + 1)
-                          .drop("n", "before"))
+    ranks = [
+        low.join(sizes, ["imp", "bucket"]).withColumn("rank", F.col("before") + F.col("place")),
+        high.join(sizes, ["imp", "bucket"]).withColumn("rank", F.col("before") + F.col("n") - F.col("place") + 1),
+    ]
     ranked = (
-        own.join(sizes, ["imp", "bucket"]).withColumn("rank", F.col("before") + F.col("at"))
-        .drop("n", "before", "at", "bucket").dropDuplicates(["imp", "rank"])
+        ranks[0].unionByName(ranks[1]).drop("n", "before", "place", "bucket").dropDuplicates(["imp", "rank"])
     )
     wanted = sizes.select("imp", "bucket", F.explode(F.concat(
         F.sequence(F.col("before") - donors + 1, F.col("before")),

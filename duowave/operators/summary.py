@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from duowave.functions.categories import GROUPS, TIMES
 from duowave.functions.text import to_numeric
+from duowave.plans.scratch import Scratch
+from duowave.plans.skew import join_small, range_buckets
 
 # Header pattern of age columns, plausible median range and least spread.
 AGE_PATTERN = r"(alter|geburtsjahr|geburtsdatum|age|birth)"
@@ -22,8 +24,8 @@ SEX_PATTERN = r"\b(w|f|m|weiblich|männlich|maennlich|female|male|divers|non[- ]
 
 # Relative rank error asked of approximate percentiles when bracketing an exact median.
 MEDIAN_ACCURACY = 10_000
-# Distinct values that may remain in a median bracket before they are ordered.
-MEDIAN_DISTINCT = 1_000_000
+# Distinct values per range when the values around a median are ordered.
+MEDIAN_BUCKET = 500_000
 
 
 def missing_summary(df: DataFrame, raw: str, imputed: str, used: str) -> DataFrame:
@@ -166,56 +168,57 @@ def value_range(df: DataFrame, low: str, high: str, by: Sequence[str] = ()) -> D
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median of each column without bringing a column's values together.
 
-    Approximate percentiles bracket the middle ranks; counts below and inside the bracket verify it.
-    The bracket is narrowed until few distinct values remain, and only their counts are ordered.
+    Approximate percentiles bracket the middle ranks, counts verify the bracket, and only the distinct
+    values inside it are put in order, cut into ranges of which the ones holding the middle are read.
     """
+    result: dict[str, float | None] = dict.fromkeys(columns)
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    result: dict[str, float | None] = {c: None for c in columns if counts[c] == 0}
-    # Rank of the middle value(s) among the values inside the bracket, and the bracket itself.
-    open_ = {c: ((counts[c] + 1) // 2, counts[c] // 2 + 1, counts[c], None, None)
-             for c in columns if counts[c]}
-    while open_:
-        def inside(c):
-            low, high = open_[c][3:]
-            column = F.col(c)
-            return column if low is None else F.when((column >= low) & (column <= high), column)
-
-        margin = 4.0 / MEDIAN_ACCURACY
-        probes = []
-        for c, (first, last, n, _, _) in open_.items():
-            shares = [max(0.0, first / n - margin), min(1.0, last / n + margin)]
-            probes += [F.percentile_approx(inside(c), shares, MEDIAN_ACCURACY).alias(f"{c}_cut"),
-                       F.approx_count_distinct(inside(c)).alias(f"{c}_kinds")]
-        probe = df.agg(*probes).first()
-        few = [c for c in open_ if probe[f"{c}_kinds"] <= MEDIAN_DISTINCT]
-        if few:
-            cells = F.array(*[
-                F.struct(F.lit(c).alias("name"), F.lit(open_[c][0]).alias("first"), F.lit(open_[c][1]).alias("last"),
-                         inside(c).cast("double").alias("x")) for c in few
-            ])
-            values = (
-                df.select(F.explode(cells).alias("c")).where("c.x is not null")
-                .groupBy("c.name", "c.first", "c.last", "c.x").count()
-            )
-            running = values.withColumn("upto", F.sum("count").over(Window.partitionBy("name").orderBy("x")))
-            for row in running.groupBy("name").agg(
-                F.min(F.when(F.col("upto") >= F.col("first"), F.col("x"))).alias("a"),
-                F.min(F.when(F.col("upto") >= F.col("last"), F.col("x"))).alias("b"),
-            ).collect():
-                result[row["name"]] = (row["a"] + row["b"]) / 2
-                del open_[row["name"]]
-        if not open_:
-            break
-        cuts = {c: probe[f"{c}_cut"] for c in open_}
-        sizes = df.agg(
-            *[F.count_if(inside(c) < cuts[c][0]).alias(f"{c}_below") for c in open_],
-            *[F.count_if((inside(c) >= cuts[c][0]) & (inside(c) <= cuts[c][1])).alias(f"{c}_in") for c in open_],
-        ).first()
-        for c, (first, last, _, _, _) in list(open_.items()):
-            below, within = sizes[f"{c}_below"], sizes[f"{c}_in"]
-            if not below < first <= last <= below + within:
-                raise ArithmeticError(f"median bracket of {c} missed the middle rank")
-            open_[c] = (first - below, last - below, within, *cuts[c])
+    columns = [c for c in columns if counts[c]]
+    if not columns:
+        return result
+    # Ranks of the middle value or values.
+    middle = {c: ((counts[c] + 1) // 2, counts[c] // 2 + 1) for c in columns}
+    margin = 4.0 / MEDIAN_ACCURACY
+    cuts = df.agg(*[
+        F.percentile_approx(c, [max(0.0, middle[c][0] / counts[c] - margin), min(1.0, middle[c][1] / counts[c] + margin)],
+                            MEDIAN_ACCURACY).alias(c) for c in columns
+    ]).first()
+    tallies = df.agg(
+        *[F.count_if(F.col(c) < cuts[c][0]).alias(f"{c}_below") for c in columns],
+        *[F.count_if(F.col(c) <= cuts[c][1]).alias(f"{c}_upto") for c in columns],
+    ).first()
+    cells = []
+    for c in columns:
+        (first, last), (low, high) = middle[c], cuts[c]
+        below = tallies[f"{c}_below"]
+        if below < first and last <= tallies[f"{c}_upto"]:
+            value, first, last = F.when(F.col(c).between(low, high), F.col(c)), first - below, last - below
+        else:
+            value = F.col(c)
+        cells.append(F.struct(F.lit(c).alias("name"), F.lit(first).cast("long").alias("first"),
+                              F.lit(last).cast("long").alias("last"), value.cast("double").alias("x")))
+    scratch = Scratch(df.sparkSession, "median")
+    values = scratch.write(
+        df.select(F.explode(F.array(*cells)).alias("c")).where("c.x is not null")
+        .groupBy("c.name", "c.first", "c.last", "c.x").agg(F.count("*").alias("n")), "values"
+    )
+    cut = range_buckets(values, ["name", "x"], values.count(), scratch, "ranges", MEDIAN_BUCKET)
+    by_range = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    holding = (
+        cut.groupBy("name", "first", "last", "bucket").agg(F.sum("n").alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(by_range), F.lit(0)))
+        .where((F.col("before") < F.col("last")) & (F.col("before") + F.col("size") >= F.col("first")))
+        .select("name", "bucket", "before")
+    )
+    within = Window.partitionBy("name", "bucket").orderBy("x")
+    ranked = join_small(cut, holding, ["name", "bucket"], "inner").withColumn(
+        "upto", F.col("before") + F.sum("n").over(within)
+    )
+    for row in ranked.groupBy("name").agg(
+        F.min(F.when(F.col("upto") >= F.col("first"), F.col("x"))).alias("a"),
+        F.min(F.when(F.col("upto") >= F.col("last"), F.col("x"))).alias("b"),
+    ).collect():
+        result[row["name"]] = (row["a"] + row["b"]) / 2
     return result
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.functions.names import clean_names, require_columns
+from duowave.functions.names import clean_header, require_columns
 from duowave.functions.text import blank_to_null, to_numeric
 
 # Spellings of truth values in exports.
@@ -38,25 +38,23 @@ def read_export(spark: SparkSession, path: str | Sequence[str], types: dict[str,
     """Read CSV exports as trimmed text with cleaned names, then cast the columns listed in ``types``.
 
     All missing-value tokens become NULL; a text that does not fit its type becomes NULL too.
-    ``ingest_seq`` adds a sortable position (file, block, row) that follows the order within each file.
+    All files of one call share the column order of the first header line. ``ingest_seq`` adds a sortable position (file, block, row) that follows the order within each file.
     Quoted line breaks need ``multi_line``, which reads one file per task: deliver large exports as
     several files, or pass ``False`` when no cell holds a line break so that files are split.
     """
-    raw = (
-        spark.read.option("header", True).option("encoding", "UTF-8")
-        .option("multiLine", multi_line).option("escape", '"').csv(path)
-    )
-    renamed = clean_names(raw)
-    columns = renamed.columns
+    form = {"encoding": "UTF-8", "multiLine": multi_line, "escape": '"'}
+    columns = clean_header([h or "" for h in spark.read.options(**form).csv(path).first()])
+    texts = spark.read.options(header=True, **form).schema(
+        T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    ).csv(path)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
     if ingest_seq:
-        raw = raw.select("*", position.alias("ingest_seq"))
-        columns = [*columns, "ingest_seq"]
-    texts = raw.toDF(*columns).withColumns({c: blank_to_null(c) for c in renamed.columns})
+        texts = texts.select("*", position.alias("ingest_seq"))
+    texts = texts.withColumns({c: blank_to_null(c) for c in columns})
     types = types or {}
     require_columns(texts, types)
     return texts.withColumns({c: _typed(c, kind) for c, kind in types.items()}) if types else texts

@@ -11,13 +11,18 @@ from duowave.functions import categories as cat
 from duowave.functions import dates, names, text
 from duowave.operators import joins, linear, scoring
 from duowave.operators import summary as tables
-from duowave.operators.visits import first_by_key
+from duowave.operators.visits import first_by_key, pre_post_pairs
 from duowave.plans.scratch import Scratch
 from duowave.sources import exports
 
 ITEMS = ITEM_COLUMNS
 
 
+def pairs(t: Tables):
+    """First and last scores per patient and instrument."""
+    return pre_post_pairs(t["fx_visits"], ["patient", "instrument"], "when_dt", "tie")
+
+
 def typed_items(t: Tables):
     """Item texts with the missing-value tokens removed."""
     return scoring.apply_across(t["fx_items"], ITEMS, text.blank_to_null)
@@ -224,7 +229,6 @@ def with_levels(t):
 SELECT instrument, patient, change, 'ZBI' AS scale, CAST(NULL AS VARCHAR) AS review_note FROM {pairs}""",
        doubles=["change"])
 def add_literal(t):
-    from duowave.checks.studies import pairs
     return pairs(t).select("instrument", "patient", "change", F.lit("ZBI").alias("scale"),
                            F.lit(None).cast("string").alias("review_note"))
 
@@ -348,7 +352,6 @@ SELECT instrument, patient,
   CASE WHEN change IS NOT NULL THEN printf('%.2f [%.2f, %.2f]', change, change - 1, change + 1) END AS shown
 FROM {pairs}""")
 def format_interval(t):
-    from duowave.checks.studies import pairs
     x = F.col("change")
     return pairs(t).select("instrument", "patient", text.format_interval(x, x - 1, x + 1).alias("shown"))
 

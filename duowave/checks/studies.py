@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duowave.checks import rows
 from duowave.checks.registry import (
     inc_beta_sql, inference_sql, query, t_tail_sql, t_width_sql,
 )
@@ -13,6 +14,7 @@ from duowave.operators import (
     anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, summary, visits,
 )
 from duowave.plans.scratch import materialize
+from duowave.plans.study import Study
 
 # The key with most distinct values first: aggregation sorts by the keys in this order.
 KEYS = ["patient", "instrument"]
@@ -79,8 +81,8 @@ SELECT patient, grp, tie, when_dt, score FROM (
   SELECT v.*, a.grp, row_number() OVER (PARTITION BY v.patient, a.grp ORDER BY when_dt DESC, tie DESC) AS rn
   FROM {fx_visits} v LEFT JOIN {arms} a ON a.patient_id = v.patient) WHERE rn = 1""")
 def latest_per_cell(t):
-    rows = joins.join_group(t["fx_visits"], arms(t)).select("patient", "grp", "tie", "when_dt", "score")
-    return visits.latest_per_cell(rows, ["patient", "grp"], "when_dt", "tie")
+    dated = joins.join_group(t["fx_visits"], arms(t)).select("patient", "grp", "tie", "when_dt", "score")
+    return visits.latest_per_cell(dated, ["patient", "grp"], "when_dt", "tie")
 
 
 @query("cell_residual", """
@@ -115,8 +117,8 @@ def self_join_pre_post(t):
 @query("stack_instruments", """
 SELECT instrument, patient, time, score FROM {long} WHERE instrument IN ('click', 'view', 'signup')""")
 def stack_instruments(t):
-    rows = visits.add_pre_post(t["fx_visits"], KEYS, "when_dt", "tie")
-    frames = {i: rows.where(F.col("instrument") == i).select("patient", "time", "score")
+    ends = visits.add_pre_post(t["fx_visits"], KEYS, "when_dt", "tie")
+    frames = {i: ends.where(F.col("instrument") == i).select("patient", "time", "score")
               for i in ("click", "view", "signup")}
     return reshape.stack_instruments({**frames, "fatigue": None})
 
@@ -153,10 +155,10 @@ FULL JOIN (SELECT * FROM w WHERE instrument = 'signup') s USING (patient)
 LEFT JOIN arms a ON a.patient_id = patient
 WHERE coalesce(c.grp, a.grp) IS NOT NULL""")
 def full_outer_merge(t):
-    rows = pairs(t)
+    both = pairs(t)
 
     def wide(i):
-        return rows.where(F.col("instrument") == i).select(
+        return both.where(F.col("instrument") == i).select(
             "patient", F.col("pre").alias(f"{i}_pre"), F.col("post").alias(f"{i}_post"),
             *(["grp"] if i == "click" else []))
 
@@ -345,8 +347,8 @@ SELECT v.tie, v.score, a.grp, coalesce(v.score, CASE WHEN a.grp IS NOT NULL THEN
   avg(v.score) OVER (PARTITION BY v.instrument, a.grp) END) AS score_imp
 FROM {fx_visits} v LEFT JOIN {arms} a ON a.patient_id = v.patient""", doubles=["score_imp"])
 def regression_impute(t):
-    rows = joins.join_group(t["fx_visits"], arms(t))
-    return imputation.regression_impute(rows, "score", "grp", ["instrument"], "score_imp").select(
+    scores = joins.join_group(t["fx_visits"], arms(t))
+    return imputation.regression_impute(scores, "score", "grp", ["instrument"], "score_imp").select(
         "tie", "score", "grp", "score_imp")
 
 
@@ -566,8 +568,8 @@ Z_TAIL = ("1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k:
 
 
 def responses(t):
-    rows = materialize(pairs(t), "pairs")
-    return response.classify_response(rows, response.mcid_threshold(rows, RULES))
+    both = materialize(pairs(t), "pairs")
+    return response.classify_response(both, response.mcid_threshold(both, RULES))
 
 
 @query("mcid_threshold", RESPONSE + "SELECT instrument, direction, mcid FROM mcid", doubles=["mcid"])
@@ -655,3 +657,74 @@ def dist_tail(t):
     return stats.withColumns({
         "p_t": tails.t_two_sided("t", dof), "p_f": tails.f_upper(F.col("t") * F.col("t"), F.lit(3.0), dof),
         "t_crit": tails.t_critical(dof)})
+
+
+# --- whole study ------------------------------------------------------------------------------
+
+def study(t):
+    """A study whose questionnaires are views over the orders."""
+    forms = {"ZBI": t["fx_items"], "WHO-5": t["fx_wellbeing"], "BDI-II": t["fx_depression"]}
+    return Study(t["fx_people"], forms, t["fx_case_form"], seq_col="tie")
+
+
+W_ITEMS = [f"id{i}_w" for i in range(1, 6)]
+D_ITEMS = [f"id{k}_{k}" for k in range(1, 13)]
+
+
+def known_sql(items):
+    return " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in items)
+
+
+def total_sql(items):
+    return " + ".join(f"coalesce({c}, 0.0)" for c in items)
+
+
+FORMS = rows.CODED + ", wb AS (SELECT patient, authored, tie, " + ", ".join(
+    f"{rows.code_sql(c, text.WELLBEING_CODES)} AS {c}" for c in W_ITEMS) + " FROM {fx_wellbeing}), dp AS (SELECT patient, authored, tie, " + ", ".join(
+    f"{rows.number_sql(c)} AS {c}" for c in D_ITEMS) + f""" FROM {{fx_depression}}),
+scored AS (
+  SELECT 'ZBI' AS instrument, patient, authored, tie,
+    CASE WHEN {known_sql(rows.ITEMS)} >= 2 THEN ({total_sql(rows.ITEMS)}) / nullif({known_sql(rows.ITEMS)}, 0) * 6 END AS score FROM coded
+  UNION ALL SELECT 'WHO-5', patient, authored, tie,
+    CASE WHEN {known_sql(W_ITEMS)} >= 4 THEN ({total_sql(W_ITEMS)}) / ({known_sql(W_ITEMS)}) * 20 END FROM wb
+  UNION ALL SELECT 'BDI-II', patient, authored, tie,
+    CASE WHEN {known_sql(D_ITEMS)} >= 10 THEN ({total_sql(D_ITEMS)}) / ({known_sql(D_ITEMS)}) * 12 END FROM dp),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY instrument, patient ORDER BY authored, tie) AS rn,
+    count(*) OVER (PARTITION BY instrument, patient) AS n FROM scored),
+sp AS (SELECT s.instrument, s.patient, CASE WHEN coalesce(p.active, FALSE) THEN 'Intervention' ELSE 'Control' END AS grp,
+    max(CASE WHEN rn = 1 THEN score END) AS pre, max(CASE WHEN rn = n THEN score END) AS post
+  FROM numbered s JOIN {{fx_people}} p ON p.patient_id = s.patient WHERE n > 1 GROUP BY s.instrument, s.patient, p.active),
+sk AS (SELECT *, post - pre AS change, (pre + post) / 2 AS lvl FROM sp WHERE post - pre IS NOT NULL)
+"""
+
+
+@query("study_pairs", FORMS + """
+SELECT CAST(patient AS VARCHAR) AS patient, instrument, grp AS "group", pre, post, post - pre AS change FROM sp""",
+       doubles=["pre", "post", "change"])
+def study_pairs(t):
+    return study(t).pairs
+
+
+@query("study_anova", FORMS + anova_steps("sk", "tests") + "SELECT * FROM tests", doubles=ANOVA_DOUBLES)
+def study_anova(t):
+    return study(t).anova()
+
+
+DEP_LABELS = ", dl AS (SELECT patient, authored, " + ", ".join(
+    f"{rows.likert_sql(c, text.DEPRESSION_CODES)} AS {c}" for c in D_ITEMS) + " FROM {fx_depression})"
+
+
+@query("study_baseline_rows", rows.CODED + DEP_LABELS + f"""
+, z AS (SELECT c.patient, c.authored, c.tie, CASE WHEN 6 - ({known_sql(rows.ITEMS)}) <= 4 THEN {total_sql(rows.ITEMS)} END AS zbi_total_raw
+  FROM coded c),
+b AS (SELECT patient, authored, CASE WHEN 12 - ({known_sql(D_ITEMS)}) <= 2 THEN {total_sql(D_ITEMS)} END AS bdi_total_raw FROM dl),
+j AS (SELECT z.*, b.bdi_total_raw, row_number() OVER (PARTITION BY z.patient ORDER BY z.authored, z.tie, z.zbi_total_raw NULLS FIRST,
+    b.bdi_total_raw NULLS FIRST) AS rn FROM z LEFT JOIN b ON b.patient = z.patient AND b.authored = z.authored)
+SELECT CAST(j.patient AS VARCHAR) AS patient_id, zbi_total_raw, bdi_total_raw, CASE WHEN zbi_total_raw <= 20 THEN 'keine/geringe'
+    WHEN zbi_total_raw <= 40 THEN 'leicht' END AS zbi_kat_raw, CAST(20 + j.patient % 70 AS DOUBLE) AS alter,
+  {rows.SEX} AS geschlecht, {rows.MARITAL} AS familienstand,
+  CASE WHEN coalesce(p.active, FALSE) THEN 'Intervention' ELSE 'Control' END AS "group"
+FROM j JOIN {{fx_demographics}} d ON d.patient = j.patient JOIN {{fx_people}} p ON p.patient_id = j.patient WHERE rn = 1""")
+def study_baseline_rows(t):
+    return study(t).baseline_rows().select("patient_id", "zbi_total_raw", "bdi_total_raw", "zbi_kat_raw", "alter",
+                                           "geschlecht", "familienstand", "group")

@@ -70,6 +70,22 @@ JOIN (SELECT o_custkey, count(*) AS n_orders, min(o_orderkey) AS k0, max(o_order
       FROM {orders} GROUP BY o_custkey) v ON v.o_custkey = c.c_custkey
 JOIN {orders} f ON f.o_orderkey = v.k0
 JOIN {orders} l ON l.o_orderkey = v.k1""",
+    "fx_people": """
+SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS active
+FROM {customer}""",
+    "fx_wellbeing": "SELECT o_custkey AS patient, o_orderdate AS authored, o_orderkey AS tie, " + ", ".join(
+        f"CASE (o_orderkey * {k} + o_custkey) % 8 WHEN 0 THEN 'Die ganze Zeit' WHEN 1 THEN 'Meistens' "
+        "WHEN 2 THEN 'Etwas mehr als die Hälfte der Zeit' WHEN 3 THEN 'Etwas weniger als die  Hälfte der Zeit' "
+        f"WHEN 4 THEN 'Ab und zu' WHEN 5 THEN ' nie ' WHEN 6 THEN '3' END AS id{i}_w"
+        for i, k in enumerate((1, 3, 5, 7, 9), 1)) + " FROM {orders}",
+    "fx_depression": "SELECT o_custkey AS patient, o_orderdate AS authored, o_orderkey AS tie, " + ", ".join(
+        f"CASE (o_orderkey * {k} + o_custkey) % 11 WHEN 0 THEN '0' WHEN 1 THEN '1 - leicht' WHEN 2 THEN '2' WHEN 3 THEN '3' "
+        f"WHEN 4 THEN 'oft' WHEN 5 THEN '1' WHEN 6 THEN '0 - nie' WHEN 7 THEN '2' WHEN 8 THEN '1' WHEN 9 THEN '3' END AS id{k}_{k}"
+        for k in range(1, 13)) + ", 'Freitext 99' AS id25_1 FROM {orders}",
+    "fx_case_form": """
+SELECT patient, patient AS tie, CAST(20 + patient % 70 AS VARCHAR(8)) AS id1_1_ihr_alter, sex_raw AS id2_2_ihr_geschlecht,
+  marital_raw AS id3_3_ihr_familienstand, CAST(acctbal AS VARCHAR(20)) AS id117_wie_viele_stunden_sind_s_ie_in_der_woche_erwerbstatig_angabe_als_dezimalzahl_z_b_1_5
+FROM {fx_demographics}""",
     "fx_imputed": """
 SELECT imp, patient, grp, 'price' AS instrument,
   coalesce(score_pre, 100.0 + (patient * 31 + imp * 17) % 200) AS pre,

@@ -272,7 +272,7 @@ SELECT instrument, patient, change, abs(change) AS abs_change FROM (
   FROM (SELECT instrument, patient, round(change) AS change FROM {pairs} WHERE change IS NOT NULL) p) q WHERE r <= 2""",
        doubles=["change", "abs_change"])
 def top_changes_ties(t):
-    rounded = pairs(t).select("instrument", "patient", F.round("change").alias("change"))
+    rounded = materialize(pairs(t).select("instrument", "patient", F.round("change").alias("change")))
     return ranking.top_changes_ties(rounded, 2, ["instrument"])
 
 

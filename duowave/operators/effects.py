@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from duowave.functions.categories import GROUPS
 from duowave.operators.anova import side_by_side
+from duowave.plans.scratch import materialize
 
 # Fixed value: normal quantile of the 95 % limits.
 Z95 = 1.96
@@ -25,7 +26,11 @@ def change_stats(pairs: DataFrame, by: Sequence[str], group: str, change: str, n
 def effect_dz(pairs: DataFrame, by: Sequence[str] = ("instrument",), group: str = "group",
               change: str = "change") -> DataFrame:
     """Within-group effect: mean change over its standard deviation, with 95 % limits."""
-    stats = change_stats(pairs, by, group, change)
+    return dz_of(change_stats(pairs, by, group, change), by, group)
+
+
+def dz_of(stats: DataFrame, by: Sequence[str], group: str) -> DataFrame:
+    """Within-group effects from ``change_stats``."""
     usable = (F.col("n") >= 2) & (F.col("v") > 0)
     dz = F.when(usable, F.try_divide(F.col("m"), F.sqrt("v")))
     se = F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.pow("dz", F.lit(2)), 2 * (F.col("n") - 1)))
@@ -42,7 +47,11 @@ def effect_hedges_g(pairs: DataFrame, by: Sequence[str] = ("instrument",), group
 
     ``n_mode="all"`` counts rows with an unknown change in the group sizes.
     """
-    stats = change_stats(pairs, by, group, change, n_mode)
+    return hedges_g_of(change_stats(pairs, by, group, change, n_mode), by, group)
+
+
+def hedges_g_of(stats: DataFrame, by: Sequence[str], group: str) -> DataFrame:
+    """Between-group effects from ``change_stats``."""
     wide = side_by_side(stats, by, ["n", "m", "v"], group)
     n_c, n_i = F.col("n_c"), F.col("n_i")
     usable = (n_c >= 2) & (n_i >= 2) & (F.col("v_c") > 0) & (F.col("v_i") > 0)
@@ -61,11 +70,12 @@ def effect_hedges_g(pairs: DataFrame, by: Sequence[str] = ("instrument",), group
 def effect_table(pairs: DataFrame, by: Sequence[str] = ("instrument",), group: str = "group",
                  digits: int = 3) -> DataFrame:
     """Within-group and between-group effects in one rounded table."""
-    within = effect_dz(pairs, by, group).select(
+    stats = materialize(change_stats(pairs, by, group, "change"), "change_stats")
+    within = dz_of(stats, by, group).select(
         *by, F.concat(F.lit("dz (within) "), F.col(group)).alias("metric"), F.col("dz").alias("effect"),
         "ci_low", "ci_high", F.col("n").cast("string").alias("n"),
     )
-    between = effect_hedges_g(pairs, by, group).select(
+    between = hedges_g_of(stats, by, group).select(
         *by, F.lit("g (between Δ)").alias("metric"), F.col("g").alias("effect"), "ci_low", "ci_high",
         F.format_string("I=%d, C=%d", "n_i", "n_c").alias("n"),
     )

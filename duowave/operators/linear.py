@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duowave.functions.categories import (
-    CONTROL, GROUPS, INTERVENTION, TERM_LABELS, MODERATOR_LABELS, interaction_side, mapped_label,
+    GROUPS, MODERATOR_LABELS, TERM_LABELS, interaction_side, mapped_label,
     readable_term, significance_label,
 )
 from duowave.functions.tails import with_t_inference
@@ -19,6 +19,7 @@ from duowave.functions.text import format_interval
 from duowave.operators.anova import side_by_side
 from duowave.operators.ranking import order_levels
 from duowave.operators.reshape import bind_results
+from duowave.plans.scratch import materialize
 
 COEFFICIENT_COLUMNS = ["outcome", "predictor", "model", "term", "estimate", "std_error", "statistic", "p_value",
                        "conf_low", "conf_high", "n_obs", "dof"]
@@ -57,15 +58,17 @@ def uni_lm_numeric(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[
 def uni_lm_factor(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[str],
                   model: str = "univariate", refs: Mapping[str, str] | None = None) -> DataFrame:
     """``y ~ x`` for text predictors, treatment coded against the first sorted level (or the one in ``refs``)."""
-    levels = _stacked(df, outcomes, predictors, "string").groupBy("outcome", "predictor", "x").agg(
+    # Written because it is read twice below; otherwise the rows would be scanned and grouped twice.
+    levels = materialize(_stacked(df, outcomes, predictors, "string").groupBy("outcome", "predictor", "x").agg(
         F.count("*").alias("n"), F.avg("y").alias("m"), F.var_samp("y").alias("v")
-    )
+    ), "levels")
     models = levels.withColumn("is_ref", _reference(refs)).groupBy("outcome", "predictor").agg(
         F.sum("n").alias("n_obs"), F.count("*").alias("n_levels"),
         F.sum(F.coalesce(F.col("v") * (F.col("n") - 1), F.lit(0.0))).alias("ss"),
         F.min(F.struct(~F.col("is_ref"), "x", "n", "m")).alias("ref"),
     )
-    rows = levels.join(models, ["outcome", "predictor"]).where(
+    # One row per model.
+    rows = levels.join(F.broadcast(models), ["outcome", "predictor"]).where(
         (F.col("n_levels") >= 2) & (F.col("x") != F.col("ref.x"))
     )
     mse = F.try_divide("ss", "dof")
@@ -144,25 +147,34 @@ def moderator_factor(df: DataFrame, predictors: Sequence[str], pre: str, post: s
         n.alias("n"), F.avg(y).alias("ym"), F.avg(w).alias("wm"),
         (F.var_pop(y) * n).alias("yy"), (F.var_pop(w) * n).alias("ww"), (F.covar_pop(y, w) * n).alias("yw"),
     )
-    models = cells.withColumn("is_ref", _reference(refs)).groupBy("outcome", "predictor").agg(
-        F.sum("n").alias("n_obs"), F.count("*").alias("n_cells"), F.count_distinct(F.col(group)).alias("n_groups"),
-        F.sum("yy").alias("yy"), F.sum("ww").alias("ww"), F.sum("yw").alias("yw"),
-        F.min(F.struct(~F.col("is_ref"), "x")).alias("ref"),
+    # Written because it is read twice below.
+    wide = materialize(
+        side_by_side(cells, ["outcome", "predictor", "x"], ["n", "ym", "wm", "yy", "ww", "yw"], group), "cells"
     )
-    wide = side_by_side(cells, ["outcome", "predictor", "x"], ["n", "ym", "wm"], group)
-    base = models.where("n_groups = 2").select(
-        "outcome", "predictor", "n_obs", F.col("ref.x").alias("ref_x"), (F.col("n_obs") - F.col("n_cells") - 1).alias("dof"),
-        F.try_divide("yw", "ww").alias("b"), "ww",
+
+    def pooled(name: str):
+        return F.sum(F.coalesce(f"{name}_c", F.lit(0)) + F.coalesce(f"{name}_i", F.lit(0)))
+
+    compared = ["n_c", "n_i", "ym_c", "ym_i", "wm_c", "wm_i"]
+    models = wide.withColumn("is_ref", _reference(refs)).groupBy("outcome", "predictor").agg(
+        pooled("n").alias("n_obs"), F.count("n_c").alias("cells_c"), F.count("n_i").alias("cells_i"),
+        pooled("yy").alias("yy"), pooled("ww").alias("ww"), pooled("yw").alias("yw"),
+        F.min(F.struct(~F.col("is_ref"), "x", *compared)).alias("ref"),
+    ).where("cells_c > 0 and cells_i > 0").select(
+        "outcome", "predictor", "n_obs", "ref", "ww",
+        (F.col("n_obs") - F.col("cells_c") - F.col("cells_i") - 1).alias("dof"),
+        F.try_divide("yw", "ww").alias("b"),
         (F.col("yy") - F.coalesce(F.try_divide(F.col("yw") * F.col("yw"), F.col("ww")), F.lit(0.0))).alias("sse"),
     )
-    ref = wide.withColumnsRenamed({c: f"ref_{c}" for c in wide.columns if c not in ("outcome", "predictor")})
-    anchored = base.join(ref, ["outcome", "predictor", "ref_x"], "left")
-    lines = wide.join(anchored, ["outcome", "predictor"]).where(F.col("x") != F.col("ref_x"))
+    # One row per model.
+    lines = wide.select("outcome", "predictor", "x", *compared).join(
+        F.broadcast(models), ["outcome", "predictor"]
+    ).where(F.col("x") != F.col("ref.x"))
 
     def double_gap(name: str):
-        return F.col(f"{name}_i") - F.col(f"{name}_c") - (F.col(f"ref_{name}_i") - F.col(f"ref_{name}_c"))
+        return F.col(f"{name}_i") - F.col(f"{name}_c") - (F.col(f"ref.{name}_i") - F.col(f"ref.{name}_c"))
 
-    sizes = sum((1 / F.col(f"{p}n_{s}") for p in ("", "ref_") for s in "ci"), F.lit(0.0))
+    sizes = sum((1 / F.col(f"{p}n_{s}") for p in ("", "ref.") for s in "ci"), F.lit(0.0))
     spread = sizes + F.try_divide(double_gap("wm") * double_gap("wm"), F.col("ww"))
     mse = F.try_divide(F.greatest("sse", F.lit(0.0)), F.col("dof"))
     return _coefficients(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from duowave.functions.categories import GROUPS, TIMES
 from duowave.functions.text import to_numeric
-from duowave.plans.scratch import Scratch
+from duowave.plans.scratch import Scratch, materialize
 from duowave.plans.skew import join_small, range_buckets
 
 # Header pattern of age columns, plausible median range and least spread.
@@ -113,12 +113,13 @@ def baseline_table(df: DataFrame, numeric: Sequence[str], categorical: Mapping[s
     for c, levels in categorical.items():
         cells.append(cell(c, F.when(F.col(c).isin(*levels), F.col(c)), none))
     long = df.where(F.col(group).isin(*groups)).select(F.col(group).alias("group"), F.explode(F.array(*cells)).alias("c"))
-    counted = long.groupBy("group", "c.variable", "c.level").agg(
+    # Written because it is read three times below.
+    counted = materialize(long.groupBy("group", "c.variable", "c.level").agg(
         F.count("*").alias("rows"),
         F.count_if("c.gap").alias("gaps"),
         F.avg("c.value").alias("mean"),
         F.stddev_samp("c.value").alias("sd"),
-    )
+    ), "counts")
     # The full list of report lines, so that empty levels appear too.
     lines = [F.struct(F.lit(c).alias("variable"), none.cast("string").alias("level"), F.lit(0).alias("level_order"))
              for c in numeric]
@@ -172,17 +173,17 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     values inside it are put in order, cut into ranges of which the ones holding the middle are read.
     """
     result: dict[str, float | None] = dict.fromkeys(columns)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    columns = [c for c in columns if counts[c]]
+    margin = 4.0 / MEDIAN_ACCURACY
+    probe = df.agg(
+        *[F.count(c).alias(f"{c}_n") for c in columns],
+        *[F.percentile_approx(c, [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY).alias(f"{c}_cut") for c in columns],
+    ).first()
+    counts = {c: probe[f"{c}_n"] for c in columns if probe[f"{c}_n"]}
+    columns, cuts = list(counts), {c: probe[f"{c}_cut"] for c in counts}
     if not columns:
         return result
     # Ranks of the middle value or values.
     middle = {c: ((counts[c] + 1) // 2, counts[c] // 2 + 1) for c in columns}
-    margin = 4.0 / MEDIAN_ACCURACY
-    cuts = df.agg(*[
-        F.percentile_approx(c, [max(0.0, middle[c][0] / counts[c] - margin), min(1.0, middle[c][1] / counts[c] + margin)],
-                            MEDIAN_ACCURACY).alias(c) for c in columns
-    ]).first()
     tallies = df.agg(
         *[F.count_if(F.col(c) < cuts[c][0]).alias(f"{c}_below") for c in columns],
         *[F.count_if(F.col(c) <= cuts[c][1]).alias(f"{c}_upto") for c in columns],
@@ -202,29 +203,41 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
         df.select(F.explode(F.array(*cells)).alias("c")).where("c.x is not null")
         .groupBy("c.name", "c.first", "c.last", "c.x").agg(F.count("*").alias("n")), "values"
     )
-    cut = range_buckets(values, ["name", "x"], values.count(), scratch, "ranges", MEDIAN_BUCKET)
-    by_range = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    n_values = values.count()
+    if n_values <= MEDIAN_BUCKET:
+        ranked = values.withColumn("upto", F.sum("n").over(Window.partitionBy("name").orderBy("x")))
+    else:
+        ranked = _middle_ranges(range_buckets(values, ["name", "x"], n_values, scratch, "ranges", MEDIAN_BUCKET))
+    for row in ranked.groupBy("name").agg(
+        F.min(F.when(F.col("upto") >= F.col("first"), F.col("x"))).alias("a"),
+        F.min(F.when(F.col("upto") >= F.col("last"), F.col("x"))).alias("b"),
+    ).collect():
+        result[row["name"]] = (row["a"] + row["b"]) / 2
+    return result
+
+
+def _middle_ranges(cut: DataFrame) -> DataFrame:
+    """The value ranges that hold the ranks ``first`` to ``last``, with running counts."""
+    earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     holding = (
         cut.groupBy("name", "first", "last", "bucket").agg(F.sum("n").alias("size"))
-        .withColumn("before", F.coalesce(F.sum("size").over(by_range), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
         .where((F.col("before") < F.col("last")) & (F.col("before") + F.col("size") >= F.col("first")))
         .select("name", "bucket", "before")
     )
     within = Window.partitionBy("name", "bucket").orderBy("x")
-    ranked = join_small(cut, holding, ["name", "bucket"], "inner").withColumn(
+    return join_small(cut, holding, ["name", "bucket"], "inner").withColumn(
         "upto", F.col("before") + F.sum("n").over(within)
     )
-    for row in ranked.groupBy("name").agg(
-        F.min(F.when(F.col("upto") >= F.col("first"), F.col("x"))).alias("a"),
-        F.min(F.when(F.col("upto") >= F.col("last"), F.col("x"))).alias("b"),
-    ).collect():
-        result[row["name"]] = (row["a"] + row["b"]) / 2
-    return result
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: rows, numeric values, numeric share, median and standard deviation, in column order."""
-    numeric = df.select(*[to_numeric(c).alias(c) for c in columns])
+    kinds = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in columns}
+    not_a_number = F.lit(float("nan"))
+    numeric = df.select(*[
+        (F.nullif(F.col(c).cast("double"), not_a_number) if kinds[c] else to_numeric(c)).alias(c) for c in columns
+    ])
     stats = numeric.agg(
         F.count("*").alias("_rows"),
         *[F.count(c).alias(f"n_{c}") for c in columns],
@@ -241,7 +254,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns, 1):
         n = stats[f"n_{c}"]
         share = n / stats["_rows"] if stats["_rows"] else None
-        rows.append((c, i, isinstance(df.schema[c].dataType, T.NumericType), stats["_rows"], n, share,
+        rows.append((c, i, kinds[c], stats["_rows"], n, share,
                      medians[c], stats[f"sd_{c}"]))
     return df.sparkSession.createDataFrame(rows, schema)
 

@@ -131,6 +131,35 @@ def standardize_id(t):
     return names.standardize_id(t["fx_demographics"].select("patient", "sex_raw"))
 
 
+@query("detect_id_column", "SELECT CAST(patient_id AS VARCHAR) AS id, active FROM {fx_patients}")
+def detect_id_column(t):
+    df = t["fx_patients"]
+    return df.select(F.col(names.detect_id_column(df)).cast("string").alias("id"), "active")
+
+
+@query("clean_names", "SELECT patient AS patient_id, sex_raw AS geschlecht_w_m, marital_raw AS familienstand_2 FROM {fx_demographics}")
+def clean_names(t):
+    spaced = t["fx_demographics"].select(
+        F.col("patient").alias("Patient ID"), F.col("sex_raw").alias("Geschlecht (w/m)"),
+        F.col("age_raw").alias("Familienstand"), F.col("marital_raw").alias("familienstand!"))
+    return names.clean_names(spaced).drop("familienstand")
+
+
+@query("select_items", """
+SELECT tie, """ + " + ".join(f"CAST({c} IS NULL AS INT)" for c in ITEMS if c != "id4_4_d") + """ AS n_empty FROM {fx_items}""")
+def select_items(t):
+    df = t["fx_items"]
+    items = names.select_items(df, r"^id\d{1,2}_\d+", exclude=r"^id4_")
+    return names.require_columns(df, ["tie", *items]).select("tie", scoring.row_missing(items).alias("n_empty"))
+
+
+@query("present_columns", "SELECT patient, sex_raw AS sex FROM {fx_demographics}")
+def present_columns(t):
+    df = t["fx_demographics"]
+    sex = names.first_present_column(df, ["geschlecht", "sex_raw", "marital_raw"])
+    return df.select(*names.present_columns(df, ["patient", "patient_id", "visit"]), F.col(sex).alias("sex"))
+
+
 def _ages(t):
     return t["fx_demographics"].select(
         "patient", F.col("age_raw").alias("alter_text"), F.col("acctbal").alias("age_account"),

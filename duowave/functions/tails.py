@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, x) -> np.ndarray:
+    """``fn`` of every element."""
+    return np.array([fn(v) for v in np.ravel(x)], dtype=float).reshape(np.shape(x))
 
 
 def inc_beta(a, b, x) -> np.ndarray:
@@ -23,7 +25,8 @@ def inc_beta(a, b, x) -> np.ndarray:
     swap = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     with np.errstate(all="ignore"):
-        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+        log_beta = _each(math.lgamma, p) + _each(math.lgamma, q) - _each(math.lgamma, p + q)
+        front = np.exp(p * np.log(z) + q * np.log1p(-z) - log_beta) / p
         tiny = 1e-300
         c = np.ones_like(z)
         d = 1 - (p + q) * z / (p + 1)
@@ -82,7 +85,7 @@ def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def z_two_sided(z: pd.Series) -> pd.Series:
     known = z.notna().to_numpy()
-    return _nulled(_erfc(np.abs(np.where(known, z, 0.0)) / math.sqrt(2)), known)
+    return _nulled(_each(math.erfc, np.abs(np.where(known, z, 0.0)) / math.sqrt(2)), known)
 
 
 @F.pandas_udf(T.DoubleType())

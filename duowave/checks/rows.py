@@ -279,11 +279,12 @@ def parse_number(t):
      f"{code_sql('id4_4_d', text.WELLBEING_CODES)} AS wellbeing",
      f"{code_sql('id5_5_e', text.BURDEN_CODES_STRICT)} AS strict"]) + " FROM {labels_raw}")
 def likert_code(t):
-    return typed_items(t).select(
-        "tie", text.likert_code("id1_1_a", text.BURDEN_CODES).alias("burden"),
-        text.likert_code("id2_2_b", text.DEPRESSION_CODES).alias("depression"),
-        text.likert_code("id4_4_d", text.WELLBEING_CODES, number_first=False).alias("wellbeing"),
-        text.likert_code("id5_5_e", text.BURDEN_CODES_STRICT, number_first=False).alias("strict"))
+    df = typed_items(t).select("tie", F.col("id1_1_a").alias("burden"), F.col("id2_2_b").alias("depression"),
+                               F.col("id4_4_d").alias("wellbeing"), F.col("id5_5_e").alias("strict"))
+    df = scoring.code_items(df, ["burden"], text.BURDEN_CODES)
+    df = scoring.code_items(df, ["depression"], text.DEPRESSION_CODES)
+    df = scoring.code_items(df, ["wellbeing"], text.WELLBEING_CODES, number_first=False)
+    return scoring.code_items(df, ["strict"], text.BURDEN_CODES_STRICT, number_first=False)
 
 
 @query("to_numeric", r"""

@@ -115,11 +115,11 @@ def self_join_pre_post(t):
 
 
 @query("stack_instruments", """
-SELECT instrument, patient, time, score FROM {long} WHERE instrument IN ('click', 'view', 'signup')""")
+SELECT instrument, patient, time, score FROM {long}""")
 def stack_instruments(t):
     ends = visits.add_pre_post(t["fx_visits"], KEYS, "when_dt", "tie")
     frames = {i: ends.where(F.col("instrument") == i).select("patient", "time", "score")
-              for i in ("click", "view", "signup")}
+              for i in INSTRUMENTS}
     return reshape.stack_instruments({**frames, "fatigue": None})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,24 +30,32 @@ def excel_serial(c: Column) -> Column:
     return F.when((c > SERIAL_LOW) & (c < SERIAL_HIGH), at)
 
 
-def parse_datetime_text(c: Column) -> Column:
-    """Time of a text: year-month-day, else day-month-year, else month-day-year; clock time optional."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
-    parts = F.split(text, r"\D+")
+def _with(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` uses it."""
+    return F.transform(F.array(value), lambda v: fn(v))[0]
+
 
+def _time_of(text: Column, parts: Column) -> Column:
     def part(i: int) -> Column:
         return F.get(parts, F.lit(i)).try_cast("int")
 
     clock = [F.coalesce(part(i), F.lit(0)) for i in (3, 4, 5)]
 
     def at(year: int, month: int, day: int) -> Column:
-        return F.try_make_timestamp_ntz(part(year), part(month), part(day), *clock)
+        # Asking for month 13 costs an exception per row inside Spark.
+        return F.when(part(month) <= 12, F.try_make_timestamp_ntz(part(year), part(month), part(day), *clock))
 
     return F.when(text.rlike(YEAR_FIRST + CLOCK), at(0, 1, 2)).when(
         text.rlike(YEAR_LAST + CLOCK), F.coalesce(at(2, 1, 0), at(2, 0, 1))
     )
 
 
+def parse_datetime_text(c: Column) -> Column:
+    """Time of a text: year-month-day, else day-month-year, else month-day-year; clock time optional."""
+    spaced = F.regexp_replace(F.trim(c.cast("string")), r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
+    return _with(spaced, lambda text: _with(F.split(text, r"\D+"), lambda parts: _time_of(text, parts)))
+
+
 def parse_any_datetime(df: DataFrame, name: str) -> Column:
     """Time value of column ``name`` whatever its type."""
     kind = df.schema[name].dataType

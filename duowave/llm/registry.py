@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from duowave.llm import mixing, simhash
+from duowave.llm import backtracking, merges, mixing, simhash, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1,
+    "op3_merge_counts": merges.op3,
+    "op7_backtracking_bpe": backtracking.op7,
     "op8_simhash": simhash.op8,
     "op9_pareto_mix": mixing.op9,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substrings.OP1_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
 }

@@ -184,24 +184,23 @@ def tokenizer_source(path: str, max_bytes: int = 8_000_000) -> bytes:
     return source
 
 
-def _over_texts(df: DataFrame, columns: list[T.StructField], work) -> DataFrame:
-    """Apply ``work(batch)``, which returns Arrow arrays for ``columns``, beside all columns of ``df``."""
-    clash = {c.lower() for c in df.columns} & {c.name.lower() for c in columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    names = [*df.columns, *[c.name for c in columns]]
+def over_texts(df: DataFrame, columns: list[T.StructField], work) -> DataFrame:
+    """Apply ``work(batch)``, which returns Arrow arrays for ``columns``, beside the columns of ``df``; those of the same name go."""
+    new = {c.name.lower() for c in columns}
+    kept = [c for c in df.columns if c.lower() not in new]
+    names = [*kept, *[c.name for c in columns]]
 
     def compute(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch)], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names)
 
-    return df.mapInArrow(compute, T.StructType([*df.schema.fields, *columns]))
+    return df.mapInArrow(compute, T.StructType([*[df.schema[c] for c in kept], *columns]))
 
 
 def encode(df: DataFrame, text_col: str, path: str, out: str = "token_ids") -> DataFrame:
     """``df`` with an array of token ids.
 
-    Null and empty texts give an empty array. A column named ``out`` must not exist. Rows are independent, so nothing
+    Null and empty texts give an empty array. A column named ``out`` is replaced. Rows are independent, so nothing
     is shuffled and a lost executor costs its rows only.
     """
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(path).decode())
@@ -216,7 +215,7 @@ def encode(df: DataFrame, text_col: str, path: str, out: str = "token_ids") -> D
         flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
-    return _over_texts(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
+    return over_texts(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
 
 
 def decode(df: DataFrame, ids_col: str, path: str, out: str = "decoded") -> DataFrame:
@@ -233,7 +232,7 @@ def decode(df: DataFrame, ids_col: str, path: str, out: str = "decoded") -> Data
             texts.append(b"" if values is None else encoder[0].decode(values.to_numpy()))
         return [pa.array(texts, pa.binary()).cast(pa.string())]
 
-    return _over_texts(df, [T.StructField(out, T.StringType())], work)
+    return over_texts(df, [T.StructField(out, T.StringType())], work)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.llm.backtracking import tokenizer_source
+from duowave.llm.backtracking import over_texts, tokenizer_source
 from duowave.llm.tables import table
 
 SPACE = "▁"
@@ -147,26 +147,21 @@ class MergeCounter:
 
 
 def token_counts(df: DataFrame, text_col: str, path: str, out: str = "n_tokens") -> DataFrame:
-    """``df`` with the number of tokens of each text; null and empty texts have 0. ``out`` must be a new column.
+    """``df`` with the number of tokens of each text; null and empty texts have 0. A column named ``out`` is replaced.
 
     Rows are independent, so nothing is shuffled. Memory per task is the vocabulary, a store of at most
     ``CACHE_CHUNKS`` short chunks and one batch of texts.
     """
-    if out.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {out} exists already")
     model = df.sparkSession.sparkContext.broadcast(tokenizer_source(path))
-    names = [*df.columns, out]
     counter: list[MergeCounter] = []
 
-    def compute(batches):
-        for batch in batches:
-            if not counter:
-                counter.append(MergeCounter(pieces_of(model.value)))
-            counts = np.fromiter((counter[0].count(t.as_py() or "") for t in batch.column(text_col)),
-                                 dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names)
+    def work(batch):
+        if not counter:
+            counter.append(MergeCounter(pieces_of(model.value)))
+        counts = (counter[0].count(t.as_py() or "") for t in batch.column(text_col))
+        return [pa.array(np.fromiter(counts, dtype=np.int64, count=batch.num_rows))]
 
-    return df.mapInArrow(compute, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
+    return over_texts(df, [T.StructField(out, T.LongType())], work)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -67,27 +67,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_per
     return placed.select("source", "source_size", target.alias("target"))
 
 
-def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS,
-               share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: int = SEED,
-               bins: int = BINS) -> DataFrame:
-    """``id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` per row.
-
-    Per source every document is taken floor(target / source_size) times. Among all, those first in Pareto order
-    are taken once more while the words so taken stay nearer to what is left of the target than without. The place
-    where that ends is found by two rounds of binned sums over the odds, then by a window over the rows of one bin
-    of a bin; no source is sorted as a whole. Inclusion odds are equal within a source, so odds are ordered by u.
+def mix_limits(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT,
+               max_copies: int = MAX_COPIES, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
+    """Where each source's sample ends, from a written table of ``id``, ``source``, ``size`` and ``u``.
 
-    Null texts have size 0; documents without words get the certain copies only and come first among ties. Null
-    sources are one source. Rows of one id share u and are ordered by size; rows equal in all get equal copies. Empty tables give no rows.
+    Returns one row per source (target, certain copies, limit of u below which all are taken once more) and the
+    rows taken between limit and end. The limit is found by two rounds of binned sums over u, the end by a window over
+    the rows of one bin of a bin; no source is sorted as a whole.
     """
-    scratch = Scratch(df.sparkSession, "mix")
-    base = scratch.write(df.select(
-        df[id_col].cast("long").alias("id"), df[source_col].cast("string").alias("source"), size.alias("size"),
-    ).withColumn("u", uniform(seed, F.col("id"))), "sizes")
-    targets = scratch.write(source_targets(base, weights, share_percent, max_copies), "targets")
+    scratch = Scratch(sizes.sparkSession, "mix")
+    targets = scratch.write(source_targets(sizes, weights, share_percent, max_copies), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = targets.withColumn("whole", whole.cast("long")).withColumn(
-        "left", F.col("target") - F.col("whole") * F.col("source_size"))
+        "left", F.when(F.col("whole") < max_copies, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
 
     # Words before, and range of u that still holds, the end of each source's sample.
     state = goals.select("source", "left", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("low"))
@@ -95,7 +87,7 @@ def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight
     for turn in range(2):
         step = -(-width // bins)
         binned = (
-            _by_source(base, state).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width))
+            _by_source(sizes, state).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width))
             .groupBy("source", "low", "before", "left", F.expr(f"(u - low) div {step}").alias("bin"))
             .agg(F.sum("size").alias("words"))
         )
@@ -109,22 +101,59 @@ def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, weight
             (F.col("low") + F.coalesce(F.col("at.bin") * step, F.lit(width))).alias("low"))
         state = scratch.write(nxt, f"state_{turn}")
         width = step
-    ends = state.select("source", "before", "low").withColumnRenamed("source", "s")
-    joined = _by_source(base, goals.join(ends, goals["source"].eqNullSafe(ends["s"])).drop("s"))
-    # Below the bin all are in, above none. Inside, ties of u are settled by id and size.
-    inside = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width)
-    edge = scratch.write(joined.where(inside).select("source", "id", "size", "u", "before", "left").distinct(), "edge")
-    sums = Window.partitionBy("source").orderBy("u", "id", "size")
-    upto = F.col("before") + F.sum("size").over(sums)
-    chosen = edge.withColumn("upto", upto).where(
-        # The last document is taken if the sum is then no farther from what is wanted than without it.
-        (F.col("upto") - F.col("left")) * 2 <= F.col("size")).select(
-        F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), F.lit(1).alias("extra"))
-    full = joined.join(chosen, joined["source"].eqNullSafe(chosen["s"]) & joined["id"].eqNullSafe(chosen["i"])
-                       & (joined["size"] == chosen["z"]), "left")
-    extra = F.when(F.col("u") < F.col("low"), 1).otherwise(F.coalesce("extra", F.lit(0)))
-    extra = F.when((F.col("left") > 0) & (F.col("whole") < max_copies), extra).otherwise(0)
-    return full.select("id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+    inside = _by_source(sizes, state).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width))
+    # Equal u, as repeated rows have, are settled by id and size.
+    upto = F.col("before") + F.sum("size").over(
+        Window.partitionBy("source").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    # The last document is taken if the sum is then no farther from what is wanted than without it.
+    chosen = inside.withColumn("upto", upto).where((F.col("upto") - F.col("left")) * 2 <= F.col("size"))
+    counted = chosen.groupBy("source", "id", "size").agg(F.count("*").alias("n"))
+    limits = goals.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return scratch.write(limits, "limits"), scratch.write(counted, "chosen")
+
+
+def apply_mix(rows: DataFrame, limits: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to rows with ``id``, ``source``, ``size`` and ``u``.
+
+    Of rows equal in id, source and size that stand at the end of a sample, either all are taken or none.
+    """
+    last = chosen.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), F.lit(1).alias("extra"))
+    full = _by_source(rows, limits)
+    full = full.join(last, full["source"].eqNullSafe(last["s"]) & full["id"].eqNullSafe(last["i"])
+                     & (full["size"] == last["z"]), "left")
+    extra = F.when(F.col("left") > 0, F.when(F.col("u") < F.col("low"), 1).otherwise(F.coalesce("extra", F.lit(0)))).otherwise(0)
+    return full.select(*rows.columns, "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+
+
+def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, seed: int = SEED, **others: Column) -> DataFrame:
+    """``id``, ``source``, ``size``, ``u`` and other columns of ``df`` under names that cannot clash."""
+    return df.select(df[id_col].cast("long").alias("id"), df[source_col].cast("string").alias("source"),
+                     size.alias("size"), *[c.alias(n) for n, c in others.items()]
+                     ).withColumn("u", uniform(seed, F.col("id")))
+
+
+def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS,
+               share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: int = SEED,
+               bins: int = BINS) -> DataFrame:
+    """``id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` per row.
+
+    Per source every document is taken floor(target / source_size) times. Among all, those first in Pareto order
+    are taken once more while the words so taken stay nearer to what is left of the target than without. Inclusion
+    odds are equal within a source, so the order by odds ratio is that by u.
+
+    Null texts have size 0. Null sources are one source. Rows of one id share u and are ordered by size; equal rows get
+    equal copies. Empty tables give no rows. Other columns are not read.
+    """
+    sizes = Scratch(df.sparkSession, "sizes").write(mix_rows(df, id_col, source_col, size, seed), "rows")
+    return apply_mix(sizes, *mix_limits(sizes, weights, share_percent, max_copies, bins)).drop("u")
+
+
+def repeat_by_mix(df: DataFrame, id_col: str, source_col: str, size: Column, **options) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it; the limits are small, so no row is shuffled."""
+    sizes = Scratch(df.sparkSession, "sizes").write(mix_rows(df, id_col, source_col, size), "rows")
+    rows = mix_rows(df, id_col, source_col, size, row=F.struct(*[df[c] for c in df.columns]))
+    taken = apply_mix(rows, *mix_limits(sizes, **options)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:

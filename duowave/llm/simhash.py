@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duowave.llm.components import connected_components
-from duowave.llm.tables import as_bytes, keyed_texts, runs
+from duowave.llm.tables import as_bytes, keyed_texts, runs, same_row, table, with_text_key
 from duowave.plans.scratch import Scratch
 
 # Shingle length in words, hash seed and radius in bits.
@@ -55,14 +55,14 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEE
 
 
 def fingerprints(texts: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``id`` and ``fp`` (64 bits as a long) of rows with ``id`` and ``text``."""
+    """``id``, ``text_key`` and ``fp`` (64 bits as a long) of rows with ``id``, ``text_key`` and ``text``."""
     def compute(batches):
         for batch in batches:
             prints = np.fromiter((fingerprint(t, shingle_words, seed) for t in as_bytes(batch.column("text"))),
                                  dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(prints.view(np.int64))], ["id", "text_key", "fp"])
 
-    return texts.mapInArrow(compute, "id long, fp long")
+    return texts.mapInArrow(compute, "id long, text_key long, fp long")
 
 
 def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,28 +136,45 @@ def _edges(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = SHINGLE_WORDS, seed: int = SEED, radius: int = RADIUS,
                     bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Per row ``id``, ``fp`` and ``component`` (smallest id whose fingerprint is reachable by links).
+    """Per row ``id``, ``text_key``, ``fp`` and ``component`` (smallest id whose fingerprint is reachable by links).
 
     Null and empty texts have fingerprint 0 and are linked like any other. Equal fingerprints are one node, so
-    copies never form pairs. A repeated row gets one result each; a null id is never a component's name unless
-    the component has no other. Empty tables give no rows. Other columns of ``df`` are not read.
+    copies never form pairs. A repeated row gets one result each; a null id names a component only if the
+    component has no other. Empty tables give no rows. Other columns of ``df`` are not read.
     """
     scratch = Scratch(df.sparkSession, "near_duplicates")
-    prints = scratch.write(fingerprints(keyed_texts(df, id_col, text_col), shingle_words, seed), "prints")
+    texts = with_text_key(keyed_texts(df, id_col, text_col))
+    prints = scratch.write(fingerprints(texts, shingle_words, seed), "prints")
     nodes = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket_limit))
     rooted = scratch.write(
         nodes.join(roots, nodes["fp"] == roots["node"], "left")
         .select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    components = rooted.join(least, "root").select("fp", "component")
-    return prints.join(components, "fp").select("id", "fp", "component")
+    components = rooted.join(least, "root").select("fp", "root", "component")
+    return prints.join(components, "fp").select("id", "text_key", "fp", "root", "component")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, the one of smallest id (smallest text hash among rows of that id)."""
+    found = near_duplicates(df, id_col, text_col, **options)
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")
+    # Rows that are equal are counted before the smallest is taken.
+    equal = found.groupBy("root", "id", "text_key").agg(F.count("*").alias("n"))
+    chosen = Scratch(df.sparkSession, "kept").write(
+        equal.groupBy("root").agg(F.min(F.struct(place.alias("p"), "n")).alias("m")).select("m.p.id", "m.p.text_key", "m.n"), "rows")
+    rows = with_text_key(keyed_texts(df, id_col, text_col, row=F.struct(*[df[c] for c in df.columns])))
+    single = chosen.where("n = 1")
+    kept = rows.join(single, same_row(rows, single), "left_semi").select("row")
+    several = chosen.where("n > 1")
+    if not several.isEmpty():
+        twice = rows.join(several, same_row(rows, several), "left_semi")
+        kept = kept.unionByName(twice.groupBy("id", "text_key").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """``op8_simhash``: doc_id, fingerprint and component of every document."""
-    from duowave.llm.tables import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))

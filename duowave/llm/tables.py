@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``text`` alone, so that no other column of ``df`` can clash with those an operator adds."""
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
+def keyed_texts(df: DataFrame, id_col: str, text_col: str, **others: Column) -> DataFrame:
+    """``id``, ``text`` and the given columns, so that no column of ``df`` can clash with those an operator adds."""
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"),
+                     *[c.alias(n) for n, c in others.items()])
 
 
 def with_text_key(df: DataFrame) -> DataFrame:

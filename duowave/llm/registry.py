@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from duowave.llm import backtracking, merges, mixing, quality, simhash, substrings
+from duowave.llm import backtracking, merges, mixing, ppm, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1,
     "op2_robust_outliers": quality.op2,
     "op3_merge_counts": merges.op3,
+    "op4_ppm": ppm.op4,
     "op7_backtracking_bpe": backtracking.op7,
     "op8_simhash": simhash.op8,
     "op9_pareto_mix": mixing.op9,

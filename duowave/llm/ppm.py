@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching over bytes.
 
 The trie of contexts is a table of counted byte sequences: the last ``order`` bytes and the byte that follows. A byte
-is coded in its longest context. Where that context has never been followed by it, an escape (as likely as the
-context has different successors) leads to the context one byte shorter, in which the successors already ruled out
+is coded in its longest context. Where that context has never been followed by it, an escape (half an occurrence
+from each different successor) leads to the context one byte shorter, in which the successors already ruled out
 are excluded. Below the empty context all remaining bytes are equally likely.
 
 Probabilities are found once per distinct sequence. Documents are dealt into chunks of bounded size; a chunk asks for
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from duowave.llm.tables import as_bytes, table
 
-ORDER = 4
+ORDER = 5
 # Bytes that UTF-8 never uses: before a text and at its end. The first is never coded.
 START, END = 0xFE, 0xFF
 SYMBOLS = 255
@@ -78,12 +78,14 @@ def _pair_counts(docs: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def _coded(n, total, kinds, gone, kinds_above, below):
-    """Log10 probability on entering a context from a longer one, whose successors (``gone`` occurrences here) are excluded."""
+    """Log10 probability on entering a context from a longer one, whose successors (``gone`` occurrences here) are excluded.
+
+    Each different successor gives half an occurrence to the escape.
+    """
     escape = kinds - kinds_above
-    room = np.maximum(total - gone + escape, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        found = np.log10(np.maximum(n, 1) / room)
-        missed = np.where(escape > 0, np.log10(np.maximum(escape, 1) / room), 0.0) + below
+    room = np.maximum(total - gone, 1)
+    found = np.log10(np.maximum(n - 0.5, 0.5) / room)
+    missed = np.where(escape > 0, np.log10(np.maximum(escape, 1) / (2 * room)), 0.0) + below
     return np.where(n > 0, found, missed)
 
 

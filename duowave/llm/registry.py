@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duowave.llm import backtracking, merges, mixing, ppm, quality, simhash, substrings
+from duowave.llm import backtracking, collisions, merges, mixing, ppm, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_backtracking_bpe": backtracking.op7,
     "op8_simhash": simhash.op8,
     "op9_pareto_mix": mixing.op9,
+    "op10_collision_counting": collisions.op10,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.llm.tables import as_bytes, table
+from duowave.llm.tables import as_bytes, keyed_texts, table, with_text_key
 from duowave.plans.scratch import Scratch
 
 WINDOW_WORDS = 50
@@ -64,109 +64,132 @@ def _positions(n: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
     return np.flatnonzero(np.resize(member, n)) if n > 0 else np.empty(0, np.int64)
 
 
+def _per_document(batch: pa.RecordBatch):
+    """Row number, words' hashes, marks of each document that takes part: with an id and no copy of an earlier text."""
+    for i, text in enumerate(as_bytes(batch.column("text"))):
+        if batch.column("id")[i].is_valid and not batch.column("is_copy")[i].as_py():
+            yield i, text.split()
+
+
 def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     length = window - period + 1
 
     def compute(batches):
         for batch in batches:
-            ids, hashes, places = [], [], []
-            for i, text in enumerate(as_bytes(batch.column("text"))):
-                words = text.split()
+            rows, hashes = [], []
+            for i, words in _per_document(batch):
                 if len(words) < window:
                     continue
                 rolled = window_hashes(word_hashes(words), length)
-                at = _positions(len(rolled), period, cover)
-                ids.append(np.full(len(at), i))
-                hashes.append(rolled[at])
-                places.append(at)
-            if ids:
+                found = np.unique(rolled[_positions(len(rolled), period, cover)])
+                rows.append(np.full(len(found), i))
+                hashes.append(found)
+            if rows:
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(np.concatenate(ids))),
-                    pa.array(np.concatenate(hashes).view(np.int64)),
-                    pa.array(np.concatenate(places).astype(np.int32)),
-                ], ["id", "h", "at"])
+                    batch.column("id").take(pa.array(np.concatenate(rows))),
+                    pa.array(np.concatenate(hashes).view(np.int64))], ["id", "h"])
 
-    return docs.select("id", "text").mapInArrow(compute, "id long, h long, at int")
+    return docs.mapInArrow(compute, "id long, h long")
 
 
-def _windows(found: DataFrame, window: int, period: int) -> DataFrame:
-    """Whole-window hashes where one of the positions ``at`` is an anchor that starts within the window's first period.
+def _windows(found: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """Hashes of the windows of which an anchor in the first period is among the document's shared ones.
 
-    ``place`` holds the window's start and 31 bits of the text's hash, which tell rows of one id apart.
+    ``h`` and ``g`` are 79 bits of hash. ``place`` holds the start of the window below the number of the text among
+    those of its id.
     """
+    length = window - period + 1
+
     def compute(batches):
         for batch in batches:
-            ids, h1, h2, places = [], [], [], []
-            marks = batch.column("at")
-            for i, text in enumerate(as_bytes(batch.column("text"))):
-                hashes = word_hashes(text.split())
-                n = len(hashes) - window + 1
-                if n <= 0:
+            rows, h, g, places = [], [], [], []
+            marks = batch.column("shared")
+            for i, words in _per_document(batch):
+                n = len(words) - window + 1
+                if n <= 0 or not marks[i].is_valid:
                     continue
+                hashes = word_hashes(words)
+                rolled = window_hashes(hashes, length)
+                at = _positions(len(rolled), period, cover)
+                at = at[np.isin(rolled[at], marks[i].values.to_numpy().view(np.uint64))]
                 # Windows that start at most period - 1 words before a shared anchor.
                 step = np.zeros(len(hashes) + 2, dtype=np.int32)
-                at = np.unique(marks[i].values.to_numpy())
-                at = at[at < len(hashes)]
                 np.add.at(step, np.maximum(at - period + 1, 0), 1)
                 np.add.at(step, at + 1, -1)
                 start = np.flatnonzero(np.cumsum(step)[:n] > 0)
-                ids.append(np.full(len(start), i))
-                h1.append(window_hashes(hashes, window)[start])
-                h2.append(window_hashes(hashes, window, MULTIPLIERS[1])[start])
-                places.append(start + (batch.column("key")[i].as_py() << 32))
-            if ids:
+                rows.append(np.full(len(start), i))
+                h.append(window_hashes(hashes, window)[start])
+                g.append(window_hashes(hashes, window, MULTIPLIERS[1])[start])
+                places.append(start + (batch.column("number")[i].as_py() << 32))
+            if rows:
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(np.concatenate(ids))),
-                    pa.array(np.concatenate(h1).view(np.int64)),
-                    pa.array((np.concatenate(h2) >> np.uint64(33)).astype(np.int32)),
-                    pa.array(np.concatenate(places).astype(np.int64)),
-                ], ["id", "h", "g", "place"])
+                    batch.column("id").take(pa.array(np.concatenate(rows))),
+                    pa.array(np.concatenate(h).view(np.int64)),
+                    pa.array((np.concatenate(g) >> np.uint64(49)).astype(np.int32)),
+                    pa.array(np.concatenate(places).astype(np.int64))], ["id", "h", "g", "place"])
 
-    return found.select("id", "key", "text", "at").mapInArrow(compute, "id long, h long, g int, place long")
+    return found.mapInArrow(compute, "id long, h long, g int, place long")
 
 
-def _removal(joined: DataFrame, window: int, row_type: T.StructType) -> DataFrame:
+def _removal(joined: DataFrame, window: int, carried: list[T.StructField]) -> DataFrame:
     schema = T.StructType([
         T.StructField("id", T.LongType()), T.StructField("text", T.StringType()),
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType()),
         T.StructField("removed", T.ArrayType(T.StructType([
             T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))),
-        T.StructField("row", row_type),
+        *carried,
     ])
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    names = schema.names
+
+    def spans(n_words: int, is_copy: bool, number: int, places) -> list[tuple[int, int]]:
+        if is_copy:
+            # All windows also start in the earlier document with this text.
+            return [(0, n_words)] if n_words >= window else []
+        if not places.is_valid:
+            return []
+        start = places.values.to_numpy()
+        start = np.unique(start[start >> 32 == number] & 0xFFFFFFFF)
+        if not len(start):
+            return []
+        # Windows that touch or overlap make one span.
+        cut = np.flatnonzero(np.diff(start) > window)
+        first = start[np.concatenate([[0], cut + 1])]
+        last = start[np.concatenate([cut, [len(start) - 1]])] + window
+        return list(zip(first.tolist(), last.tolist()))
 
     def compute(batches):
         for batch in batches:
-            total, gone, kept, spans = [], [], [], []
-            keys, lists = batch.column("key"), batch.column("places")
+            total, gone, kept, removed = [], [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 words = text.split()
+                found = spans(len(words), batch.column("is_copy")[i].as_py(), batch.column("number")[i].as_py(),
+                              batch.column("places")[i])
+                left, at = [], 0
+                for start, stop in found:
+                    left += words[at:start]
+                    at = stop
+                left += words[at:]
                 total.append(len(words))
-                start = lists[i].values
-                start = np.empty(0, np.int64) if start is None else start.to_numpy()
-                start = np.unique(start[start >> 32 == keys[i].as_py()] & 0xFFFFFFFF)
-                if not len(start):
-                    gone.append(0)
-                    kept.append(b" ".join(words))
-                    spans.append([])
-                    continue
-                # Windows that touch or overlap make one span.
-                cut = np.flatnonzero(np.diff(start) > window)
-                first = start[np.concatenate([[0], cut + 1])].tolist()
-                last = (start[np.concatenate([cut, [len(start) - 1]])] + window).tolist()
-                gone.append(sum(last) - sum(first))
-                left = []
-                for a, b in zip([0, *last], [*first, len(words)]):
-                    left += words[a:b]
+                gone.append(len(words) - len(left))
                 kept.append(b" ".join(left))
-                spans.append([{"start": a, "stop": b} for a, b in zip(first, last)])
+                removed.append([{"start": a, "stop": b} for a, b in found])
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), batch.column("text"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
-                pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span), batch.column("row"),
-            ], ["id", "text", "n_words", "n_removed", "kept_text", "removed", "row"])
+                pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, span),
+                *[batch.column(f.name) for f in carried]], names)
 
-    return joined.select("id", "text", "key", "places", "row").mapInArrow(compute, schema)
+    return joined.mapInArrow(compute, schema)
+
+
+def _texts_of_ids(docs: DataFrame) -> DataFrame:
+    """``rid`` and ``texts``: per id the hashes of its texts and whether a smaller id has the same text."""
+    texts = docs.select("id", "key", F.crc32("text").alias("key2"), F.octet_length("text").alias("size")).distinct()
+    first = texts.groupBy(F.col("key").alias("k"), F.col("key2").alias("k2"), F.col("size").alias("k3")).agg(F.min("id").alias("first"))
+    same = F.col("key").eqNullSafe(F.col("k")) & F.col("key2").eqNullSafe(F.col("k2")) & F.col("size").eqNullSafe(F.col("k3"))
+    marked = texts.join(first, same).select("id", "key", F.coalesce(F.col("first") < F.col("id"), F.lit(False)).alias("is_copy"))
+    return marked.groupBy(F.col("id").alias("rid")).agg(F.array_sort(F.collect_set(F.struct("key", "is_copy"))).alias("texts"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
@@ -174,32 +197,37 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Cut every word lying in a window whose words also occur in a document of smaller id.
 
     Per row of ``df``: ``id``, ``text``, ``n_words``, ``n_removed``, ``kept_text`` (remaining words joined by one space),
-    ``removed`` (spans of word positions) and ``row`` (a struct of the columns in ``carry``; none by default). Windows
-    are judged on the input. Rows of one id are the same document, so they remove nothing from each other. Texts
-    shorter than a window, empty and null texts keep all words. A null id is neither smaller nor larger than any.
-    Empty tables give no rows.
-
-    The anchors' minima combine before the shuffle; a passage in very many documents is one row of that aggregate, and
-    the join back to its places is an ordinary join, which Spark divides where it is skewed.
+    ``removed`` (spans of word positions) and, if ``carry`` names columns, ``row`` (a struct of them). Windows are
+    judged on the input. Rows of one id are the same document, so they remove nothing from each other; an id should
+    have few texts. Texts shorter than a window, empty and null texts keep all words. A null id is neither smaller
+    nor larger than any. Empty tables give no rows.
+
+    A text that a smaller id has too is dealt with as a whole, so that copies send no anchors. Minima of anchors and
+    windows combine before the shuffle; a passage in very many documents is one row of that aggregate, and the join
+    back to its places is an ordinary join, which Spark divides where it is skewed. All steps start from the same
+    texts dealt out by id, which Spark shuffles once.
     """
     check_cover(period, cover)
     if window < period:
         raise ValueError("the window must be as long as the period")
-    carried = F.struct(*[df[c] for c in carry]) if carry else F.struct(F.lit(True).alias("row"))
-    docs = df.select(
-        df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"), carried.alias("row"),
-        F.coalesce(F.xxhash64(df[text_col].cast("string")).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(0)).alias("key"))
-    scratch = Scratch(df.sparkSession, "substrings")
-    anchors = _anchors(docs.where("id IS NOT NULL"), window, period, cover)
+    row = {"row": F.struct(*[df[c] for c in carry])} if carry else {}
+    texts = with_text_key(keyed_texts(df, id_col, text_col, **row)).withColumnRenamed("text_key", "key")
+    roles = Scratch(df.sparkSession, "substrings").write(_texts_of_ids(texts), "texts")
+    # Null-safe left joins on id alone everywhere: any other join would deal out the texts anew.
+    number = F.array_position(F.transform("texts", lambda t: t["key"]), F.col("key")) - 1
+    docs = texts.join(roles, texts["id"].eqNullSafe(roles["rid"]), "left").select(
+        *texts.columns, number.alias("number"), F.element_at("texts", (number + 1).cast("int"))["is_copy"].alias("is_copy"))
+    anchors = _anchors(docs, window, period, cover)
     shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    # A document has a bounded number of anchors, so the lists are no longer than its text.
-    places = scratch.write(
-        anchors.join(shared, "h").groupBy("id").agg(F.collect_list("at").alias("at")), "anchors")
-    windows = _windows(docs.join(places, "id"), window, period)
+    # A document has a bounded number of anchors and windows, so the lists are no longer than its text.
+    marks = anchors.join(shared, "h").groupBy(F.col("id").alias("sid")).agg(F.collect_list("h").alias("shared"))
+    marked = docs.join(marks, docs["id"].eqNullSafe(marks["sid"]), "left").where("shared IS NOT NULL").drop("sid")
+    windows = _windows(marked, window, period, cover)
     first = windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     repeats = windows.join(first.drop("hi"), ["h", "g"]).where("id > lo")
-    removed = repeats.groupBy("id").agg(F.collect_list("place").alias("places"))
-    return _removal(docs.join(removed, "id", "left"), window, docs.schema["row"].dataType)
+    gone = repeats.groupBy(F.col("id").alias("gid")).agg(F.collect_list("place").alias("places"))
+    joined = docs.join(gone, docs["id"].eqNullSafe(gone["gid"]), "left").drop("gid")
+    return _removal(joined, window, [docs.schema["row"]] if carry else [])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from duowave.llm import backtracking, collisions, merges, mixing, ppm, quality, simhash, substrings
+from duowave.llm import backtracking, collisions, dom, licenses, merges, mixing, ppm, quality, simhash, substrings
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1,
     "op2_robust_outliers": quality.op2,
     "op3_merge_counts": merges.op3,
     "op4_ppm": ppm.op4,
+    "op5_dom_model": dom.op5,
+    "op6_license_digests": licenses.op6,
     "op7_backtracking_bpe": backtracking.op7,
     "op8_simhash": simhash.op8,
     "op9_pareto_mix": mixing.op9,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
+    "op6_license_digests": licenses.OP6_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
 }

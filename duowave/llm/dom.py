@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duowave.llm.tables import table
+from duowave.llm.tables import slices, table
 
 # Fixed values of HTML: elements without an end, elements whose text is never shown, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +57,7 @@ class Page(HTMLParser):
         name, _ = self.open.pop()
         self.hidden -= name in HIDDEN
         self.links -= name == "a"
-        if name not in INLINE:
+        if name not in INLINE and name not in HIDDEN:
             self.joined = False
 
     def _end(self, kinds, limits) -> None:
@@ -168,10 +168,10 @@ def marginals(page: Page, model: dict) -> list[float]:
 
 
 def main_text(html: str, model: dict) -> str:
-    """Kept runs with white space inside as one space, trimmed, one to a line."""
+    """Kept runs with white space (that of Unicode) inside as one space, trimmed, one to a line."""
     page = Page(html)
     chance = marginals(page, model)
-    runs = (_SPACE.sub(" ", "".join(parts)).strip() for node, parts in page.runs if chance[node] > 0.5)
+    runs = (" ".join("".join(parts).split()) for node, parts in page.runs if chance[node] > 0.5)
     return "\n".join(r for r in runs if r)
 
 
@@ -202,7 +202,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         return (plain, rng.choice(["", *names.split()])) if rng.random() < share else (named, rng.choice(names.split()))
 
     def paragraph() -> str:
-        kind, text = rng.random(), prose(*rng.choice([(3, 12), (10, 40), (30, 120), (100, 260)]))
+        kind, text = rng.random(), prose(*rng.choice([(1, 4), (3, 12), (10, 40), (30, 120), (100, 260)]))
         if kind < 0.08:
             return block("blockquote", 1, block("p", 1, text))
         if kind < 0.14:
@@ -216,7 +216,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[str]:
         return block("p", 1, f"<b>{text}</b>" if kind > 0.95 else text)
 
     def article() -> str:
-        body = block("h1", 1, " ".join(words(3, 10))) * (rng.random() < 0.8) + "".join(paragraph() for _ in range(rng.randint(1, 9)))
+        body = block("h1", 1, " ".join(words(1, 10))) * (rng.random() < 0.8)
+        # One in five articles is a note of a few words.
+        body += block("p", 1, prose(1, 8)) if rng.random() < 0.2 else "".join(paragraph() for _ in range(rng.randint(1, 9)))
         if rng.random() < 0.25:
             body += block(rng.choice(["div", "aside"]), 0, link() + " " + link(), rng.choice(["share", "social", "related", "tags", "byline meta"]))
         tag, names = either(0.55, rng.choice(["article", "main"]), rng.choice(["div", "section"]),
@@ -317,7 +319,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     rows = df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[html_col].cast("string").alias("html"))
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h.as_py() or "", model) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 

@@ -40,6 +40,13 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what is made of a batch of texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
     """Consecutive rows with equal ``keys``, as columns; a run may span batches. Integer columns only."""
     held: list[dict[str, np.ndarray]] = []

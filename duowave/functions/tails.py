@@ -19,50 +19,162 @@ def _each(fn, x) -> np.ndarray:
     return np.array([fn(v) for v in np.ravel(x)], dtype=float).reshape(np.shape(x))
 
 
-def inc_beta(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
-    swap = x > (a + 1) / (a + b + 2)
-    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    with np.errstate(all="ignore"):
-        log_beta = _each(math.lgamma, p) + _each(math.lgamma, q) - _each(math.lgamma, p + q)
-        front = np.exp(p * np.log(z) + q * np.log1p(-z) - log_beta) / p
-        tiny = 1e-300
-        c = np.ones_like(z)
-        d = 1 - (p + q) * z / (p + 1)
-        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-        h = d.copy()
-        for k in range(1, 400):
-            even = k * (q - k) * z / ((p + 2 * k - 1) * (p + 2 * k))
-            odd = -(p + k) * (p + q + k) * z / ((p + 2 * k) * (p + 2 * k + 1))
-            for step in (even, odd):
-                d = 1 + step * d
-                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-                c = 1 + step / c
-                c = np.where(np.abs(c) < tiny, tiny, c)
-                change = c * d
-                h = h * change
-            if np.nanmax(np.abs(change - 1), initial=0.0) < 1e-15:
-                break
-        value = np.where(z <= 0, 0.0, front * h)
-    return np.where(swap, 1 - value, value)
+# Coefficients of Stirling's series, 1 / (2k (2k - 1)) times the Bernoulli numbers.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+# First parameter from which the expansion for large parameters is used, and its range of -log x.
+_LARGE, _NEAR_ONE = 40.0, 0.5
+
+
+def _stirling_rest(x: np.ndarray) -> np.ndarray:
+    """``lgamma(x)`` less its leading terms, for x of 10 or more."""
+    return sum(c / x ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """``lgamma(a + b) - lgamma(a)`` without the loss of digits of that difference at large ``a``."""
+    if a < 10:
+        return math.lgamma(a + b) - math.lgamma(a)
+    return (_stirling_rest(a + b) - _stirling_rest(a) + (a + b - 0.5) * math.log1p(b / a) + b * math.log(a) - b)
+
+
+def _log_front(a: float, b: float, x: float, y: float) -> float:
+    """Log of ``x^a y^b / Beta(a, b)``."""
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    small, large = min(a, b), max(a, b)
+    return a * log_x + b * log_y + _log_gamma_ratio(large, small) - math.lgamma(small)
+
+
+def _fraction(a: float, b: float, x: float, y: float) -> float:
+    """Lower tail by the continued fraction, for x below its mean."""
+    tiny, total = 1e-300, a + b
+    c, d = 1.0, 1 - total * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h, steps = d, 200 + int(10 * math.sqrt(max(a, b)))
+    for k in range(1, steps):
+        for step in (k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)),
+                     -(a + k) * (total + k) * x / ((a + 2 * k) * (a + 2 * k + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / c
+            c = c if abs(c) > tiny else tiny
+            change = c * d
+            h *= change
+        if abs(change - 1) < 1e-15:
+            return math.exp(_log_front(a, b, x, y)) * h / a
+    raise ArithmeticError(f"no convergence of the incomplete beta function at {a}, {b}, {x}")
+
+
+def _gamma_upper_half(b: float, z: float) -> float:
+    """Upper regularised incomplete gamma function for ``b`` in (0, 1]."""
+    if b == 0.5:
+        return math.erfc(math.sqrt(z))
+    if b == 1:
+        return math.exp(-z)
+    if z < 1.5:
+        term = total = 1 / b
+        n = b
+        while abs(term) > 1e-17 * abs(total):
+            n += 1
+            term *= z / n
+            total += term
+        return 1 - math.exp(b * math.log(z) - z - math.lgamma(b)) * total if z > 0 else 1.0
+    c, d = 1e300, 1 / (z + 1 - b)
+    h = d
+    for k in range(1, 1000):
+        step = -k * (k - b)
+        d = 1 / (step * d + z + 2 * k + 1 - b)
+        c = z + 2 * k + 1 - b + step / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return math.exp(b * math.log(z) - z - math.lgamma(b)) * h
+    raise ArithmeticError(f"no convergence of the incomplete gamma function at {b}, {z}")
+
+
+def _large_first(a: float, b: float, x: float, y: float) -> float:
+    """Lower tail for large ``a`` and x near 1, by the expansion in incomplete gamma functions.
+
+    Second parameters above 1 are first lowered by whole steps, whose terms are all positive.
+    """
+    steps = max(0, math.ceil(b) - 1)
+    rest = b - steps
+    added = 0.0
+    if steps:
+        term = math.exp(_log_front(a, rest, x, y) - math.log(a)) * a / rest
+        for k in range(steps):
+            added += term
+            term *= (a + rest + k) / (rest + k + 1) * y
+    log_x = math.log1p(-y)
+    nu = a + (rest - 1) / 2
+    z = -nu * log_x
+    if z > 700:
+        return added
+    scale = math.exp(_log_gamma_ratio(a, rest) - rest * math.log(nu))
+    front = math.exp(rest * math.log(z) - z - math.lgamma(rest)) if z > 0 else 0.0
+    j = _gamma_upper_half(rest, z)
+    total, p, half, power = j, [1.0], log_x / 2, 1.0
+    for n in range(1, 60):
+        # j is kept multiplied by the density, which would vanish on its own.
+        j = ((rest + 2 * n - 2) * (rest + 2 * n - 1) * j + (z + rest + 2 * n - 1) * power * front) / (4 * nu * nu)
+        power *= half * half
+        p.append((rest - 1) / math.factorial(2 * n + 1)
+                 + sum((m * rest - n) * p[n - m] / math.factorial(2 * m + 1) for m in range(1, n)) / n)
+        total += p[n] * j
+        if abs(p[n] * j) <= 1e-17 * abs(total):
+            return scale * total + added
+    raise ArithmeticError(f"no convergence of the incomplete beta function at {a}, {b}, {x}")
+
+
+def _inc_beta(a: float, b: float, x: float, y: float) -> float:
+    if x <= 0 or y <= 0:
+        return 0.0 if x <= 0 else 1.0
+    # Beyond exp(-600) the fraction converges at once and keeps the last digits.
+    depth = -math.log1p(-y) if y < 0.5 else -math.log(x)
+    if a >= _LARGE and b <= max(1.0, a / 20) and depth < _NEAR_ONE and a * depth < 600:
+        return _large_first(a, b, x, y)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _inc_beta_lower(b, a, y, x)
+    return _inc_beta_lower(a, b, x, y)
+
+
+def _inc_beta_lower(a: float, b: float, x: float, y: float) -> float:
+    if b >= _LARGE and a <= max(1.0, b / 20) and -math.log1p(-x) < _NEAR_ONE:
+        return 1 - _large_first(b, a, y, x)
+    return _fraction(a, b, x, y)
+
+
+def inc_beta(a, b, x, y=None) -> np.ndarray:
+    """Regularised incomplete beta function; ``y`` is ``1 - x`` where that is known without loss of digits.
+
+    A value that does not converge raises ``ArithmeticError``.
+    """
+    x = np.asarray(x, dtype=float)
+    parts = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x, 1 - x if y is None else y)))
+    values = [math.nan if any(map(math.isnan, v)) else _inc_beta(*map(float, v)) for v in zip(*(np.ravel(p) for p in parts))]
+    return np.array(values, dtype=float).reshape(parts[0].shape)
 
 
 def t_tail(t, df) -> np.ndarray:
     """Two-sided Student t probability."""
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return inc_beta(df / 2, 0.5, df / (df + t * t))
+    return inc_beta(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def t_quantile(p, df) -> np.ndarray:
-    """Student t quantile for ``p`` above one half, by bisection."""
-    df = np.asarray(df, dtype=float)
-    low, high = np.zeros_like(df), np.full_like(df, 1e6)
-    for _ in range(110):
-        mid = (low + high) / 2
-        below = 1 - t_tail(mid, df) / 2 < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+    """Student t quantile for ``p`` above one half: bracketed by doubling, then halved to the last digit."""
+    tail = 2 * (1 - p)
+
+    def one(dof: float) -> float:
+        low, high = 0.0, 1.0
+        while t_tail(high, dof) > tail:
+            low, high = high, high * 2
+        while True:
+            mid = (low + high) / 2
+            if not low < mid < high:
+                return mid
+            low, high = (mid, high) if t_tail(mid, dof) > tail else (low, mid)
+
+    return _each(one, np.asarray(df, dtype=float))
 
 
 def _nulled(values: np.ndarray, known: np.ndarray) -> pd.Series:
@@ -79,7 +191,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     known = (f.notna() & df1.notna() & df2.notna() & (df2 > 0)).to_numpy()
     f, d1, d2 = (np.where(known, v.astype(float), 1.0) for v in (f, df1, df2))
-    return _nulled(inc_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)), known)
+    return _nulled(inc_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f)), known)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from duowave.operators.linear import cross_products, symmetric
 from duowave.plans.scratch import Scratch
-from duowave.plans.skew import BUCKET_ROWS, range_buckets
+from duowave.plans.skew import BUCKET_ROWS, join_small, range_buckets
 
 # Number of copies, rounds, donors per gap, seed and ridge of the regressions.
 COPIES = 20
@@ -36,26 +36,29 @@ def _draw_coefficients(moments: DataFrame, k: int, seed: int, label: str) -> Dat
     """Per copy the fitted coefficients and one draw from their distribution, intercept first."""
     def solve(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                s, means, n = symmetric(row["s"], k + 1), np.asarray(row["means"]), int(row["n"])
-                ridge = s[:k, :k] + RIDGE * np.diag(np.diag(s[:k, :k]))
-                inverse = np.linalg.pinv(ridge, hermitian=True)
-                beta = inverse @ s[:k, k]
-                dof = max(n - k - 1, 1)
-                rest = max(s[k, k] - 2 * beta @ s[:k, k] + beta @ s[:k, :k] @ beta, 0.0)
-                stream = np.random.default_rng([seed, int(row["imp"]), *label.encode()])
-                sigma = np.sqrt(rest / stream.chisquare(dof))
-                values, vectors = np.linalg.eigh(inverse)
-                root = vectors * np.sqrt(np.clip(values, 0, None))
-                drawn = beta + sigma * root @ stream.standard_normal(k)
-                centre = means[k] + sigma * stream.standard_normal() / np.sqrt(n)
-                out.append({
-                    "imp": row["imp"],
-                    "fitted": [means[k] - beta @ means[:k], *beta],
-                    "drawn": [centre - drawn @ means[:k], *drawn],
-                })
-            yield pd.DataFrame(out, columns=["imp", "fitted", "drawn"])
+            if not len(batch):
+                continue
+            # All copies of the batch as stacked matrices; each copy draws from a stream of its own.
+            s, means = symmetric(np.stack(batch["s"].to_numpy()), k + 1), np.stack(batch["means"].to_numpy())
+            n = batch["n"].to_numpy()
+            inner, cross = s[:, :k, :k], s[:, :k, k]
+            inverse = np.linalg.pinv(inner + RIDGE * np.eye(k) * inner, hermitian=True)
+            beta = np.einsum("bij,bj->bi", inverse, cross)
+            rest = np.maximum(s[:, k, k] - 2 * np.einsum("bi,bi->b", beta, cross)
+                              + np.einsum("bi,bij,bj->b", beta, inner, beta), 0.0)
+            dof = np.maximum(n - k - 1, 1)
+            streams = [np.random.default_rng([seed, int(i), *label.encode()]) for i in batch["imp"]]
+            draws = [(r.chisquare(d), r.standard_normal(k), r.standard_normal()) for r, d in zip(streams, dof)]
+            sigma = np.sqrt(rest / np.array([d[0] for d in draws]))
+            values, vectors = np.linalg.eigh(inverse)
+            root = vectors * np.sqrt(np.clip(values, 0, None))[:, None, :]
+            drawn = beta + sigma[:, None] * np.einsum("bij,bj->bi", root, np.array([d[1] for d in draws]))
+            centre = means[:, k] + sigma * np.array([d[2] for d in draws]) / np.sqrt(n)
+            yield pd.DataFrame({
+                "imp": batch["imp"],
+                "fitted": np.column_stack([means[:, k] - np.einsum("bi,bi->b", beta, means[:, :k]), beta]).tolist(),
+                "drawn": np.column_stack([centre - np.einsum("bi,bi->b", drawn, means[:, :k]), drawn]).tolist(),
+            })
 
     return moments.mapInPandas(solve, "imp int, fitted array<double>, drawn array<double>")
 
@@ -99,24 +102,31 @@ def _edge_donors(cut: DataFrame, order: Sequence[str], donors: int) -> DataFrame
 
 
 def _match(cut: DataFrame, name: str, donors: int) -> DataFrame:
-    """Give every gap in ``name`` the value of one of its nearest donors within its bucket and margins."""
+    """Give every gap in ``name`` the value of one of its nearest donors.
+
+    Of the ``donors`` donors before and after a gap, in the order of position and tie, the nearest by position count.
+    """
     columns = cut.columns
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "tie"], kind="stable")
-        giving = pdf[pdf["is_donor"]]
-        gaps = ~pdf["is_donor"].to_numpy()
-        if gaps.any() and len(giving):
-            at, value = giving["at"].to_numpy(), giving[name].to_numpy()
-            mine = pdf.loc[gaps, "at"].to_numpy()
+        is_donor = pdf["is_donor"].to_numpy()
+        gaps = ~is_donor
+        if gaps.any() and is_donor.any():
+            at, value = pdf["at"].to_numpy()[is_donor], pdf[name].to_numpy()[is_donor]
+            mine = pdf["at"].to_numpy()[gaps]
             take = min(donors, len(at))
-            slots = np.searchsorted(at, mine, side="right")[:, None] + np.arange(-donors, donors)
+            # Places around the gap's own place in the order of position and tie: they lie in every bucket that
+            # holds the gap, however the rows are cut, and among equal positions they differ from gap to gap.
+            slots = np.cumsum(is_donor)[gaps][:, None] + np.arange(-donors, donors)
             distance = np.where((slots >= 0) & (slots < len(at)),
                                 np.abs(at[np.clip(slots, 0, len(at) - 1)] - mine[:, None]), np.inf)
             nearest = np.argsort(distance, axis=1, kind="stable")[:, :take]
-            choice = np.minimum((pdf.loc[gaps, "pick"].to_numpy() * take).astype(int), take - 1)
+            choice = np.minimum((pdf["pick"].to_numpy()[gaps] * take).astype(int), take - 1)
             rows = np.arange(len(mine))
-            pdf.loc[gaps, name] = value[slots[rows, nearest[rows, choice]]]
+            filled = pdf[name].to_numpy(copy=True)
+            filled[gaps] = value[slots[rows, nearest[rows, choice]]]
+            pdf[name] = filled
         return pdf[~pdf["is_edge"]][columns]
 
     return cut.groupBy("imp", "bucket").applyInPandas(fill, cut.schema)
@@ -170,7 +180,7 @@ def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES,
     def matched(rows: DataFrame, v: str, at: Column, step: str) -> DataFrame:
         return _impute_step(rows.withColumns({
             "is_donor": F.col(f"seen_{v}"), "at": at,
-            "tie": F.xxhash64(F.lit(seed), F.col("imp"), F.col(key)),
+            "tie": F.xxhash64(F.lit(seed), F.lit(step), F.lit(v), F.col("imp"), F.col(key)),
             "pick": _uniform(seed, F.lit(step), F.lit(v), F.col("imp"), F.col(key)),
         }), v, n_rows, m, scratch, donors, bucket_rows)
 
@@ -182,8 +192,7 @@ def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES,
             predictors = [x for x in variables if x != v]
             moments = cross_products(state.where(f"seen_{v}"), [*predictors, v], ["imp"])
             coefficients = _draw_coefficients(moments, len(predictors), seed, f"{round_}:{v}")
-            # One row per copy.
-            scored = state.join(F.broadcast(coefficients), "imp")
+            scored = join_small(state, coefficients, ["imp"], "inner")
             at = F.when(F.col(f"seen_{v}"), _prediction("fitted", predictors)).otherwise(_prediction("drawn", predictors))
             step = scored.withColumn("at", at).drop("fitted", "drawn")
             state = advance(matched(step, v, F.col("at"), str(round_)))

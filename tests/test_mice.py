@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from duowave.operators.mice import mice_pmm
+from duowave.operators.mice import _impute_step, mice_pmm
+from duowave.plans.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,20 @@ def test_fewer_donors_than_wanted(spark):
 def test_complete_data_is_only_copied(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0)], "patient long, x double")
     assert rows(mice_pmm(df, "patient", ["x"], m=2)) == [(1, 1, 1.0), (1, 2, 2.0), (2, 1, 1.0), (2, 2, 2.0)]
+
+
+@pytest.mark.parametrize("positions", [1, 2, 7, 1000])
+def test_matching_step_does_not_depend_on_cuts(spark, tmp_path, positions):
+    rng = np.random.default_rng(positions)
+    n = 2000
+    missing = rng.random(n) < 1 / 3
+    data = [(1 + i % 2, i, None if missing[i] else float(i), bool(~missing[i]), float(rng.integers(positions)), int(rng.integers(1 << 40)),
+             float(rng.random())) for i in range(n)]
+    df = spark.createDataFrame(data, "imp int, patient long, y double, is_donor boolean, at double, tie long, pick double")
+    results = [rows(_impute_step(df.repartition(parts), "y", n // 2, 2, Scratch(spark, "step"), 5, bucket).select("imp", "patient", "y"))
+               for bucket in (100, 1_000_000) for parts in (1, 5)]
+    assert all(r == results[0] for r in results)
+    filled = {r[1]: r[2] for r in results[0]}
+    # Equal positions reach many donors.
+    if positions == 1:
+        assert len({filled[i] for i in np.flatnonzero(missing)}) > missing.sum() / 4

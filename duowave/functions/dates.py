@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,10 @@ SERIAL_EPOCH = 25569
 YEAR_FIRST = r"^\d{4}\D+\d{1,2}\D+\d{1,2}"
 YEAR_LAST = r"^\d{1,2}[./-]\s*\d{1,2}[./-]\s*\d{4}"
 CLOCK = r"(?:[T\s]+\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?\s*(?:Z|UTC)?$"
+# Hours and minutes east of UTC behind a clock time.
+OFFSET = r"(:\d{1,2}(?:\.\d+)?)\s*([+-])(\d{2}):?(\d{2})?$"
+# A full time as programs write it.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
 def excel_serial(c: Column) -> Column:
@@ -51,9 +55,29 @@ def _time_of(text: Column, parts: Column) -> Column:
 
 
 def parse_datetime_text(c: Column) -> Column:
-    """Time of a text: year-month-day, else day-month-year, else month-day-year; clock time optional."""
+    """Time of a text: year-month-day, else day-month-year, else month-day-year; clock time optional.
+
+    A time with an offset from UTC becomes UTC.
+    """
     spaced = F.regexp_replace(F.trim(c.cast("string")), r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3")
-    return _with(spaced, lambda text: _with(F.split(text, r"\D+"), lambda parts: _time_of(text, parts)))
+    local = F.regexp_replace(spaced, OFFSET, "$1")
+    at = _with(local, lambda text: _with(F.split(text, r"\D+"), lambda parts: _time_of(text, parts)))
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(spaced, OFFSET, i)
+
+    minutes = (part(3).try_cast("int") * 60 + F.coalesce(part(4).try_cast("int"), F.lit(0))) * F.when(part(2) == "-", -1).otherwise(1)
+    shifted = at - F.make_dt_interval(mins=minutes)
+    return F.when(spaced.rlike(OFFSET), shifted).otherwise(at)
+
+
+def unparsed_times(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column the number of known values and of those that give no time, in one pass."""
+    counts = df.agg(*[F.struct(F.count(c).alias("n_known"), F.count_if(F.col(c).isNotNull() & parse_any_datetime(df, c).isNull())
+                               .alias("n_unparsed")).alias(c) for c in columns])
+    lines = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c)["n_known"].alias("n_known"),
+                               F.col(c)["n_unparsed"].alias("n_unparsed")) for c in columns])
+    return counts.select(F.explode(lines).alias("line")).select("line.*")
 
 
 def parse_any_datetime(df: DataFrame, name: str) -> Column:

@@ -131,7 +131,8 @@ def parse_number(c: Column | str, decimal_comma: bool = False) -> Column:
     if decimal_comma:
         text = F.translate(text, ".,", ",.")
     digits = F.replace(F.regexp_extract(text, NUMBER, 0), F.lit(","), F.lit(""))
-    return digits.try_cast("double")
+    # Casting an empty text costs an exception per row inside Spark.
+    return F.when(digits != "", digits.try_cast("double"))
 
 
 def code_lookup(key: Column, codes: Mapping[str, float]) -> Column:

@@ -94,7 +94,8 @@ def apply_across(df: DataFrame, items: Sequence[str], fn) -> DataFrame:
 
 def code_items(df: DataFrame, items: Sequence[str], codes: Mapping[str, float] | None = None,
                number_first: bool = True) -> DataFrame:
-    """Replace item texts by codes."""
+    """Replace item texts by codes; numbers count as texts."""
+    df = df.withColumns({c: F.col(c).cast("string") for c in items})
     return apply_across(df, items, lambda c: likert_code(c, codes, number_first))
 
 

@@ -10,9 +10,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duowave.functions import categories as cat
-from duowave.functions import text
+from duowave.functions import dates, text
 from duowave.functions.names import first_present_column, present_columns, standardize_id
 from duowave.operators import (
     anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, scoring, summary, visits,
@@ -77,10 +78,12 @@ class Study:
     """Outcomes of all questionnaires of a study, ready for its reports."""
 
     def __init__(self, patients: DataFrame, forms: Mapping[str, DataFrame], crf: DataFrame | None = None,
-                 seq_col: str = "ingest_seq", instruments: Sequence[Instrument] = INSTRUMENTS):
+                 seq_col: str = "ingest_seq", instruments: Sequence[Instrument] = INSTRUMENTS, dedup: bool = True):
+        """``dedup=False`` keeps all different case report forms of a patient, which multiplies rows joined with them."""
         self.spark = patients.sparkSession
         self.scratch = Scratch(self.spark, "study")
         self.forms, self.crf, self.seq_col, self.instruments = dict(forms), crf, seq_col, instruments
+        self.dedup = dedup
         self.groups = study_groups(patients)
         self.long = self.scratch.write(long_outcomes(forms, self.groups, seq_col, instruments), "long")
         self.pairs = self.scratch.write(
@@ -90,20 +93,23 @@ class Study:
     # --- baseline characteristics ---
 
     def attributes(self) -> DataFrame:
-        """Age, sex and marital status, one row per patient from the latest case report form."""
+        """Age, sex and marital status, one row per patient from the latest case report form (or all different rows)."""
         crf = standardize_id(self.crf)
         age = summary.pick_plausible_column(crf)
         sex = first_present_column(crf, SEX_COLUMNS) or summary.find_column_by_token(crf.drop("patient_id"))
         marital = first_present_column(crf, MARITAL_COLUMNS)
         none = F.lit(None).cast("string")
         latest = self._latest_form(crf, "patient_id")
-        return latest.select(
+        rows = latest.select(
             "patient_id", (text.to_numeric(age) if age else none.cast("double")).alias("alter"),
             (text.canon_sex(sex) if sex else none).alias("geschlecht"),
             (text.canon_marital(marital) if marital else none).alias("familienstand"),
         )
+        return rows if self.dedup else rows.distinct()
 
     def _latest_form(self, form: DataFrame, key: str) -> DataFrame:
+        if not self.dedup:
+            return form
         timed = visits.get_when(form, self.seq_col, key)
         return visits.latest_per_cell(timed, [key], "when_dt", self.seq_col)
 
@@ -140,6 +146,14 @@ class Study:
 
     # --- outcomes ---
 
+    def unparsed_times(self) -> DataFrame:
+        """Per form and time column the known values that give no time, whose rows have no visit time of their own."""
+        found = [dates.unparsed_times(form, columns).withColumn("form", F.lit(name)) for name, form in self.forms.items()
+                 if (columns := present_columns(form, visits.TIME_COLUMNS))]
+        return reshape.bind_results(found, self.spark, T.StructType([
+            T.StructField("column_name", T.StringType()), T.StructField("n_known", T.LongType()),
+            T.StructField("n_unparsed", T.LongType()), T.StructField("form", T.StringType())]))
+
     def missing_scores(self, instrument: Instrument = BURDEN) -> DataFrame:
         """Missing raw, imputed and preferred scores of one questionnaire."""
         return summary.missing_summary(scored_visits(self.forms[instrument.name], instrument, self.seq_col),
@@ -222,10 +236,12 @@ class Study:
         numeric = present_columns(rows, ["who5_pre", "bdi_pre", *NUMERIC_PREDICTORS])
         factors = present_columns(rows, list(FACTOR_PREDICTORS))
         results = [linear.moderator_numeric(rows, numeric, "zbi_pre", "zbi_post")]
-        for outcome, model in (("zbi_pre", "Baseline ZBI (univariate)"), ("delta_zbi", "Delta ZBI (univariate)")):
-            results.append(linear.uni_lm_numeric(rows, [outcome], [*numeric, "group_num"], model))
-            if factors:
-                results.append(linear.uni_lm_factor(rows, [outcome], factors, model))
+        # Both outcomes in one pass over the rows; the model is named by its outcome.
+        models = F.when(F.col("outcome") == "zbi_pre", "Baseline ZBI (univariate)").otherwise("Delta ZBI (univariate)")
+        outcomes = ["zbi_pre", "delta_zbi"]
+        results.append(linear.uni_lm_numeric(rows, outcomes, [*numeric, "group_num"]).withColumn("model", models))
+        if factors:
+            results.append(linear.uni_lm_factor(rows, outcomes, factors).withColumn("model", models))
         if factors:
             results.append(linear.moderator_factor(rows, factors, "zbi_pre", "zbi_post"))
         return linear.predictor_report(*results)
@@ -267,6 +283,7 @@ class Study:
         reports = {
             "baseline_table": self.baseline_table(),
             "score_missing": self.missing_scores(),
+            "unparsed_times": self.unparsed_times(),
             "anova": anova.anova_report(self.anova()),
             "score_means": self.means(),
             "residual_diagnostics": self.residuals(),
@@ -288,15 +305,17 @@ class Study:
         return [*reports, "burden_changes"]
 
 
-def read_study(spark: SparkSession, patients: str, forms: Mapping[str, str], crf: str | None = None) -> Study:
+def read_study(spark: SparkSession, patients: str, forms: Mapping[str, str], crf: str | None = None,
+               multi_line: bool = True, dedup: bool = True) -> Study:
     """A study from CSV exports: the patient table, one export per instrument name and the case report form.
 
-    The case report form also serves the fatigue items unless an export is named for them.
+    The case report form also serves the fatigue items unless an export is named for them. ``multi_line=False`` splits
+    large files whose cells hold no line breaks.
     """
-    people = read_export(spark, patients)
-    people = people.withColumn("active", F.lower("active").isin("true", "t"))
-    tables = {name: read_export(spark, path) for name, path in forms.items()}
-    case = read_export(spark, crf) if crf else None
+    people = read_export(spark, patients, multi_line=multi_line)
+    people = people.withColumn("active", F.lower(F.col("active").cast("string")).isin("true", "t"))
+    tables = {name: read_export(spark, path, multi_line=multi_line) for name, path in forms.items()}
+    case = read_export(spark, crf, multi_line=multi_line) if crf else None
     if case is not None:
         tables.setdefault("CRF", case)
-    return Study(people, tables, case)
+    return Study(people, tables, case, dedup=dedup)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duowave.functions.dates import ISO_TIME, parse_datetime_text
 from duowave.functions.names import clean_header, require_columns
-from duowave.functions.text import blank_to_null, to_numeric
+from duowave.functions.text import WHOLE_NUMBER, blank_to_null, to_numeric
 
 # Spellings of truth values in exports.
 TRUE_TOKENS = ("t", "true")
@@ -28,35 +32,96 @@ def _typed(name: str, kind: T.DataType):
     if isinstance(kind, T.BooleanType):
         token = F.lower(text)
         return F.when(token.isin(*TRUE_TOKENS), True).when(token.isin(*FALSE_TOKENS), False)
+    if isinstance(kind, T.IntegralType):
+        # Directly, as whole numbers beyond 2^53 would lose digits as doubles.
+        return F.coalesce(text.try_cast(kind), to_numeric(text).try_cast(kind))
     if isinstance(kind, T.NumericType):
         return to_numeric(text).try_cast(kind)
+    if isinstance(kind, T.TimestampNTZType):
+        return parse_datetime_text(text)
     return text.try_cast(kind)
 
 
+def _headers(spark: SparkSession, path: str | Sequence[str], form: dict) -> dict[tuple[str, ...], list[str]]:
+    """Files by their cleaned header; only different first lines and file names reach the driver."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+                 F.col("value")).alias("line"),
+    ).where("line.block = 0")
+    firsts = lines.groupBy("file").agg(F.min("line").alias("line")).groupBy("line.value").agg(F.collect_list("file").alias("files"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in firsts.collect():
+        files = [unquote(f) for f in row["files"]]
+        if row["value"].count('"') % 2:
+            # A quoted line break in the header: such files are opened one by one.
+            cells = [(f, list(spark.read.options(**form).csv(f).first())) for f in files]
+        else:
+            header = next(csv.reader([row["value"].removeprefix("\ufeff")]), [])
+            cells = [(f, header) for f in files]
+        for file, header in cells:
+            found.setdefault(tuple(clean_header([h or "" for h in header])), []).append(file)
+    return found
+
+
+def infer_types(texts: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    """Types that fit every known value of the text columns, from one aggregate over all rows.
+
+    Whole numbers, other numbers, truth values and ISO times; everything else, such as numbers with leading
+    zeros, stays text, as does a column without any value.
+    """
+    tests = {
+        "whole": lambda c: c.rlike(r"^[-+]?(0|[1-9]\d{0,17})$"),
+        "number": lambda c: c.rlike(WHOLE_NUMBER) & ~c.rlike(r"^[-+]?0\d"),
+        "truth": lambda c: F.lower(c).isin(*TRUE_TOKENS, *FALSE_TOKENS),
+        "time": lambda c: c.rlike(ISO_TIME) & parse_datetime_text(c).isNotNull(),
+    }
+    if not columns:
+        return {}
+    counts = texts.agg(*[F.struct(F.count(c).alias("known"), *[F.count_if(fn(F.col(c))).alias(k) for k, fn in tests.items()])
+                         .alias(c) for c in columns]).first()
+    kinds = {"whole": T.LongType(), "number": T.DoubleType(), "truth": T.BooleanType(), "time": T.TimestampNTZType()}
+    found = {}
+    for c in columns:
+        fits = next((kind for k, kind in kinds.items() if counts[c]["known"] and counts[c][k] == counts[c]["known"]), None)
+        if fits is not None:
+            found[c] = fits
+    return found
+
+
 def read_export(spark: SparkSession, path: str | Sequence[str], types: dict[str, T.DataType] | None = None,
-                multi_line: bool = True, ingest_seq: bool = True) -> DataFrame:
-    """Read CSV exports as trimmed text with cleaned names, then cast the columns listed in ``types``.
+                multi_line: bool = True, ingest_seq: bool = True, infer: bool = True) -> DataFrame:
+    """Read CSV exports with cleaned names, trimmed texts and column types.
 
-    All missing-value tokens become NULL; a text that does not fit its type becomes NULL too.
-    All files of one call share the column order of the first header line. ``ingest_seq`` adds a sortable position (file, block, row) that follows the order within each file.
+    All missing-value tokens become NULL; a text that does not fit its type becomes NULL too. ``types`` names the type
+    of columns; the others get the type that all their values fit (:func:`infer_types`) unless ``infer`` is off.
+    Every file is read by its own header; files are put together by column name, with NULL where a file lacks a column.
+    ``ingest_seq`` adds a sortable position (file, block, row) that follows the order within each file.
     Quoted line breaks need ``multi_line``, which reads one file per task: deliver large exports as
     several files, or pass ``False`` when no cell holds a line break so that files are split.
     """
     form = {"encoding": "UTF-8", "multiLine": multi_line, "escape": '"'}
-    columns = clean_header([h or "" for h in spark.read.options(**form).csv(path).first()])
-    texts = spark.read.options(header=True, **form).schema(
-        T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    ).csv(path)
+    headers = _headers(spark, path, form)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    if ingest_seq:
-        texts = texts.select("*", position.alias("ingest_seq"))
+
+    def read(columns: Sequence[str], files: str | Sequence[str]) -> DataFrame:
+        texts = spark.read.options(header=True, **form).schema(
+            T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(files)
+        return texts.select("*", position.alias("ingest_seq")) if ingest_seq else texts
+
+    parts = [read(columns, path if len(headers) == 1 else files) for columns, files in sorted(headers.items())]
+    texts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    columns = [c for c in texts.columns if c != "ingest_seq"]
+    texts = texts.select(*columns, *(["ingest_seq"] if ingest_seq else []))
     texts = texts.withColumns({c: blank_to_null(c) for c in columns})
-    types = types or {}
+    types = dict(types or {})
     require_columns(texts, types)
+    if infer:
+        types = infer_types(texts, [c for c in columns if c not in types]) | types
     return texts.withColumns({c: _typed(c, kind) for c, kind in types.items()}) if types else texts
 
 

@@ -25,8 +25,30 @@ def test_reading_an_export(spark, export):
     df = exports.read_export(spark, export, types)
     assert df.columns == ["patient_id", "grosse_cm", "aktiv", "bemerkung", "grosse_cm_2", "ingest_seq"]
     got = [tuple(r)[:5] for r in df.orderBy("ingest_seq").collect()]
-    assert got == [("a", 170.0, True, 'erste\nZeile, "zweite"', "1"), ("b", None, False, None, "2"),
-                   ("c", None, None, None, None), ("a", None, False, "x", "4")]
+    assert got == [("a", 170.0, True, 'erste\nZeile, "zweite"', 1), ("b", None, False, None, 2),
+                   ("c", None, None, None, None), ("a", None, False, "x", 4)]
+    plain = exports.read_export(spark, export, infer=False)
+    assert {kind for c, kind in plain.dtypes if c != "ingest_seq"} == {"string"}
+
+
+def test_inferred_types(spark, tmp_path):
+    path = tmp_path / "typed.csv"
+    path.write_text("id,n,x,flag,at,zip,empty,day\n1,5,1.5,TRUE,2025-10-13T09:54:00+02:00,01067,,45000.5\n"
+                    "2,,2,f,2025-10-13T09:54:00Z,12345,NA,45001\n900719925474099312,7,,,,,,\n", encoding="utf-8")
+    df = exports.read_export(spark, str(path), ingest_seq=False)
+    assert dict(df.dtypes) == {"id": "bigint", "n": "bigint", "x": "double", "flag": "boolean", "at": "timestamp_ntz",
+                               "zip": "string", "empty": "string", "day": "double"}
+    assert [str(r["at"]) for r in df.orderBy("id").collect()] == ["2025-10-13 07:54:00", "2025-10-13 09:54:00", "None"]
+    assert df.agg({"id": "max"}).first()[0] == 900719925474099312
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('patient,x,y\np,1,2\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('\ufeffpatient,y,x\nq,3,4\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text('"patient","z\nz"\nr,"5"\n', encoding="utf-8")
+    df = exports.read_export(spark, str(tmp_path), ingest_seq=False)
+    assert sorted(map(tuple, df.select("patient", "x", "y", "z_z").collect()), key=repr) == [
+        ("p", 1, 2, None), ("q", 4, 3, None), ("r", None, None, 5)]
 
 
 def test_file_order_numbers_visits(spark, export):

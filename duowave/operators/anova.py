@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duowave.functions.categories import CONTROL, GROUPS, INTERVENTION, signif
 from duowave.functions.tails import f_upper
-from duowave.operators.joins import anti_not_in
-from duowave.operators.ranking import top_changes_n, top_changes_ties
-from duowave.plans.scratch import materialize
+from duowave.plans.skew import join_small
 
 
 def side_by_side(moments: DataFrame, by: Sequence[str], columns: Sequence[str], group: str = "group") -> DataFrame:
@@ -71,19 +69,25 @@ def anova_report(anova: DataFrame) -> DataFrame:
 
 def anova_without_outliers(pairs: DataFrame, n: int = 2, ties: bool = False, by: Sequence[str] = ("instrument",),
                            patient: str = "patient", group: str = "group") -> DataFrame:
-    """The group:time test on all pairs and without the ``n`` largest absolute changes per instrument."""
-    # Read three times below: all pairs, the largest changes, the rest.
-    pairs = materialize(pairs.select(*by, patient, group, "pre", "post", "change"), "pairs")
-    if ties:
-        top = top_changes_ties(pairs, n, by)
-    else:
-        top = top_changes_n(pairs.where(F.col("change").isNotNull()), n, by, tie=patient)
-    rest = anti_not_in(pairs, top.select(*by, patient), [*by, patient])
-
-    def brief(df: DataFrame, model: str) -> DataFrame:
-        return mixed_anova(df, by, group).where(F.col("effect") == "group:time").select(
-            *by, F.lit(model).alias("model"), "f_value", "df1", "df2",
-            F.col("p_value").alias("p_value_group_time"), F.col("pes").alias("eta_sq_partial"),
-        )
-
-    return brief(pairs, "with outliers").unionByName(brief(rest, "without outliers"))
+    """The group:time test on all pairs and without the ``n`` largest absolute changes per instrument.
+
+    One pass finds the n-th largest change; a second marks every row and sums up both models at once.
+    """
+    pairs = pairs.select(*by, patient, group, "pre", "post", "change")
+    known = pairs.where(F.col("change").isNotNull())
+    # The n-th largest change per instrument, with the patient that settles ties: a few rows, found by keeping n per task.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.abs("change").desc(), patient))
+    nth = known.withColumn("_place", place).where(F.col("_place") <= n).groupBy(*by).agg(
+        F.max(F.struct("_place", F.abs("change").alias("size"), F.col(patient).alias("who"))).alias("_nth"))
+    marked = join_small(pairs, nth, by)
+    size = F.abs("change")
+    beyond = size >= F.col("_nth.size") if ties else (size > F.col("_nth.size")) | (
+        (size == F.col("_nth.size")) & (F.col(patient) <= F.col("_nth.who")))
+    # A row without a patient is never taken for an outlier.
+    out = F.coalesce(beyond, F.lit(False)) & F.col(patient).isNotNull()
+    models = F.array_compact(F.array(F.lit("with outliers"), F.when(~out, F.lit("without outliers"))))
+    stacked = marked.select(*by, group, "pre", "post", F.explode(models).alias("model"))
+    return mixed_anova(stacked, [*by, "model"], group).where(F.col("effect") == "group:time").select(
+        *by, "model", "f_value", "df1", "df2",
+        F.col("p_value").alias("p_value_group_time"), F.col("pes").alias("eta_sq_partial"),
+    )

@@ -20,6 +20,7 @@ from duowave.operators.anova import side_by_side
 from duowave.operators.ranking import order_levels
 from duowave.operators.reshape import bind_results
 from duowave.plans.scratch import materialize
+from duowave.plans.skew import join_small
 
 COEFFICIENT_COLUMNS = ["outcome", "predictor", "model", "term", "estimate", "std_error", "statistic", "p_value",
                        "conf_low", "conf_high", "n_obs", "dof"]
@@ -67,8 +68,7 @@ def uni_lm_factor(df: DataFrame, outcomes: Sequence[str], predictors: Sequence[s
         F.sum(F.coalesce(F.col("v") * (F.col("n") - 1), F.lit(0.0))).alias("ss"),
         F.min(F.struct(~F.col("is_ref"), "x", "n", "m")).alias("ref"),
     )
-    # One row per model.
-    rows = levels.join(F.broadcast(models), ["outcome", "predictor"]).where(
+    rows = join_small(levels, models, ["outcome", "predictor"], "inner").where(
         (F.col("n_levels") >= 2) & (F.col("x") != F.col("ref.x"))
     )
     mse = F.try_divide("ss", "dof")
@@ -166,9 +166,8 @@ def moderator_factor(df: DataFrame, predictors: Sequence[str], pre: str, post: s
         F.try_divide("yw", "ww").alias("b"),
         (F.col("yy") - F.coalesce(F.try_divide(F.col("yw") * F.col("yw"), F.col("ww")), F.lit(0.0))).alias("sse"),
     )
-    # One row per model.
-    lines = wide.select("outcome", "predictor", "x", *compared).join(
-        F.broadcast(models), ["outcome", "predictor"]
+    lines = join_small(
+        wide.select("outcome", "predictor", "x", *compared), models, ["outcome", "predictor"], "inner"
     ).where(F.col("x") != F.col("ref.x"))
 
     def double_gap(name: str):
@@ -201,11 +200,14 @@ def cross_products(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     )
 
 
-def symmetric(upper: Sequence[float], k: int) -> np.ndarray:
-    """Square matrix from its upper triangle."""
-    out = np.zeros((k, k))
-    out[np.triu_indices(k)] = upper
-    return out + np.triu(out, 1).T
+def symmetric(upper: Sequence[float] | np.ndarray, k: int) -> np.ndarray:
+    """Square matrix from its upper triangle; leading axes are kept."""
+    upper = np.asarray(upper, dtype=float)
+    out = np.zeros((*upper.shape[:-1], k, k))
+    i, j = np.triu_indices(k)
+    out[..., i, j] = upper
+    out[..., j, i] = upper
+    return out
 
 
 def ols_moments(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -221,20 +223,27 @@ def ols_moments(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()
 
     def solve(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                s, means, n = symmetric(row["s"], k + 1), np.asarray(row["means"]), int(row["n"])
-                dof = n - k - 1
-                inverse = np.linalg.pinv(s[:k, :k], hermitian=True)
-                beta = inverse @ s[:k, k]
-                rest = max(s[k, k] - beta @ s[:k, k], 0.0)
-                mse = rest / dof if dof > 0 else np.nan
-                intercept = means[k] - beta @ means[:k]
-                spread = np.sqrt(mse * np.concatenate([[1 / n + means[:k] @ inverse @ means[:k]], np.diag(inverse)]))
-                for term, b, se in zip(["(Intercept)", *xs], [intercept, *beta], spread):
-                    out.append({**{c: row[c] for c in by}, "term": term, "estimate": float(b),
-                                "std_error": None if np.isnan(se) else float(se), "n_obs": n, "dof": dof})
-            yield pd.DataFrame(out, columns=[*by, "term", "estimate", "std_error", "n_obs", "dof"])
+            if not len(batch):
+                continue
+            # All keys of the batch as stacked matrices.
+            s = symmetric(np.stack(batch["s"].to_numpy()), k + 1)
+            means, n = np.stack(batch["means"].to_numpy()), batch["n"].to_numpy()
+            dof = n - k - 1
+            inverse = np.linalg.pinv(s[:, :k, :k], hermitian=True)
+            beta = np.einsum("bij,bj->bi", inverse, s[:, :k, k])
+            rest = np.maximum(s[:, k, k] - np.einsum("bi,bi->b", beta, s[:, :k, k]), 0.0)
+            mse = np.where(dof > 0, rest / np.maximum(dof, 1), np.nan)
+            centre = means[:, :k]
+            intercept = means[:, k] - np.einsum("bi,bi->b", beta, centre)
+            base = 1 / n + np.einsum("bi,bij,bj->b", centre, inverse, centre)
+            spread = np.concatenate([base[:, None], np.diagonal(inverse, axis1=1, axis2=2)], axis=1)
+            out = batch.loc[batch.index.repeat(k + 1), list(by)].reset_index(drop=True)
+            out["term"] = np.tile(["(Intercept)", *xs], len(batch))
+            out["estimate"] = np.concatenate([intercept[:, None], beta], axis=1).ravel()
+            error = np.sqrt(mse[:, None] * spread).ravel()
+            out["std_error"] = pd.Series(error).astype(object).where(~np.isnan(error), None)
+            out["n_obs"], out["dof"] = np.repeat(n, k + 1), np.repeat(dof, k + 1)
+            yield out
 
     return with_t_inference(grouped.mapInPandas(solve, schema))
 

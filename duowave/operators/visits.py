@@ -1,12 +1,13 @@
 """Visit times and the choice of visits per patient.
 
-First, last and latest rows are aggregates, which combine before the shuffle, so a patient with very
-many rows costs no more than any other. Only numbering needs every row of a patient in order.
+First, last and latest times are hash aggregates, which combine before the shuffle; only the rows at these times
+are compared as a whole. Only numbering needs every row of a patient in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ def _chosen(df: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def _at(df: DataFrame, keys: Sequence[str], time_col: str, *ends: Column) -> DataFrame:
+    """Rows whose time is one of the key's ``ends`` (or unknown where an end is), with the key's row count ``_n``.
+
+    The ends are hash aggregates of key and time alone. Rows of the same time remain, so what follows
+    compares few rows of a key.
+    """
+    times = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("_n"), *[e.alias(f"_end{i}") for i, e in enumerate(ends)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    hit = [F.col(time_col).eqNullSafe(F.col(f"_end{i}")) for i in range(len(ends))]
+    return df.join(times, reduce(lambda x, y: x & y, same)).where(reduce(lambda x, y: x | y, hit)).select(*df.columns, "_n")
+
+
 def visit_number(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str, out: str = "visit_n",
                  max_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Running visit number per key by time, ties by ``tie_col``; unknown times come last."""
@@ -66,8 +80,8 @@ def add_pre_post(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str
     require_columns(df, [*keys, time_col, tie_col])
     dated = df.where(F.col(time_col).isNotNull())
     row = _row(df, keys, F.col(time_col), F.col(tie_col))
-    ends = dated.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(row).alias("_pre"), F.max(row).alias("_post"))
-    visits = ends.where("_n > 1").select(*keys, F.explode(F.array(
+    at = _at(dated, keys, time_col, F.min(time_col), F.max(time_col)).where("_n > 1")
+    visits = at.groupBy(*keys).agg(F.min(row).alias("_pre"), F.max(row).alias("_post")).select(*keys, F.explode(F.array(
         F.struct(F.lit("pre").alias("time"), F.col("_pre").alias("row")),
         F.struct(F.lit("post").alias("time"), F.col("_post").alias("row")),
     )).alias("_visit"))
@@ -78,29 +92,34 @@ def add_pre_post(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str
 def pre_post_pairs(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str,
                    value: str = "score") -> DataFrame:
     """``add_pre_post`` and ``pivot_pre_post`` in one aggregation: a row per key with pre, post and change."""
-    ends = df.where(F.col(time_col).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("_n"),
+    dated = df.where(F.col(time_col).isNotNull()).select(*keys, time_col, tie_col, value)
+    at = _at(dated, keys, time_col, F.min(time_col), F.max(time_col)).where("_n > 1")
+    ends = at.groupBy(*keys).agg(
         F.min(F.struct(time_col, tie_col, value)).alias("_pre"),
         F.max(F.struct(time_col, tie_col, value)).alias("_post"),
     )
     return (
-        ends.where("_n > 1")
-        .select(*keys, F.col(f"_pre.{value}").alias("pre"), F.col(f"_post.{value}").alias("post"))
+        ends.select(*keys, F.col(f"_pre.{value}").alias("pre"), F.col(f"_post.{value}").alias("post"))
         .withColumn("change", F.col("post") - F.col("pre"))
     )
 
 
 def baseline_row(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str) -> DataFrame:
     """Earliest row per key; a row without time is taken only if there is no other."""
-    time = F.col(time_col)
-    return _chosen(df, keys, F.min(_row(df, keys, time.isNull(), time, F.col(tie_col))))
+    # The earliest known time; unknown only where all are.
+    at = _at(df, keys, time_col, F.min(time_col)).drop("_n")
+    return _chosen(at, keys, F.min(_row(df, keys, F.col(time_col), F.col(tie_col))))
 
 
 def latest_per_cell(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str) -> DataFrame:
     """Latest row per key, ties by the highest ``tie_col``."""
-    return _chosen(df, keys, F.max(_row(df, keys, F.col(time_col), F.col(tie_col))))
+    at = _at(df, keys, time_col, F.max(time_col)).drop("_n")
+    return _chosen(at, keys, F.max(_row(df, keys, F.col(time_col), F.col(tie_col))))
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key by ``order``."""
-    return _chosen(df, keys, F.min(_row(df, keys, *[F.col(c) for c in order])))
+    # NULL sorts first.
+    low = F.when(F.count("*") == F.count(order[0]), F.min(order[0]))
+    at = _at(df, keys, order[0], low).drop("_n")
+    return _chosen(at, keys, F.min(_row(df, keys, *[F.col(c) for c in order])))

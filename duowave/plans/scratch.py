@@ -5,22 +5,28 @@ Written tables survive the loss of executors and cut the lineage of iterative jo
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folders of local sessions without a checkpoint folder, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session without one gets a fresh temporary folder."""
+    """Folder named by ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="duowave-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="duowave-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 class Scratch:
@@ -36,6 +42,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
+    def remove(self) -> bool:
+        """Delete all tables written here; their DataFrames cannot be read afterwards."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Compute ``df`` once and return a DataFrame over the written result."""

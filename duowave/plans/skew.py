@@ -14,8 +14,9 @@ from duowave.plans.scratch import Scratch, materialize
 HOT_KEY_ROWS = 5_000_000
 # Target size of one range bucket.
 BUCKET_ROWS = 500_000
-# Largest table that gets a broadcast hint.
+# Largest table that gets a broadcast hint, in rows and in bytes of its files.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -24,8 +25,9 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def broadcast_if_small(written: DataFrame) -> DataFrame:
-    """Add the broadcast hint to a written table of at most ``BROADCAST_ROWS`` rows."""
-    if written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Add the broadcast hint to a written table of at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes."""
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= BROADCAST_BYTES and written.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return F.broadcast(written)
     return written
 

@@ -92,7 +92,7 @@ SELECT CAST(patient AS VARCHAR) AS patient_id, CAST(tie AS DOUBLE) AS laufende_n
 FROM {labels_raw}""")
 def read_export(t):
     df = exports.read_export(t.spark, _exported(t, "export"), {"laufende_nr": T.DoubleType()})
-    return df.select("patient_id", "laufende_nr", *[f"id{i}_{i}_grosse" for i in range(1, 7)],
+    return df.select(F.col("patient_id").cast("string"), "laufende_nr", *[f"id{i}_{i}_grosse" for i in range(1, 7)],
                      F.length("bemerkung").cast("long").alias("note_length"))
 
 
@@ -153,6 +153,53 @@ def select_items(t):
     return names.require_columns(df, ["tie", *items]).select("tie", scoring.row_missing(items).alias("n_empty"))
 
 
+@query("require_columns", "SELECT patient, sex_raw FROM {fx_demographics}")
+def require_columns(t):
+    return names.require_columns(t["fx_demographics"], ["patient", "sex_raw"]).select("patient", "sex_raw")
+
+
+@query("first_present_column", "SELECT patient, marital_raw AS value FROM {fx_demographics}")
+def first_present_column(t):
+    df = t["fx_demographics"]
+    return df.select("patient", F.col(names.first_present_column(df, ["familienstand", "marital_raw", "sex_raw"])).alias("value"))
+
+
+def _two_headers(t: Tables) -> str:
+    """One table as two files whose columns stand in another order, with gaps, serial dates and offsets."""
+    path = Scratch(t.spark, "headers").path
+    rows = t["fx_demographics"].select(
+        F.col("patient").alias("Patient"), F.when(F.col("patient") % 3 != 0, 20 + F.col("patient") % 70).alias("Alter"),
+        (45000 + F.col("patient") + F.lit(0.5)).alias("Datum"),
+        F.concat(F.lit("2025-03-30T23:30:00"), F.when(F.col("patient") % 2 == 0, "+02:00").otherwise("-0130")).alias("Authored"),
+        F.lit("x").alias("Note"))
+    odd = F.col("Patient") % 2 == 1
+    rows.where(~odd).coalesce(1).write.option("header", True).csv(f"{path}/a")
+    rows.where(odd).select("Authored", "Alter", "Datum", "Patient").coalesce(1).write.option("header", True).csv(f"{path}/b")
+    return f"{path}/*"
+
+
+@query("read_export_headers", """
+SELECT patient, CASE WHEN patient % 3 <> 0 THEN (20 + patient % 70)::DOUBLE END AS age, 'alter' AS age_column,
+  CASE WHEN patient % 2 = 0 THEN 'x' END AS note,
+  epoch_ms(((45000 + patient + 0.5 - 25569) * 86400000)::BIGINT) AS serial_at,
+  CASE WHEN patient % 2 = 0 THEN TIMESTAMP '2025-03-30 21:30:00' ELSE TIMESTAMP '2025-03-31 01:00:00' END AS authored_at
+FROM {fx_demographics}""")
+def read_export_headers(t):
+    df = exports.read_export(t.spark, _two_headers(t))
+    age = tables.pick_plausible_column(df)
+    return df.select("patient", text.to_numeric(age).alias("age"), F.lit(age).alias("age_column"), "note",
+                     dates.parse_any_datetime(df, "datum").alias("serial_at"),
+                     dates.parse_any_datetime(df, "authored").alias("authored_at"))
+
+
+@query("unparsed_times", """
+SELECT 'raw_date' AS column_name, count(raw_date)::BIGINT AS n_known,
+  count(CASE WHEN raw_date = 'unbekannt' THEN 1 END)::BIGINT AS n_unparsed FROM {fx_dates}
+UNION ALL SELECT 'serial', count(serial)::BIGINT, count(CASE WHEN serial <= 10000 OR serial >= 80000 THEN 1 END)::BIGINT FROM {fx_dates}""")
+def unparsed_times(t):
+    return dates.unparsed_times(t["fx_dates"], ["raw_date", "serial"])
+
+
 @query("present_columns", "SELECT patient, sex_raw AS sex FROM {fx_demographics}")
 def present_columns(t):
     df = t["fx_demographics"]

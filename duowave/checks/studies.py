@@ -13,7 +13,7 @@ from duowave.functions import tails, text
 from duowave.operators import (
     anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, summary, visits,
 )
-from duowave.plans.scratch import materialize
+from duowave.plans.scratch import Scratch, materialize
 from duowave.plans.study import Study
 
 # The key with most distinct values first: aggregation sorts by the keys in this order.
@@ -118,8 +118,9 @@ def self_join_pre_post(t):
 SELECT instrument, patient, time, score FROM {long}""")
 def stack_instruments(t):
     ends = visits.add_pre_post(t["fx_visits"], KEYS, "when_dt", "tie")
-    frames = {i: ends.where(F.col("instrument") == i).select("patient", "time", "score")
-              for i in INSTRUMENTS}
+    # Whatever instruments the table has.
+    found = sorted(r["instrument"] for r in ends.select("instrument").distinct().collect())
+    frames = {i: ends.where(F.col("instrument") == i).select("patient", "time", "score") for i in found}
     return reshape.stack_instruments({**frames, "fatigue": None})
 
 
@@ -145,15 +146,17 @@ def all_scales_wide(t):
                                    {i: i for i in INSTRUMENTS})
 
 
-@query("full_outer_merge", """
-, w AS (SELECT patient, instrument, grp, pre, post FROM {pairs})
-SELECT patient, coalesce(c.grp, a.grp) AS grp, c.pre AS click_pre, c.post AS click_post, v.pre AS view_pre,
-  v.post AS view_post, s.pre AS signup_pre, s.post AS signup_post
-FROM (SELECT * FROM w WHERE instrument = 'click') c
-FULL JOIN (SELECT * FROM w WHERE instrument = 'view') v USING (patient)
-FULL JOIN (SELECT * FROM w WHERE instrument = 'signup') s USING (patient)
+_MERGED = "\n".join(f"FULL JOIN (SELECT * FROM w WHERE instrument = '{i}') {i} USING (patient)" for i in INSTRUMENTS[1:])
+
+
+@query("full_outer_merge", f"""
+, w AS (SELECT patient, instrument, grp, pre, post FROM {{pairs}})
+SELECT patient, coalesce(click.grp, a.grp) AS grp, """ + ", ".join(
+    f"{i}.pre AS {i}_pre, {i}.post AS {i}_post" for i in INSTRUMENTS) + f"""
+FROM (SELECT * FROM w WHERE instrument = 'click') click
+{_MERGED}
 LEFT JOIN arms a ON a.patient_id = patient
-WHERE coalesce(c.grp, a.grp) IS NOT NULL""")
+WHERE coalesce(click.grp, a.grp) IS NOT NULL""")
 def full_outer_merge(t):
     both = pairs(t)
 
@@ -162,7 +165,8 @@ def full_outer_merge(t):
             "patient", F.col("pre").alias(f"{i}_pre"), F.col("post").alias(f"{i}_post"),
             *(["grp"] if i == "click" else []))
 
-    return joins.full_outer_merge([wide("click"), wide("view"), wide("signup")], "patient", arms(t), group="grp")
+    found = sorted(r["instrument"] for r in both.select("instrument").distinct().collect())
+    return joins.full_outer_merge([wide(i) for i in found], "patient", arms(t), group="grp")
 
 
 @query("semi_in", """
@@ -634,14 +638,68 @@ def rubin_pool(t):
     return imputation.rubin_pool(imputation.mi_delta_fit(t["fx_imputed"], group="grp"))
 
 
-def completed(t):
-    numbers = t["fx_baseline"].withColumn("arm", cat.group_dummy("grp").cast("double"))
-    return mice.mice_pmm(numbers, "patient", ["arm", "score_pre", "score_post", "acctbal", "n_orders"])
+IMPUTED = ["arm", "score_pre", "score_post", "acctbal", "n_orders"]
+
+
+def _numbers(t):
+    return t["fx_baseline"].withColumn("arm", cat.group_dummy("grp").cast("double"))
 
 
-@query("mice_pmm")
+# Per copy and variable: rows, fills, observed cells that changed and fills that were never observed.
+@query("mice_pmm", """
+SELECT i.imp::INT AS imp, v.variable, v.n_rows, v.n_filled, 0::BIGINT AS n_changed, 0::BIGINT AS n_unseen
+FROM (SELECT unnest(range(1, 21)) AS imp) i
+CROSS JOIN (
+""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS variable, count(*)::BIGINT AS n_rows, count(CASE WHEN {x} IS NULL THEN 1 END)::BIGINT AS n_filled FROM {{fx_baseline}}"
+    for c, x in [("arm", "grp"), *[(c, c) for c in IMPUTED[1:]]]) + ") v")
 def mice_pmm(t):
-    return completed(t)
+    # Computed once, as it is read twice per variable.
+    numbers = materialize(_numbers(t).select("patient", *IMPUTED), "numbers")
+    copies = materialize(mice.mice_pmm(numbers, "patient", IMPUTED), "copies")
+    seen = numbers.select("patient", *[F.col(c).alias(f"o_{c}") for c in IMPUTED])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"),
+                                         F.col(f"o_{c}").cast("double").alias("observed")) for c in IMPUTED]))
+    rows = copies.join(seen, "patient").select("imp", cells.alias("cell")).select("imp", "cell.*")
+    given = numbers.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
+                                               for c in IMPUTED])).alias("g")).select("g.*").where("value IS NOT NULL").distinct()
+    known = rows.join(given.withColumn("known", F.lit(True)), ["variable", "value"], "left")
+    filled = F.col("observed").isNull()
+    return known.groupBy("imp", "variable").agg(
+        F.count("*").alias("n_rows"), F.count_if(filled).alias("n_filled"),
+        F.count_if(~filled & ~F.col("value").eqNullSafe(F.col("observed"))).alias("n_changed"),
+        F.count_if(filled & F.col("known").isNull()).alias("n_unseen"))
+
+
+_PLACES = """
+, cells AS (SELECT imp::INT AS imp, patient, CASE WHEN patient % 4 <> 0 THEN acctbal END AS value, (patient * 7919 % 13)::DOUBLE AS spot,
+    (patient * 104729 % 1000003)::BIGINT AS tie, (patient * 31 % 97) / 97.0::DOUBLE AS pick, acctbal IS NOT NULL AND patient % 4 <> 0 AS is_donor
+  FROM {fx_baseline} CROSS JOIN (SELECT unnest([1, 2]) AS imp) i)
+"""
+
+
+# One matching step: of the five donors before and after a gap, one of the five nearest by position.
+@query("mice_match_step", _PLACES + """
+, ordered AS (SELECT *, sum(CASE WHEN is_donor THEN 1 ELSE 0 END) OVER (PARTITION BY imp ORDER BY spot, tie ROWS UNBOUNDED PRECEDING) AS upto
+  FROM cells),
+donors AS (SELECT imp, spot, value, upto AS place FROM ordered WHERE is_donor),
+near AS (SELECT g.imp, g.patient, g.pick, d.value,
+    row_number() OVER (PARTITION BY g.imp, g.patient ORDER BY abs(d.spot - g.spot), d.place) AS nearest,
+    least(5, (SELECT count(*) FROM donors c WHERE c.imp = g.imp)) AS take
+  FROM ordered g JOIN donors d ON d.imp = g.imp AND d.place BETWEEN g.upto - 4 AND g.upto + 5 WHERE NOT g.is_donor)
+SELECT imp, patient, value FROM near WHERE nearest = 1 + least(floor(pick * take), take - 1)
+UNION ALL SELECT imp, patient, value FROM cells WHERE is_donor""")
+def mice_match_step(t):
+    base = t["fx_baseline"].select("patient", "acctbal", F.explode(F.array(F.lit(1), F.lit(2))).alias("imp"))
+    donor = F.col("acctbal").isNotNull() & (F.col("patient") % 4 != 0)
+    rows = base.select(
+        "imp", "patient", F.when(donor, F.col("acctbal")).alias("value"), donor.alias("is_donor"),
+        (F.col("patient") * 7919 % 13).cast("double").alias("at"), (F.col("patient") * 104729 % 1000003).cast("long").alias("tie"),
+        (F.col("patient") * 31 % 97 / F.lit(97.0)).alias("pick"))
+    n = base.count() // 2
+    # Small buckets, so that donors beyond a bucket's border count.
+    found = mice._impute_step(rows, "value", n, 2, Scratch(t.spark, "match"), 5, 100)
+    return found.select("imp", "patient", "value")
 
 
 @query("dist_tail", f"""

@@ -143,3 +143,82 @@ def test_tails_of_unknown_values(spark):
     df = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (1.0, 0.0)], "t double, d double")
     got = [r[0] for r in df.select(tails.t_two_sided("t", "d")).collect()]
     assert got[0] == pytest.approx(0.363217468) and got[1:] == [None, None]
+
+
+# The answer tables as they must be, written out a second time.
+CODE_TABLES = {'BURDEN_CODES': {'zu keiner zeit': 0,
+                  'nie': 0,
+                  'selten': 1,
+                  'manchmal': 2,
+                  'häufig': 3,
+                  'haeufig': 3,
+                  'oft': 3,
+                  'ziemlich oft': 3,
+                  'sehr oft': 4,
+                  'fast immer': 4,
+                  'immer': 4,
+                  'trifft nicht zu': 0,
+                  'nie/überhaupt nicht': 0,
+                  'gelegentlich': 2,
+                  'hin und wieder': 2,
+                  'häufig/oft': 3,
+                  'ziemlich häufig': 3,
+                  'sehr häufig': 4,
+                  'meistens': 4},
+ 'BURDEN_CODES_STRICT': {'zu keiner zeit': 0,
+                         'nie': 0,
+                         'selten': 1,
+                         'manchmal': 2,
+                         'ziemlich oft': 3,
+                         'fast immer': 4},
+ 'WELLBEING_CODES': {'die ganze zeit': 5,
+                     'meistens': 4,
+                     'etwas mehr als die hälfte der zeit': 3,
+                     'etwas weniger als die hälfte der zeit': 2,
+                     'ab und zu': 1,
+                     'nie': 0},
+ 'DEPRESSION_CODES': {'0': 0,
+                      '1': 1,
+                      '2': 2,
+                      '3': 3,
+                      'gar nicht': 0,
+                      'überhaupt nicht': 0,
+                      'ueberhaupt nicht': 0,
+                      'trifft nicht zu': 0,
+                      'nie': 0,
+                      'leicht': 1,
+                      'ein wenig': 1,
+                      'ein bisschen': 1,
+                      'manchmal': 1,
+                      'mäßig': 2,
+                      'maessig': 2,
+                      'ziemlich': 2,
+                      'oft': 2,
+                      'stark': 3,
+                      'sehr stark': 3,
+                      'fast immer': 3,
+                      'immer': 3}}
+
+
+@pytest.mark.parametrize("name", CODE_TABLES)
+def test_code_tables(name):
+    assert dict(getattr(text, name)) == CODE_TABLES[name]
+
+
+@pytest.mark.parametrize("dof", [10.0**k for k in range(0, 15)])
+def test_tails_at_any_degrees_of_freedom(dof):
+    # F with two numerator degrees of freedom has a closed form.
+    for f in (0.5, 3.0, 20.0):
+        exact = math.exp(-dof / 2 * math.log1p(2 * f / dof))
+        assert float(tails.inc_beta(dof / 2, 1, dof / (dof + 2 * f), 2 * f / (dof + 2 * f))) == pytest.approx(exact, rel=1e-10)
+    # The 97.5 % point and its tail belong together.
+    assert float(tails.t_tail(tails.t_quantile(0.975, dof), dof)) == pytest.approx(0.05, rel=1e-12)
+    if dof >= 1e6:
+        z = 1.959963984540054
+        assert float(tails.t_quantile(0.975, dof)) == pytest.approx(z + (z**3 + z) / 4 / dof + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / dof**2, rel=1e-10)
+
+
+def test_tail_of_one_and_two_degrees_of_freedom():
+    for t in (0.1, 1.0, 7.0, 300.0):
+        assert float(tails.t_tail(t, 1)) == pytest.approx(2 / math.pi * math.atan(1 / t), rel=1e-10)
+        assert float(tails.t_tail(t, 2)) == pytest.approx(2 / (2 + t * t) / (1 + t / math.sqrt(2 + t * t)), rel=1e-10)

@@ -11,11 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.llm.tables import as_bytes, keyed_texts, table, with_text_key
+from duowave.llm.tables import as_bytes, keyed_texts, slices, table, with_text_key
 from duowave.plans.scratch import Scratch
 
 WINDOW_WORDS = 50
@@ -24,6 +24,12 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 # Odd multipliers of the two rolling hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+# An anchor is frequent from this count on, or from this share of all; so there are at most 1 / share frequent ones.
+FREQUENT_COUNT, FREQUENT_SHARE = 1000, 1e-5
+# Anchors counted together in a task, and the least count there that is reported.
+COUNTED_TOGETHER, REPORTED_COUNT = 2_000_000, 32
+# Parts into which the windows that begin with a frequent anchor are dealt.
+SALTS = 1023
 
 
 def check_cover(period: int, cover: tuple[int, ...]) -> None:
@@ -71,11 +77,59 @@ def _per_document(batch: pa.RecordBatch):
             yield i, text.split()
 
 
-def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def _frequent_anchors(texts: DataFrame, scratch: Scratch, window: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
+    """Sorted hashes of the anchors that very many texts hold.
+
+    Tasks report what is frequent in a stretch of their rows. An anchor that stays unreported is dealt with like the
+    others; the result does not depend on what is found here. At most 1 / ``FREQUENT_SHARE`` hashes reach the driver.
+    """
     length = window - period + 1
 
     def compute(batches):
+        held, size = [], 0
+
+        def report():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= REPORTED_COUNT
+            return pa.RecordBatch.from_arrays([
+                pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()),
+                pa.array([size, *n[often].tolist()], pa.int64())], ["h", "n"])
+
         for batch in batches:
+            for text in as_bytes(batch.column("text")):
+                words = text.split()
+                if len(words) >= window:
+                    rolled = window_hashes(word_hashes(words), length)
+                    held.append(np.unique(rolled[_positions(len(rolled), period, cover)]))
+                    size += len(held[-1])
+                if size >= COUNTED_TOGETHER:
+                    yield report()
+                    held, size = [], 0
+        if held:
+            yield report()
+
+    counts = scratch.write(
+        texts.select("text").mapInArrow(compute, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    everything = counts.where("h IS NULL").agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT_COUNT, int(FREQUENT_SHARE * everything))
+    found = counts.where(F.col("h").isNotNull() & (F.col("n") >= least)).select("h").toArrow()["h"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    place = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[place] == values
+
+
+def _anchors(docs: DataFrame, frequent, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """Each document's different anchors; ``route`` spreads the frequent ones by document and is 0 for the others."""
+    length = window - period + 1
+
+    def compute(batches):
+        for batch in slices(batches):
             rows, hashes = [], []
             for i, words in _per_document(batch):
                 if len(words) < window:
@@ -85,24 +139,25 @@ def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...])
                 rows.append(np.full(len(found), i))
                 hashes.append(found)
             if rows:
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(np.concatenate(rows))),
-                    pa.array(np.concatenate(hashes).view(np.int64))], ["id", "h"])
+                ids = batch.column("id").take(pa.array(np.concatenate(rows)))
+                h = np.concatenate(hashes)
+                route = np.where(_member(h, frequent.value), ids.to_numpy() | np.int64(1 << 62), 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(route)], ["id", "h", "route"])
 
-    return docs.mapInArrow(compute, "id long, h long")
+    return docs.mapInArrow(compute, "id long, h long, route long")
 
 
-def _windows(found: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def _windows(found: DataFrame, frequent, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """Hashes of the windows of which an anchor in the first period is among the document's shared ones.
 
     ``h`` and ``g`` are 79 bits of hash. ``place`` holds the start of the window below the number of the text among
-    those of its id.
+    those of its id. Windows that begin with the words of a frequent anchor are ``hot`` and carry a salt.
     """
     length = window - period + 1
 
     def compute(batches):
-        for batch in batches:
-            rows, h, g, places = [], [], [], []
+        for batch in slices(batches):
+            rows, h, g, places, hot = [], [], [], [], []
             marks = batch.column("shared")
             for i, words in _per_document(batch):
                 n = len(words) - window + 1
@@ -111,7 +166,7 @@ def _windows(found: DataFrame, window: int, period: int, cover: tuple[int, ...])
                 hashes = word_hashes(words)
                 rolled = window_hashes(hashes, length)
                 at = _positions(len(rolled), period, cover)
-                at = at[np.isin(rolled[at], marks[i].values.to_numpy().view(np.uint64))]
+                at = at[_member(rolled[at], np.sort(marks[i].values.to_numpy().view(np.uint64)))]
                 # Windows that start at most period - 1 words before a shared anchor.
                 step = np.zeros(len(hashes) + 2, dtype=np.int32)
                 np.add.at(step, np.maximum(at - period + 1, 0), 1)
@@ -121,14 +176,35 @@ def _windows(found: DataFrame, window: int, period: int, cover: tuple[int, ...])
                 h.append(window_hashes(hashes, window)[start])
                 g.append(window_hashes(hashes, window, MULTIPLIERS[1])[start])
                 places.append(start + (batch.column("number")[i].as_py() << 32))
+                hot.append(_member(rolled[start], frequent.value))
             if rows:
+                ids = batch.column("id").take(pa.array(np.concatenate(rows)))
+                warm = np.concatenate(hot)
+                salt = np.where(warm, 1 + ids.to_numpy() % SALTS, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("id").take(pa.array(np.concatenate(rows))),
-                    pa.array(np.concatenate(h).view(np.int64)),
+                    ids, pa.array(np.concatenate(h).view(np.int64)),
                     pa.array((np.concatenate(g) >> np.uint64(49)).astype(np.int32)),
-                    pa.array(np.concatenate(places).astype(np.int64))], ["id", "h", "g", "place"])
+                    pa.array(np.concatenate(places).astype(np.int64)), pa.array(salt), pa.array(warm),
+                ], ["id", "h", "g", "place", "salt", "hot"])
 
-    return found.mapInArrow(compute, "id long, h long, g int, place long")
+    return found.mapInArrow(compute, "id long, h long, g int, place long, salt int, hot boolean")
+
+
+def _repeats(windows: DataFrame) -> DataFrame:
+    """``id`` and ``place`` of the windows that a smaller id has too.
+
+    One shuffle puts equal windows together, the hot ones salted. Their least ids per salt are few and give the least
+    of all; only hot windows are then shuffled again, by a join whose sides Spark can divide where they are skewed.
+    """
+    # `hot` is no partition key, so that Spark cannot move the filters below the shuffle that all parts share.
+    judged = windows.withColumn("lo", F.min("id").over(Window.partitionBy("h", "g", "salt")))
+    cold = judged.where("NOT hot AND id > lo").select("id", "place")
+    least = judged.where("hot AND id = lo").groupBy("h", "g").agg(F.min("id").alias("least"))
+    # Another form of the key: the aggregate gets a shuffle of its own, without which Spark does not divide the join.
+    least = least.select(F.col("h").bitwiseXOR(F.lit(1)).alias("z"), F.col("g").alias("y"), "least")
+    hot = judged.where("hot").withColumn("x", F.col("h").bitwiseXOR(F.lit(1)))
+    hot = hot.join(least, (F.col("x") == F.col("z")) & (F.col("g") == F.col("y")))
+    return cold.unionByName(hot.where("id > least").select("id", "place"))
 
 
 def _removal(joined: DataFrame, window: int, carried: list[T.StructField]) -> DataFrame:
@@ -160,7 +236,7 @@ def _removal(joined: DataFrame, window: int, carried: list[T.StructField]) -> Da
         return list(zip(first.tolist(), last.tolist()))
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             total, gone, kept, removed = [], [], [], []
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 words = text.split()
@@ -202,29 +278,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have few texts. Texts shorter than a window, empty and null texts keep all words. A null id is neither smaller
     nor larger than any. Empty tables give no rows.
 
-    A text that a smaller id has too is dealt with as a whole, so that copies send no anchors. Minima of anchors and
-    windows combine before the shuffle; a passage in very many documents is one row of that aggregate, and the join
-    back to its places is an ordinary join, which Spark divides where it is skewed. All steps start from the same
-    texts dealt out by id, which Spark shuffles once.
+    A text that a smaller id has too is dealt with as a whole, so that copies send no anchors. All steps start from the
+    same texts dealt out by id, which Spark shuffles once. Anchors and candidate windows are shuffled once too. Those of
+    passages in very many documents would meet in one task; they are found beforehand and spread over many.
     """
     check_cover(period, cover)
     if window < period:
         raise ValueError("the window must be as long as the period")
     row = {"row": F.struct(*[df[c] for c in carry])} if carry else {}
     texts = with_text_key(keyed_texts(df, id_col, text_col, **row)).withColumnRenamed("text_key", "key")
-    roles = Scratch(df.sparkSession, "substrings").write(_texts_of_ids(texts), "texts")
+    scratch = Scratch(df.sparkSession, "substrings")
+    roles = scratch.write(_texts_of_ids(texts), "texts")
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent_anchors(texts, scratch, window, period, cover))
     # Null-safe left joins on id alone everywhere: any other join would deal out the texts anew.
     number = F.array_position(F.transform("texts", lambda t: t["key"]), F.col("key")) - 1
     docs = texts.join(roles, texts["id"].eqNullSafe(roles["rid"]), "left").select(
         *texts.columns, number.alias("number"), F.element_at("texts", (number + 1).cast("int"))["is_copy"].alias("is_copy"))
-    anchors = _anchors(docs, window, period, cover)
-    shared = anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    anchors = _anchors(docs, frequent, window, period, cover)
+    held = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h", "route")))
     # A document has a bounded number of anchors and windows, so the lists are no longer than its text.
-    marks = anchors.join(shared, "h").groupBy(F.col("id").alias("sid")).agg(F.collect_list("h").alias("shared"))
+    marks = held.where("n > 1 OR route <> 0").groupBy(F.col("id").alias("sid")).agg(F.collect_list("h").alias("shared"))
     marked = docs.join(marks, docs["id"].eqNullSafe(marks["sid"]), "left").where("shared IS NOT NULL").drop("sid")
-    windows = _windows(marked, window, period, cover)
-    first = windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    repeats = windows.join(first.drop("hi"), ["h", "g"]).where("id > lo")
+    repeats = _repeats(_windows(marked, frequent, window, period, cover))
     gone = repeats.groupBy(F.col("id").alias("gid")).agg(F.collect_list("place").alias("places"))
     joined = docs.join(gone, docs["id"].eqNullSafe(gone["gid"]), "left").drop("gid")
     return _removal(joined, window, [docs.schema["row"]] if carry else [])

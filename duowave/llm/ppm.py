@@ -162,14 +162,18 @@ def _probabilities(grams: DataFrame, pairs, order: int) -> DataFrame:
                 [pa.array(shorter), pa.array(_coded(*lower[:3], 0, 0, lower[3]))], ["key", "value"])
 
     tails = _two_byte_contexts(grams, pairs)
-    keyed = grams.select("key", "n", F.col("key").bitwiseAND(0xFFFFFF).alias("tail")).join(tails, "tail")
+    # Null-safe, as a plain join would put a test for null below the shared shuffle and so part its uses.
+    keyed = grams.join(tails, F.col("key").bitwiseAND(0xFFFFFF).eqNullSafe(F.col("tail")))
     dealt = keyed.withColumn("context", F.shiftright("key", 8).bitwiseAND(0xFFFFFF))
     dealt = dealt.repartition("context").sortWithinPartitions("context", "key")
     return dealt.select("key", "n", "n2", "total2", "kinds2", "below2").mapInArrow(compute, "key long, value double")
 
 
 def _asked(docs: DataFrame, order: int) -> DataFrame:
-    """Per chunk the sequences and words that it holds, with their number of training occurrences."""
+    """Per chunk the sequences and words that it holds; ``what`` has the chunk above the number of training occurrences.
+
+    One column for both: branches that need only one of them would otherwise shuffle other rows each.
+    """
     def compute(group: pa.Table) -> pa.Table:
         words, others = Counter(), set()
         parts, waiting, size = [], {True: [], False: []}, 0
@@ -198,9 +202,9 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
         times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
         keys = np.concatenate([codes, keys])
         n = np.concatenate([n, times, np.zeros(len(others), np.int64)])
-        return pa.table({"chunk": pa.array(np.full(len(keys), group["chunk"][0].as_py())), "key": pa.array(keys), "n": pa.array(n)})
+        return pa.table({"key": pa.array(keys), "what": pa.array((group["chunk"][0].as_py() << 32) + n)})
 
-    return docs.groupBy("chunk").applyInArrow(compute, "chunk long, key long, n long")
+    return docs.groupBy("chunk").applyInArrow(compute, "key long, what long")
 
 
 class _Counts(dict):
@@ -274,11 +278,15 @@ def ppm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
     docs = texts.select("id", "text", "held_out", chunk)
     # Dealt out by key once; the sums and the way back both start from there. No key has more rows than there are chunks.
     asked = _asked(docs, order).repartition("key")
-    known = asked.groupBy("key").agg(F.sum("n").alias("n"), (F.max(F.col("key")) >= 0).alias("is_gram"))
-    values = _probabilities(known.where("is_gram").select("key", "n"), pairs, order).unionByName(
+    known = asked.groupBy("key").agg(
+        F.sum(F.col("what").bitwiseAND(F.lit(0xFFFFFFFF))).alias("n"), (F.max(F.col("key")) >= 0).alias("is_gram"))
+    # Read twice, so it has a shuffle of its own that Spark can use twice.
+    grams = known.where("is_gram").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFFFF))
+    values = _probabilities(grams, pairs, order).unionByName(
         known.where("NOT is_gram").select("key", F.col("n").cast("double").alias("value")))
-    answers = asked.select("chunk", "key").join(values.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k")
-    scored = _scored(docs, answers.select("chunk", "key", "value"), order, n_ends)
+    answers = asked.join(values.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k"))).select(
+        F.shiftright("what", 32).alias("chunk"), "key", "value")
+    scored = _scored(docs, answers, order, n_ends)
     # One row: the number of different training tokens.
     kinds = known.agg(F.count_if(~F.col("is_gram") & (F.col("n") > 0)).alias("kinds"))
     train = n_words + n_ends

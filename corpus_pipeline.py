@@ -49,9 +49,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = backtracking.encode(docs.select("doc_id", "lang", "source", "text"), "text", path)
-    back = backtracking.decode(coded.drop("text"), "token_ids", path)
-    return back.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+    coded = backtracking.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path)
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

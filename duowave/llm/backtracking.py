@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.llm.tables import table
+from duowave.llm.tables import slices, table
 
 # Offset that marks the last symbol of a word.
 _LAST = 0x20000
 # Words whose encoding is kept; the store is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 # White space of the tokenizer's pattern engine.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,9 +43,7 @@ class WordEncoder:
         spec = json.loads(source)
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
-        self.names = dict(sorted((i, s) for s, i in model["vocab"].items()))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names |= {i: s for s, i in self.special.items()}
         vocab = {self._inner(s, suffix): i for s, i in model["vocab"].items()}
         base = len(vocab) - len(model["merges"])
         self.parts = [(i, i) for i in range(base)]
@@ -70,10 +68,6 @@ class WordEncoder:
             rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[str, list[int]] = {}
-        # Offset table: token i is blob[offsets[i]:offsets[i + 1]], with a space behind it.
-        pieces = [(self.names[i] + " ").encode() for i in range(len(self.names))]
-        self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
     @staticmethod
     def _inner(token: str, suffix: str) -> str:
@@ -165,6 +159,17 @@ class WordEncoder:
                 self._plain(part, out)
         return out
 
+
+class OffsetTable:
+    """Decoder: token i is ``blob[offsets[i]:offsets[i + 1]]``, with a space behind it."""
+
+    def __init__(self, source: str):
+        spec = json.loads(source)
+        names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        pieces = [(names[i] + " ").encode() for i in range(len(names))]
+        self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens by the offset table, one space between them."""
         if not len(ids):
@@ -191,12 +196,22 @@ def over_texts(df: DataFrame, columns: list[T.StructField], work) -> DataFrame:
     names = [*kept, *[c.name for c in columns]]
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names)
 
     return df.mapInArrow(compute, T.StructType([*[df.schema[c] for c in kept], *columns]))
 
 
+def _ids_array(ids: list[list[int]]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _texts_array(ids, decoder: OffsetTable) -> pa.Array:
+    return pa.array([decoder.decode(x) for x in ids], pa.binary()).cast(pa.string())
+
+
 def encode(df: DataFrame, text_col: str, path: str, out: str = "token_ids") -> DataFrame:
     """``df`` with an array of token ids.
 
@@ -204,44 +219,51 @@ def encode(df: DataFrame, text_col: str, path: str, out: str = "token_ids") -> D
     is shuffled and a lost executor costs its rows only.
     """
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(path).decode())
-    encoder: list[WordEncoder] = []
+    made: list[WordEncoder] = []
 
     def work(batch):
-        if not encoder:
-            encoder.append(WordEncoder(source.value))
-        texts = batch.column(text_col)
-        ids = [encoder[0].encode(t.as_py() or "") for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        if not made:
+            made.append(WordEncoder(source.value))
+        return [_ids_array([made[0].encode(t.as_py() or "") for t in batch.column(text_col)])]
 
     return over_texts(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
 
 
 def decode(df: DataFrame, ids_col: str, path: str, out: str = "decoded") -> DataFrame:
-    """``df`` with the text of an array of token ids; null arrays give the empty text."""
+    """``df`` with the text of an array of token ids; null arrays give the empty text. ``out`` is replaced."""
     source = df.sparkSession.sparkContext.broadcast(tokenizer_source(path).decode())
-    encoder: list[WordEncoder] = []
+    made: list[OffsetTable] = []
 
     def work(batch):
-        if not encoder:
-            encoder.append(WordEncoder(source.value))
-        texts = []
-        for row in batch.column(ids_col):
-            values = row.values
-            texts.append(b"" if values is None else encoder[0].decode(values.to_numpy()))
-        return [pa.array(texts, pa.binary()).cast(pa.string())]
+        if not made:
+            made.append(OffsetTable(source.value))
+        values = (row.values for row in batch.column(ids_col))
+        return [_texts_array((np.empty(0, np.int32) if v is None else v.to_numpy() for v in values), made[0])]
 
     return over_texts(df, [T.StructField(out, T.StringType())], work)
 
 
+def round_trip(df: DataFrame, text_col: str, path: str, ids_out: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the ids of each text and the text that they decode to, in one pass; as :func:`encode` and :func:`decode`."""
+    source = df.sparkSession.sparkContext.broadcast(tokenizer_source(path).decode())
+    made: list[tuple[WordEncoder, OffsetTable]] = []
+
+    def work(batch):
+        if not made:
+            made.append((WordEncoder(source.value), OffsetTable(source.value)))
+        encoder, decoder = made[0]
+        ids = [encoder.encode(t.as_py() or "") for t in batch.column(text_col)]
+        return [_ids_array(ids), _texts_array((np.array(x, dtype=np.int32) for x in ids), decoder)]
+
+    return over_texts(df, [T.StructField(ids_out, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())], work)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """``op7_backtracking_bpe``: number and digests of token ids and of the decoded text, per document."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, "text", path).drop("text"), "token_ids", path)
-    return coded.select(
+    return round_trip(docs, "text", path).select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

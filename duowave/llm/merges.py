@@ -22,7 +22,7 @@ from duowave.llm.tables import table
 SPACE = "▁"
 TOKEN_LIMIT = 4096
 # Chunks whose count is kept; the store is emptied when full.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 def pieces_of(model: bytes) -> dict[str, int]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duowave.llm.tables import as_bytes, table
+from duowave.llm.tables import as_bytes, slices, table
 from duowave.plans.scratch import Scratch
 from duowave.plans.skew import broadcast_if_small
 
@@ -78,7 +78,7 @@ def with_statistics(packed: DataFrame) -> DataFrame:
     names = [*packed.columns, *added]
 
     def compute(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = np.array([base_statistics(t) for t in as_bytes(batch.column("text"))], dtype=np.int64).reshape(-1, 6)
             n, lines = np.maximum(counts[:, 0], 1), np.maximum(counts[:, 5], 1)
             vectors = [np.log2(np.maximum(counts[:, 1] / n, 1)), np.sqrt(counts[:, 2] / n),

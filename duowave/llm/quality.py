@@ -2,7 +2,8 @@
 
 Each document has a vector of transformed text statistics. Per language and source a minimum-covariance-determinant
 estimate (location and scatter of the three quarters of rows that lie closest together) is found by concentration
-steps, and a document is rejected whose squared Mahalanobis distance exceeds a chi-square point.
+steps, and a document is rejected whose squared Mahalanobis distance, less what the count noise of its own few lines and
+words explains, exceeds a chi-square point.
 """
 
 from __future__ import annotations
@@ -27,17 +28,21 @@ SYMBOLS = b"#*$%&|<>"
 # Vector entries are integers of 1 / GRID below LIMIT * GRID, so that all sums are exact.
 GRID, LIMIT = 1024, 16
 DIMS = 4
-# Least standard deviation per entry: log2 of word length, roots of symbols a word, repeated lines and repeated words.
-FLOORS = (0.10, 0.06, 0.20, 0.20)
+# Shares of repeated lines and of repeated words above which a document is rejected for that alone, in a group without any.
+MOST_LINES, MOST_WORDS = 1 / 2, 1 / 3
+# Count noise of the roots of repeated lines and words: variance times the document's lines or words. Roots of counts vary by
+# a quarter; repeated words come in clumps of six or more, two windows of three words.
+LINE_NOISE, WORD_NOISE = 1 / 4, 6 / 4
 # Share of rows that the estimate rests on, concentration steps, rejection probability of a clean row.
 SUPPORT = 0.75
 STEPS = 5
-REJECT = 1e-6
+REJECT = 1e-5
 # Fewer rows than this are judged by the estimate of their language, or of all rows.
 LEAST_ROWS = 200
 # Bins of log2(1 + distance), and of an entry's value.
 DISTANCE_BINS, VALUE_BINS = 16, 64
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+COUNTS = [*STATS, "n_lines"]
 
 
 def base_statistics(text: bytes) -> tuple[int, int, int, int, int, int]:
@@ -73,8 +78,8 @@ def base_statistics(text: bytes) -> tuple[int, int, int, int, int, int]:
 
 
 def with_statistics(packed: DataFrame) -> DataFrame:
-    """Add ``STATS`` and the integer vector ``x0`` to ``x3``; ``packed`` has ``text`` and columns that do not clash."""
-    added = [*STATS, *[f"x{i}" for i in range(DIMS)]]
+    """Add ``COUNTS`` and the integer vector ``x0`` to ``x3``; ``packed`` has ``text`` and columns that do not clash."""
+    added = [*COUNTS, *[f"x{i}" for i in range(DIMS)]]
     names = [*packed.columns, *added]
 
     def compute(batches):
@@ -84,7 +89,7 @@ def with_statistics(packed: DataFrame) -> DataFrame:
             vectors = [np.log2(np.maximum(counts[:, 1] / n, 1)), np.sqrt(counts[:, 2] / n),
                        np.sqrt(counts[:, 3] / lines), np.sqrt(counts[:, 4] / n)]
             grid = [np.clip(np.rint(v * GRID), 0, LIMIT * GRID - 1).astype(np.int64) for v in vectors]
-            arrays = [pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(STATS))] + [pa.array(v) for v in grid]
+            arrays = [pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))] + [pa.array(v) for v in grid]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names)
 
     return packed.mapInArrow(compute, T.StructType([*packed.schema.fields, *[T.StructField(c, T.LongType()) for c in added]]))
@@ -118,6 +123,9 @@ def chi2_point(tail: float, dof: int) -> float:
 # Factor that makes the scatter of the inner SUPPORT of normal rows unbiased.
 CONSISTENCY = SUPPORT / (1 - chi2_tail(chi2_point(1 - SUPPORT, DIMS), DIMS + 2))
 CUTOFF = chi2_point(REJECT, DIMS)
+# Least standard deviation per entry: log2 of word length, roots of symbols a word, repeated lines and repeated words. A
+# share reaches the cut by itself at its limit above.
+FLOORS = (0.10, 0.06, math.sqrt(MOST_LINES / CUTOFF), math.sqrt(MOST_WORDS / CUTOFF))
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 _GROUP = ["level", "lang", "source"]
 _ESTIMATE = ("level int, lang string, source string, n long, centre array<double>, precision array<double>")
@@ -161,6 +169,19 @@ def distance() -> Column:
     return sum(parts[1:], parts[0])
 
 
+def noise_credit() -> Column:
+    """Part of ``distance()`` that goes when the floors of ``x2`` and ``x3`` are raised to the document's own count noise."""
+    gap = [F.col(f"x{i}") / float(GRID) - F.col("centre")[i] for i in range(DIMS)]
+    held = {p: F.col("precision")[k] for k, p in enumerate(_PAIRS)}
+    more = {i: F.greatest(noise / F.greatest(F.col(count), F.lit(1)) - FLOORS[i] ** 2, F.lit(0.0))
+            for i, count, noise in ((2, "n_lines", LINE_NOISE), (3, "n_words", WORD_NOISE))}
+    u, v = (sum((held[min(i, j), max(i, j)] * gap[j] for j in range(1, DIMS)), held[0, i] * gap[0]) for i in (2, 3))
+    # Inverse of the scatter with two variances added (Woodbury).
+    a, b = 1 + more[2] * held[2, 2], 1 + more[3] * held[3, 3]
+    both = more[2] * more[3] * held[2, 3]
+    return (more[2] * u * u * b + more[3] * v * v * a - 2 * both * u * v) / (a * b - both * held[2, 3])
+
+
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One step: location and scatter of the rows nearest to the present estimate."""
     there = broadcast_if_small(estimates.select(*[F.col(c).alias(f"g_{c}") for c in _GROUP], "centre", "precision"))
@@ -226,12 +247,15 @@ def fit_estimates(stats: DataFrame, steps: int = STEPS, least_rows: int = LEAST_
 def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Add ``base_failed``, ``distance2`` and ``kept`` to rows with statistics.
 
+    ``distance2`` is the distance from the estimate; the verdict credits the document's own count noise, so that one
+    repeated line among three is not held against it.
+
     Where no row passed the base rule there is no estimate, and none is needed.
     """
     there = broadcast_if_small(estimates)
     joined = stats.join(there, stats["lang"].eqNullSafe(there["g_lang"]) & stats["source"].eqNullSafe(there["g_source"]), "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("distance2", distance()).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)
+        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2") - noise_credit(), F.lit(0.0)) <= cutoff)
     ).drop("g_lang", "g_source", "centre", "precision")
 
 
@@ -242,7 +266,7 @@ def _packed(df: DataFrame, text_col: str, lang_col: str, source_col: str, **othe
 
 def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                      source_col: str = "source") -> DataFrame:
-    """``id``, ``lang``, ``source``, the statistics, ``base_failed``, ``distance2`` and ``kept`` per row, without texts.
+    """``id``, ``lang``, ``source``, the counts, ``base_failed``, ``distance2`` and ``kept`` per row, without texts.
 
     Null texts have no words and fail the base rule. Null languages and sources are groups like any other. Rows are
     judged singly, so repeated rows get equal verdicts. An empty table gives no rows. Other columns are not read.

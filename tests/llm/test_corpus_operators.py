@@ -138,6 +138,45 @@ def test_quality_takes_awkward_rows(spark, docs):
     assert quality.quality_verdicts(docs.limit(0)).count() == 0 and quality.keep_good(docs.where("n_chars < 5")).count() == 0
 
 
+def test_repetition_alone_is_rejected(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeiou") + rng.choice("rstlmn") for _ in range(2)) for _ in range(900)]
+
+    def prose(n):
+        return " ".join(rng.sample(vocabulary, n))
+
+    # Lines of one word, in an order without a repeated triple: 60 of 65 lines are repeated, and no words.
+    lines, seen = ["am"] * 3, {("am",) * 3}
+    while len(lines) < 66:
+        word = next(w for w in ("os", "ir", "en", "am") if (*lines[-2:], w) not in seen)
+        seen.add((*lines[-2:], word))
+        lines.append(word)
+    phrase, short = prose(30), "ab cd ef"
+    rows = [(i, prose(120)) for i in range(300)]
+    # Repeated lines, 60 of 134 words in a passage twice, both, then one repeated line among three and few repeated words.
+    rows += [(1000, "\n".join([prose(60), *lines])), (1001, f"{phrase} {prose(74)} {phrase}"),
+             (1002, "\n".join([prose(80), *["ab cd"] * 30])), (1003, "\n".join([short, prose(60), short])), (1004, prose(200))]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in quality.quality_verdicts(df).collect()}
+    assert got[1000]["n_repeat_words"] == 0 and got[1000]["n_dup_lines"] == 62
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (1000, 1001, 1002))
+    assert all(r["kept"] for i, r in got.items() if i not in (1000, 1001, 1002))
+
+
+def test_noise_credit_equals_the_inverse(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stats = quality.with_statistics(quality._packed(docs, "text", "lang", "source", id=docs["doc_id"]))
+    half = np.random.default_rng(1).normal(size=(4, 4)) * 0.1
+    scatter, centre = half @ half.T + np.diag(np.square(quality.FLOORS)), np.array([2.3, 0.1, 0.05, 0.05])
+    precision = np.linalg.inv(scatter)
+    there = stats.withColumn("centre", F.array(*map(F.lit, centre.tolist()))).withColumn(
+        "precision", F.array(*[F.lit(float(precision[p])) for p in quality._PAIRS]))
+    for r in there.withColumn("left", quality.distance() - quality.noise_credit()).collect():
+        more = [0, 0, max(0.25 / max(r["n_lines"], 1) - quality.FLOORS[2] ** 2, 0), max(1.5 / max(r["n_words"], 1) - quality.FLOORS[3] ** 2, 0)]
+        gap = np.array([r[f"x{i}"] / quality.GRID for i in range(4)]) - centre
+        assert r["left"] == pytest.approx(gap @ np.linalg.inv(scatter + np.diag(more)) @ gap, rel=1e-9)
+
+
 # 3 and 7: tokens
 
 

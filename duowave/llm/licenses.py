@@ -22,9 +22,14 @@ SPELLINGS = (
     ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("per cent", "percent"),
     ("v2", "version 2"), ("v3", "version 3"),
 )
+# The rule of the SQL twin, which has unwrapped lines only.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# How a copyright line starts. A line that goes on with one of these words, or ends, is licence wording wrapped there.
+WORDING = (r"(?:notice|holder|owner|licen[cs]e|law|statement|interest|right|term|protection|condition|disclaimer)s?|and|or|in|of|to|"
+           r"is|are|as|for|protected|material")
+NOTICE = rf"(?:copyright(?![a-z]|[^a-z0-9\n©]*(?:\n|\z|(?:{WORDING})\b))|\(c\)|©|all rights reserved)[^\n]*"
 # The first word after copyright lines; reading stops there.
-HEAD = r"(?i)\A(?:[^a-z0-9]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*)*[^a-z0-9]*([a-z0-9]+)"
+HEAD = rf"(?i)\A(?:[^a-z0-9]*{NOTICE})*[^a-z0-9]*([a-z0-9]+)"
 
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
@@ -88,11 +93,26 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
+# The same texts under other common titles; those of KNOWN stand for texts without a title too.
+TITLES = {
+    "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "The MIT License, MIT"),
+    "ISC": ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "Zero-Clause BSD License", "Zero-Clause BSD License (0BSD)", "BSD Zero Clause License (0BSD)",
+             "The Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("The BSD 2-Clause License", "2-Clause BSD License", "The 2-Clause BSD License", "Simplified BSD License",
+                     "The Simplified BSD License", "FreeBSD License", "BSD 2-Clause \"Simplified\" License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("The BSD 3-Clause License", "3-Clause BSD License", "The 3-Clause BSD License", "New BSD License",
+                     "The New BSD License", "Modified BSD License", "BSD 3-Clause \"New\" or \"Revised\" License",
+                     "BSD-3-Clause", "BSD License", "The BSD License"),
+}
+_BODIES = {"MIT": _MIT, "ISC": _ISC, "0BSD": _ZERO, "BSD-2-Clause": _BSD_START + _BSD_WARRANTY,
+           "BSD-3-Clause": _BSD_START + _BSD_THIRD + _BSD_WARRANTY}
+TITLED = tuple((name, f"{title}\n{_BODIES[name]}") for name, titles in TITLES.items() for title in titles)
 
 
 def canonical(text: Column) -> Column:
     """Words of a text in lower case, without copyright lines, punctuation and spelling variants; null stays null."""
-    out = F.regexp_replace(F.lower(text), "(?m)" + COPYRIGHT_LINE, "")
+    out = F.regexp_replace(F.lower(text), rf"(?m)^[^a-z0-9]*{NOTICE}$", "")
     out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", " "), F.lit(" "))
     for variant, form in SPELLINGS:
         out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {form} "))
@@ -126,14 +146,14 @@ def known_digests(known: DataFrame) -> DataFrame:
 def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``license`` (of the whole text, null if unknown) and ``notices`` (sorted licences of its lines) per row.
 
-    ``known`` has ``license`` and ``text``; without it :data:`KNOWN` is used. Null, empty and wordless texts match
+    ``known`` has ``license`` and ``text``; without it :data:`KNOWN` and :data:`TITLED` are. Null, empty and wordless texts match
     nothing. Repeated rows get equal results. Empty tables give no rows; other columns are not read.
 
     Only units whose first word begins a known text are reduced and digested. The known digests are broadcast only if
     they are counted to be few; only units that match are grouped.
     """
     spark = df.sparkSession
-    known = spark.createDataFrame(list(KNOWN), "license string, text string") if known is None else known
+    known = spark.createDataFrame([*KNOWN, *TITLED], "license string, text string") if known is None else known
     scratch = Scratch(spark, "licenses")
     digests = scratch.write(known_digests(known), "known")
     heads = broadcast_if_small(scratch.write(digests.select(F.explode("heads").alias("head")).distinct(), "heads"))

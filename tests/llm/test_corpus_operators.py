@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -262,6 +263,22 @@ def test_licences(spark):
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "use it while you CAN.")], "doc_id long, text string"), own).collect()] == ["own"]
 
 
+def test_known_licences_at_any_line_width(spark):
+    rows, want = [], []
+    for width in (*range(12, 60, 7), 60, 66, 70, 72, 74, 76, 78, 79, 80, 100):
+        for name, text in (*licenses.KNOWN, *licenses.TITLED):
+            wrapped = "\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n"))
+            for notice in ("", "Copyright (c) 2020 A B\n\n", "Copyright Acme Inc.\n# copyright 1999, 2001 by C\n"):
+                rows.append((len(rows), notice + wrapped))
+                want.append(name)
+    isc = ("ISC License\n\nCopyright © 2020, A B\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+           "purpose with or without fee is hereby granted, provided that the above\n"
+           "copyright notice and this permission notice appear in all copies.\n\n") + licenses._ISC_WARRANTY
+    rows.append((len(rows), isc))
+    got = {r["id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert [got[i] for i in range(len(rows))] == [*want, "ISC"]
+
+
 # 8: near duplicates
 
 

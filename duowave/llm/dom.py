@@ -22,9 +22,15 @@ from duowave.llm.tables import slices, table
 
 # Fixed values of HTML: elements without an end, elements whose text is never shown, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style noscript template svg math iframe object audio video canvas select textarea button title".split())
+HIDDEN = frozenset("head script style noscript template svg iframe object audio video canvas select textarea button title "
+                   "annotation annotation-xml".split())
+# Elements that can stand in a head; any other ends one whose end is left out.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head".split())
+# Formulas are text of the block they are in; annotations repeat them in another notation.
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+                 "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr".split())
+                   "strong sub sup time tt u var wbr".split()) | MATH
 # An element that starts ends an open one of these kinds, up to the nearest of the limits.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
          "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -70,7 +76,19 @@ class Page(HTMLParser):
             if name in limits:
                 return
 
+    def _end_head(self, inner: bool) -> None:
+        """Close a head that is still open; with ``inner`` also from inside one of its elements."""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] == "head":
+                while len(self.open) > k:
+                    self._pop()
+                return
+            if not inner:
+                return
+
     def handle_starttag(self, name: str, attrs) -> None:
+        if name not in IN_HEAD and name != "html":
+            self._end_head(name == "body")
         if name in ("html", "body") and len(self.open) == 1:
             return
         if name == "br":
@@ -113,6 +131,8 @@ class Page(HTMLParser):
         self.runs[-1][1].append(text)
 
     def handle_data(self, text: str) -> None:
+        if self.hidden and self.open[-1][0] == "head" and text.strip():
+            self._end_head(False)
         if self.hidden:
             return
         self._text(text)

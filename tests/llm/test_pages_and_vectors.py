@@ -72,6 +72,28 @@ def test_awkward_pages(spark, model):
     assert dom.extract(df.limit(0), model=model).count() == 0
 
 
+def test_omitted_optional_tags(model):
+    top = "<title>No</title><meta charset=utf-8><style>p{}</style><script>var no;</script><noscript><img src=x></noscript>"
+    words = "Words of an article, and more of them. " * 4
+    inner = f"<article><h1>Title of it</h1><p>{words}</p><ul><li>One of the items, it is.</li><li>{words}</li></ul><p>{words}</p></article>"
+    whole = dom.main_text(f"<!doctype html><html><head>{top}</head><body>{inner}</body></html>", model)
+    assert whole.count("\n") == 4 and "No" not in whole and "var" not in whole
+    for page in (f"<html><head>{top}<body>{inner}</body></html>", f"<html><head>{top}{inner}</html>", f"<head>{top}\n<body class=x>{inner}",
+                 f"<html>{top}<body>{inner}", f"{top}{inner}", f"<head><body>{inner}", f"<html><head>{top}</head>{inner}",
+                 f"<head>{top}<body>" + re.sub("</(p|li)>", "", inner)):
+        assert dom.main_text(page, model) == whole, page[:80]
+    # Text ends a head too; what can stand in it does not.
+    runs = dom.Page("<head><title>no</title> Some words<p>more").runs
+    assert ["".join(parts).strip() for _, parts in runs] == ["Some words", "more"]
+
+
+def test_formulas_stay_in_their_sentence(model):
+    text = "so that it is less than the others, as was shown before."
+    page = (f"<html><body><article><p>Let <math display='inline'><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow>"
+            f"<annotation encoding='tex'>no</annotation></semantics></math> hold, {text}</p></article></body></html>")
+    assert dom.main_text(page, model) == f"Let x=2 hold, {text}"
+
+
 def _exact(ids, vectors, k=20, every=20):
     out = {}
     for i, v in zip(ids, vectors):

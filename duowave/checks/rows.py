@@ -173,8 +173,8 @@ def _two_headers(t: Tables) -> str:
         F.concat(F.lit("2025-03-30T23:30:00"), F.when(F.col("patient") % 2 == 0, "+02:00").otherwise("-0130")).alias("Authored"),
         F.lit("x").alias("Note"))
     odd = F.col("Patient") % 2 == 1
-    rows.where(~odd).coalesce(1).write.option("header", True).csv(f"{path}/a")
-    rows.where(odd).select("Authored", "Alter", "Datum", "Patient").coalesce(1).write.option("header", True).csv(f"{path}/b")
+    rows.where(~odd).write.option("header", True).csv(f"{path}/a")
+    rows.where(odd).select("Authored", "Alter", "Datum", "Patient").write.option("header", True).csv(f"{path}/b")
     return f"{path}/*"
 
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
+from duowave.checks.rows import _two_headers
 from duowave.operators.visits import when_fallback
 from duowave.sources import exports
 
@@ -51,6 +52,16 @@ def test_files_with_other_headers(spark, tmp_path):
         ("p", 1, 2, None), ("q", 4, 3, None), ("r", None, None, 5)]
 
 
+def test_halves_with_other_headers_are_written_in_parallel(spark):
+    class Views(dict):
+        pass
+
+    views = Views(fx_demographics=spark.range(1, 401, numPartitions=4).withColumnRenamed("id", "patient"))
+    views.spark = spark
+    files = exports.read_export(spark, _two_headers(views)).groupBy("ingest_seq.file").count().collect()
+    assert len(files) == 8 and sum(r["count"] for r in files) == 400
+
+
 def test_file_order_numbers_visits(spark, export):
     df = when_fallback(exports.read_export(spark, export), ["patient_id"], "ingest_seq")
     assert [(r.patient_id, r.when_dt.second) for r in df.orderBy("ingest_seq").collect()] == [

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from duowave.llm import backtracking, collisions, dom, licenses, merges, mixing, ppm, quality, simhash, substrings
+from duowave.llm import (backtracking, chats, collisions, covertree, dom, licenses, manifest, merges, mixing, ppm, quality, simhash,
+                         substrings)
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1,
@@ -15,9 +16,15 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_pareto_mix": mixing.op9,
     "op10_collision_counting": collisions.op10,
+    "op11_cover_tree_codes": covertree.op11,
+    "op12_merkle_manifest": manifest.op12,
+    "op13_chat_roundtrip": chats.op13,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
     "op6_license_digests": licenses.OP6_SQL,
     "op9_pareto_mix": mixing.OP9_SQL,
+    "op11_cover_tree_codes": covertree.OP11_SQL,
+    "op12_merkle_manifest": manifest.OP12_SQL,
+    "op13_chat_roundtrip": chats.OP13_SQL,
 }

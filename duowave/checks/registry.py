@@ -36,9 +36,9 @@ def _twin(sql: str, doubles: Sequence[str], digits: int) -> str:
     steps = common_table_expressions(re.findall(r"\{(\w+)\}", sql))
     body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
     if steps:
-        text = f"WITH {steps}{body}" if body.startswith(",") else f"WITH {steps}\n{body}"
+        text = f"WITH RECURSIVE {steps}{body}" if body.startswith(",") else f"WITH RECURSIVE {steps}\n{body}"
     else:
-        text = f"WITH {body.lstrip(',')}" if body.startswith(",") else body
+        text = f"WITH RECURSIVE {body.lstrip(',')}" if body.startswith(",") else body
     if not doubles:
         return text
     rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles)

@@ -11,7 +11,8 @@ from duowave.checks.registry import (
 from duowave.functions import categories as cat
 from duowave.functions import tails, text
 from duowave.operators import (
-    anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, summary, visits,
+    anova, diagnostics, effects, elastic_net, imputation, joins, linear, mice, mixed_counts, ranking, reshape, response, summary,
+    visits,
 )
 from duowave.plans.scratch import Scratch, materialize
 from duowave.plans.study import Study
@@ -346,6 +347,94 @@ def residual_diagnostics(t):
     return diagnostics.residual_diagnostics(long(t), cell=["grp", "time"])
 
 
+# A rational approximation of the normal quantile to nine digits (Acklam), by falling powers.
+QUANTILE_MIDDLE = ((-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01,
+                    2.506628277459239e00),
+                   (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0))
+QUANTILE_TAIL = ((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00,
+                  2.938163982698783e00),
+                 (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0))
+
+
+def horner_sql(x, falling):
+    out = repr(falling[0])
+    for c in falling[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def quantile_sql(p):
+    """SQL of the normal quantile."""
+    q, tail = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - ({p}))))"
+    middle = f"{q} * {horner_sql(f'({q} * {q})', QUANTILE_MIDDLE[0])} / {horner_sql(f'({q} * {q})', QUANTILE_MIDDLE[1])}"
+    outer = f"-sign({q}) * {horner_sql(tail, QUANTILE_TAIL[0])} / {horner_sql(tail, QUANTILE_TAIL[1])}"
+    return f"CASE WHEN abs({q}) <= 0.47575 THEN {middle} ELSE {outer} END"
+
+
+def rising_sql(x, coefficients):
+    return horner_sql(x, tuple(reversed(coefficients)))
+
+
+# Every weight and value in place; for more than 11 residuals an instrument, as all have.
+@query("shapiro_wilk", f"""
+, r AS (SELECT instrument, score - avg(score) OVER (PARTITION BY instrument, grp, time) AS e
+  FROM {{long}} WHERE score IS NOT NULL AND grp IS NOT NULL),
+o AS (SELECT instrument, e, row_number() OVER (PARTITION BY instrument ORDER BY e) AS i, count(*) OVER (PARTITION BY instrument) AS n FROM r),
+m AS (SELECT *, {quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM o),
+q AS (SELECT *, sum(m * m) OVER (PARTITION BY instrument) AS mm, max(m) OVER (PARTITION BY instrument) AS m1,
+    max(CASE WHEN i < n THEN m END) OVER (PARTITION BY instrument) AS m2 FROM m),
+w AS (SELECT *, {rising_sql('(1 / sqrt(n))', diagnostics.LARGEST)} + m1 / sqrt(mm) AS a1,
+    {rising_sql('(1 / sqrt(n))', diagnostics.SECOND)} + m2 / sqrt(mm) AS a2 FROM q),
+a AS (SELECT instrument, n, e, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2
+    ELSE m * sqrt((1 - 2 * a1 * a1 - 2 * a2 * a2) / (mm - 2 * m1 * m1 - 2 * m2 * m2)) END AS a FROM w),
+s AS (SELECT instrument, count(*) AS n, pow(corr(a, e), 2) AS w FROM a GROUP BY instrument),
+z AS (SELECT *, (ln(1 - w) - {rising_sql('ln(n)', diagnostics.MANY_MEAN)}) / exp({rising_sql('ln(n)', diagnostics.MANY_SPREAD)}) AS z FROM s)
+SELECT z.instrument, n_obs, n AS n_resid, w, CASE WHEN z > 6 THEN 0.0 WHEN z < -6 THEN 1.0 ELSE 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(
+    list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(abs(z)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) * sign(z) END AS p_value
+FROM z JOIN (SELECT instrument, count(*) AS n_obs FROM {{long}} GROUP BY instrument) c USING (instrument)""", doubles=["w", "p_value"])
+def shapiro_wilk(t):
+    return diagnostics.shapiro_wilk(long(t), cell=["grp", "time"])
+
+
+def counts(t):
+    """Visits with whole scores."""
+    return long(t).withColumn("score", F.floor("score"))
+
+
+# The integral over the intercept by a fine grid, digamma differences as sums.
+NB_THETA, NB_SIGMA = 2.0, 0.5
+
+
+@query("nb_log_likelihood", f"""
+, v AS (SELECT instrument, patient, CAST(grp = 'Intervention' AS INT) AS g, CAST(time = 'post' AS INT) AS t, floor(score) AS y
+  FROM {{long}} WHERE grp IS NOT NULL AND score IS NOT NULL),
+c AS (SELECT instrument, g, t, ln((sum(y) + 0.5) / count(*)) AS eta FROM v GROUP BY instrument, g, t),
+n AS (SELECT v.*, eta, {NB_SIGMA} * z / 20.0 AS b, exp(eta + {NB_SIGMA} * z / 20.0) AS mu
+  FROM v JOIN c USING (instrument, g, t), range(-160, 161) nodes(z)),
+d AS (SELECT instrument, patient, b, sum(lgamma(y + {NB_THETA}) - lgamma({NB_THETA}) - lgamma(y + 1) - {NB_THETA} * ln(1 + mu / {NB_THETA})
+      + y * (ln(mu) - ln({NB_THETA} + mu))) - b * b / (2 * {NB_SIGMA} * {NB_SIGMA}) - ln({NB_SIGMA}) - 0.5 * ln(2 * pi()) AS f,
+    sum({NB_THETA} * (y - mu) / ({NB_THETA} + mu)) AS d0, sum(g * {NB_THETA} * (y - mu) / ({NB_THETA} + mu)) AS d1,
+    sum(t * {NB_THETA} * (y - mu) / ({NB_THETA} + mu)) AS d2, sum(g * t * {NB_THETA} * (y - mu) / ({NB_THETA} + mu)) AS d3,
+    sum({NB_THETA} * (coalesce(list_sum(list_transform(range(0, CAST(y AS BIGINT)), lambda j: 1 / ({NB_THETA} + j))), 0.0)
+      - ln(1 + mu / {NB_THETA}) + (mu - y) / ({NB_THETA} + mu))) AS d4,
+    b * b / ({NB_SIGMA} * {NB_SIGMA}) - 1 AS d5
+  FROM n GROUP BY instrument, patient, b),
+p AS (SELECT instrument, patient, max(f) AS top FROM d GROUP BY instrument, patient),
+e AS (SELECT instrument, patient, any_value(top) + ln(sum(exp(f - top)) * {NB_SIGMA} / 20.0) AS l, {", ".join(
+    f"sum(exp(f - top) * d{k}) / sum(exp(f - top)) AS e{k}" for k in range(6))}
+  FROM d JOIN p USING (instrument, patient) GROUP BY instrument, patient)
+SELECT instrument, sum(l) AS log_lik, sum(e0) AS d_intercept, sum(e1) AS d_group, sum(e2) AS d_time, sum(e3) AS d_interaction,
+  sum(e4) AS d_log_theta, sum(e5) AS d_log_sigma FROM e GROUP BY instrument""",
+       doubles=["log_lik", "d_intercept", "d_group", "d_time", "d_interaction", "d_log_theta", "d_log_sigma"], digits=4)
+def nb_log_likelihood(t):
+    return mixed_counts.nb_log_likelihood(counts(t), NB_THETA, NB_SIGMA, group="grp")
+
+
+@query("nb_mixed_model")
+def nb_mixed_model(t):
+    return mixed_counts.nb_mixed_model(counts(t), group="grp")
+
+
 @query("regression_impute", """
 SELECT v.tie, v.score, a.grp, coalesce(v.score, CASE WHEN a.grp IS NOT NULL THEN
   avg(v.score) OVER (PARTITION BY v.instrument, a.grp) END) AS score_imp
@@ -717,6 +806,69 @@ def dist_tail(t):
         "t_crit": tails.t_critical(dof)})
 
 
+# --- elastic net ------------------------------------------------------------------------------
+
+NET_NUMERIC, NET_FACTORS, NET_PRE = ["acctbal", "n_orders"], ["region"], "score_pre"
+NET_REGIONS = ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+NET_MAIN = NET_NUMERIC + [f"region{r}" for r in NET_REGIONS]
+NET_TERMS = [NET_PRE, "groupIntervention", *NET_MAIN, *[f"groupIntervention:{m}" for m in NET_MAIN]]
+NET_P, NET_FOLDS, NET_SHARE, NET_SWEEPS = len(NET_TERMS), 5, 0.1, 120
+_main = ", ".join([*NET_NUMERIC, *[f"CAST(region = '{r}' AS DOUBLE)" for r in NET_REGIONS]])
+_arm = ", ".join(f"g * {m}" for m in [*NET_NUMERIC, *[f"CAST(region = '{r}' AS DOUBLE)" for r in NET_REGIONS]])
+
+# Coordinate descent by a recursive table over explicit rows: f is the fold left out, or -1.
+NET = f"""
+, b AS (SELECT patient, CAST('0x' || substr(md5(CAST(patient AS VARCHAR)), 1, 8) AS BIGINT) % {NET_FOLDS} AS fold, score_post AS y,
+    CAST([score_pre, g, {_main}, {_arm}] AS DOUBLE[]) AS x
+  FROM (SELECT *, CAST(grp = 'Intervention' AS INT) AS g FROM {{fx_baseline}})
+  WHERE score_pre IS NOT NULL AND score_post IS NOT NULL AND acctbal IS NOT NULL AND n_orders IS NOT NULL),
+tr AS (SELECT f, patient, y - avg(y) OVER (PARTITION BY f) AS y, i, x[i] AS v, avg(x[i]) OVER (PARTITION BY f, i) AS mean,
+    stddev_pop(x[i]) OVER (PARTITION BY f, i) AS sd
+  FROM b, range(-1, {NET_FOLDS}) folds(f), range(1, {NET_P + 1}) places(i) WHERE fold <> f),
+st AS (SELECT f, patient, i, y, (v - mean) / sd AS z FROM tr),
+gram AS (SELECT f, i, list(r ORDER BY j) AS row FROM (SELECT f, a.i, b.i AS j, avg(a.z * b.z) AS r FROM st a JOIN st b USING (f, patient)
+    GROUP BY f, a.i, b.i) GROUP BY f, i),
+k AS (SELECT f, list(c ORDER BY i) AS c FROM (SELECT f, i, avg(z * y) AS c FROM st GROUP BY f, i) GROUP BY f),
+s0 AS (SELECT f, (c[1] - row[2] * c[2]) / (1 - row[2] * row[2]) AS b1, (c[2] - row[2] * c[1]) / (1 - row[2] * row[2]) AS b2, c
+  FROM k JOIN gram USING (f) WHERE i = 1),
+lam AS (SELECT {NET_SHARE} * max(abs(c[i] - row[1] * b1 - row[2] * b2)) / 0.5 AS lam FROM s0 JOIN gram USING (f) WHERE f = -1 AND i > 2),
+cd AS (SELECT f, 0 AS step, CAST(list_concat([b1, b2], list_transform(range({NET_P - 2}), lambda q: 0.0)) AS DOUBLE[]) AS beta FROM s0
+  UNION ALL SELECT f, step + 1, list_transform(beta, lambda v, q: CASE WHEN q = j THEN new ELSE v END)
+  FROM (SELECT f, step, beta, j, sign(r) * greatest(abs(r) - soft, 0) / (1 + soft) AS new
+    FROM (SELECT cd.f, step, beta, i AS j, c[i] - list_dot_product(row, beta) + beta[i] AS r, CASE WHEN i > 2 THEN 0.5 * lam ELSE 0.0 END AS soft
+      FROM cd JOIN gram g ON g.f = cd.f AND g.i = step % {NET_P} + 1 JOIN k ON k.f = cd.f, lam WHERE step < {NET_P * NET_SWEEPS}))),
+co AS (SELECT DISTINCT f, i, beta[i] / sd AS slope, mean FROM tr JOIN (SELECT f, beta FROM cd WHERE step = {NET_P * NET_SWEEPS}) USING (f)),
+ic AS (SELECT f, my - sum(slope * mean) AS intercept FROM co JOIN (
+    SELECT f, avg(b.y) AS my FROM b, range(-1, {NET_FOLDS}) folds(f) WHERE fold <> f GROUP BY f) USING (f) GROUP BY f, my),
+er AS (SELECT fold, count(*) AS n, sum(pow(y - intercept - fit, 2)) AS sse FROM (
+    SELECT b.patient, any_value(fold) AS fold, any_value(b.y) AS y, sum(slope * x[i]) AS fit FROM b JOIN co ON co.f = b.fold GROUP BY b.patient)
+  JOIN ic ON ic.f = fold GROUP BY fold),
+cv AS (SELECT sum(n) AS n, sum(sse) / sum(n) AS e FROM er)"""
+
+
+def net(t):
+    path, terms = elastic_net.moderator_net(t["fx_baseline"], NET_NUMERIC, NET_FACTORS, NET_PRE, "score_post", "grp", folds=NET_FOLDS,
+                                            lambdas=3, least_share=NET_SHARE**2)
+    return path.withColumn("here", F.abs(F.col("share") - NET_SHARE) < 1e-9), terms
+
+
+@query("moderator_net", NET + """
+SELECT CASE WHEN i = 0 THEN '(Intercept)' ELSE terms[i] END AS term, estimate, lam AS penalty FROM (
+  SELECT i, slope AS estimate FROM co WHERE f = -1 UNION ALL SELECT 0, intercept FROM ic WHERE f = -1), lam,
+  (SELECT [""" + ", ".join(f"'{x}'" for x in NET_TERMS) + """] AS terms)""", doubles=["estimate", "penalty"], digits=5)
+def moderator_net(t):
+    path, terms = net(t)
+    return elastic_net.net_coefficients(path, terms, rule="here")
+
+
+@query("moderator_net_cv", NET + """
+SELECT lam AS penalty, CAST(n AS BIGINT) AS n_obs, (SELECT CAST(count(*) AS INT) FROM co WHERE f = -1 AND slope <> 0) AS n_nonzero, e AS cv_error,
+  sqrt((SELECT sum(er.n * pow(sse / er.n - e, 2)) FROM er) / n / (SELECT count(*) - 1 FROM er)) AS cv_se FROM cv, lam""",
+       doubles=["penalty", "cv_error", "cv_se"], digits=4)
+def moderator_net_cv(t):
+    return net(t)[0].where("here").select("penalty", "n_obs", "n_nonzero", "cv_error", "cv_se")
+
+
 # --- whole study ------------------------------------------------------------------------------
 
 def study(t):

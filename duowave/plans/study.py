@@ -16,7 +16,8 @@ from duowave.functions import categories as cat
 from duowave.functions import dates, text
 from duowave.functions.names import first_present_column, present_columns, standardize_id
 from duowave.operators import (
-    anova, diagnostics, effects, imputation, joins, linear, mice, ranking, reshape, response, scoring, summary, visits,
+    anova, diagnostics, effects, elastic_net, imputation, joins, linear, mice, mixed_counts, ranking, reshape, response, scoring,
+    summary, visits,
 )
 from duowave.plans.instruments import BURDEN, DEPRESSION, INSTRUMENTS, WELLBEING, Instrument, score_form
 from duowave.plans.scratch import Scratch
@@ -176,6 +177,14 @@ class Study:
         """Normality of the residuals."""
         return diagnostics.residual_diagnostics(self.long)
 
+    def shapiro(self) -> DataFrame:
+        """Shapiro-Wilk test of the residuals."""
+        return diagnostics.shapiro_wilk(self.long)
+
+    def count_models(self) -> DataFrame:
+        """Negative-binomial models of group x time with a random intercept per patient."""
+        return mixed_counts.nb_mixed_model(self.long)
+
     # --- sensitivity ---
 
     def regression_imputed_pairs(self, instrument: Instrument = BURDEN) -> DataFrame:
@@ -246,6 +255,16 @@ class Study:
             results.append(linear.moderator_factor(rows, factors, "zbi_pre", "zbi_post"))
         return linear.predictor_report(*results)
 
+    def moderator_net(self, rule: str = "is_1se") -> DataFrame | None:
+        """Terms of the elastic-net model of the burden at the last visit; ``None`` without predictors."""
+        rows = self.scratch.write(self.predictor_rows(), "net")
+        numeric = present_columns(rows, ["who5_pre", "bdi_pre", *NUMERIC_PREDICTORS])
+        factors = present_columns(rows, list(FACTOR_PREDICTORS))
+        if not numeric and not factors:
+            return None
+        path, terms = elastic_net.moderator_net(rows, numeric, factors, "zbi_pre", "zbi_post")
+        return elastic_net.net_coefficients(path, terms, rule=rule)
+
     # --- multiple imputation ---
 
     def wide_scales(self) -> DataFrame:
@@ -287,6 +306,8 @@ class Study:
             "anova": anova.anova_report(self.anova()),
             "score_means": self.means(),
             "residual_diagnostics": self.residuals(),
+            "residual_shapiro": self.shapiro(),
+            "count_models": self.count_models(),
             "effect_sizes": self.effect_sizes(),
             "outlier_sensitivity": self.outlier_sensitivity(),
             "responder_rates": self.responder_rates(),
@@ -297,6 +318,9 @@ class Study:
             "forest": linear.forest_table(predictors),
             "imputed_effects": self.imputed_effects(m, rounds),
         }
+        net = self.moderator_net()
+        if net is not None:
+            reports["moderator_net"] = net
         for name, table in reports.items():
             write_csv(table, f"{folder}/{name}")
         write_table(self.pairs, f"{folder}/pairs")

@@ -430,7 +430,72 @@ def nb_log_likelihood(t):
     return mixed_counts.nb_log_likelihood(counts(t), NB_THETA, NB_SIGMA, group="grp")
 
 
-@query("nb_mixed_model")
+NB_X = ["1", "g", "t", "g * t"]
+NB_STEPS = 45
+
+
+def nb_newton_sql():
+    """Recursive table of Newton steps: six parameters, log-likelihood and inverse information, from derivatives on the grid.
+
+    The six equations, with an identity matrix beside them, are eliminated one after another in nested selects.
+    """
+    one = {k: f"th * (y - mu) / (th + mu) * {x}" for k, x in enumerate(NB_X)}
+    one[4] = """th * (coalesce(list_sum(list_transform(range(0, CAST(y AS BIGINT)), lambda j: 1 / (th + j))), 0.0)
+      - ln(1 + mu / th) + (mu - y) / (th + mu))"""
+    bend = "-(y + th) * th * mu / ((th + mu) * (th + mu))"
+    two = {(i, j): f"{bend} * {NB_X[i]} * {NB_X[j]}" for i in range(4) for j in range(i, 4)}
+    two |= {(i, 4): f"th * (y - mu) * mu / ((th + mu) * (th + mu)) * {NB_X[i]}" for i in range(4)}
+    two[4, 4] = """th * th * (-coalesce(list_sum(list_transform(range(0, CAST(y AS BIGINT)), lambda j: 1 / ((th + j) * (th + j)))), 0.0)
+      + mu / (th * (th + mu)) - (mu - y) / ((th + mu) * (th + mu))) + """ + one[4]
+    pairs = [(i, j) for i in range(6) for j in range(i, 6)]
+    prior = {(5, 5): "-2 * b * b / (sg * sg)"}
+    visits = ", ".join([f"sum({v}) AS d{k}" for k, v in one.items()] + [f"sum({v}) AS h{i}{j}" for (i, j), v in two.items()])
+    mean = "sum(w * ({0})) / sum(w)"
+    people = ", ".join([f"{mean.format(f'd{k}')} AS e{k}" for k in range(6)] + [
+        mean.format(f"{f'h{i}{j}' if (i, j) in two else prior.get((i, j), '0.0')} + d{i} * d{j}")
+        + f" - {mean.format(f'd{i}')} * {mean.format(f'd{j}')} AS c{i}{j}" for i, j in pairs])
+    held = "CASE WHEN p[6] <= -8 THEN 1e12 ELSE 0.0 END"
+    rows = ", ".join("[" + ", ".join([f"-sum(c{min(i, j)}{max(i, j)})" + (f" + {held}" if i == j == 5 else "") for j in range(6)] + [f"sum(e{i})"]
+                                     + ["1.0" if i == j else "0.0" for j in range(6)]) + "]" for i in range(6))
+    solved = f"SELECT instrument, step, p, sum(l) AS ll, [{rows}] AS m FROM people GROUP BY instrument, step, p"
+    for k in range(1, 7):
+        solved = f"""SELECT instrument, step, p, ll, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN q
+          ELSE list_transform(r, lambda v, j: v - r[{k}] * q[j]) END) AS m
+        FROM (SELECT *, list_transform(m[{k}], lambda v: v / m[{k}][{k}]) AS q FROM ({solved}))"""
+    return f"""
+nb AS (
+  SELECT instrument, 0 AS step, CAST([c0, i0 - c0, c1 - c0, i1 - i0 - c1 + c0, ln({NB_THETA}), ln({NB_SIGMA})] AS DOUBLE[]) AS p,
+    CAST(NULL AS DOUBLE) AS ll, CAST(NULL AS DOUBLE[]) AS v
+  FROM (SELECT instrument, max(CASE WHEN g = 0 AND t = 0 THEN eta END) AS c0, max(CASE WHEN g = 1 AND t = 0 THEN eta END) AS i0,
+      max(CASE WHEN g = 0 AND t = 1 THEN eta END) AS c1, max(CASE WHEN g = 1 AND t = 1 THEN eta END) AS i1 FROM c GROUP BY instrument)
+  UNION ALL
+  SELECT instrument, step + 1, list_transform(p, lambda x, i: greatest(x + m[i][7] * least(1.0, 1.0 / list_max(list_transform(m, lambda r: abs(r[7])))),
+      CASE WHEN i > 4 THEN -8.0 ELSE -1e9 END)), ll, list_transform(range(1, 5), lambda i: m[i][7 + i])
+  FROM (WITH nodes AS (
+      SELECT nb.instrument, step, p, patient, g, t, y, z, exp(p[5]) AS th, exp(p[6]) AS sg, exp(p[6]) * z / 20.0 AS b,
+        exp(p[1] + p[2] * g + p[3] * t + p[4] * g * t + exp(p[6]) * z / 20.0) AS mu
+      FROM nb JOIN v USING (instrument), range(-160, 161) grid(z) WHERE step < {NB_STEPS}),
+    visits AS (SELECT instrument, step, p, patient, z, b, sg, sum(lgamma(y + th) - lgamma(th) - lgamma(y + 1) - th * ln(1 + mu / th)
+        + y * (ln(mu) - ln(th + mu))) - b * b / (2 * sg * sg) - ln(sg) - 0.5 * ln(2 * pi()) AS f, {visits}, b * b / (sg * sg) - 1 AS d5
+      FROM nodes GROUP BY instrument, step, p, patient, z, b, sg),
+    weighed AS (SELECT *, max(f) OVER (PARTITION BY instrument, patient) AS top, exp(f - max(f) OVER (PARTITION BY instrument, patient)) AS w FROM visits),
+    people AS (SELECT instrument, step, p, patient, any_value(top) + ln(sum(w) * any_value(sg) / 20.0) AS l, {people}
+      FROM weighed GROUP BY instrument, step, p, patient)
+    {solved}))"""
+
+
+@query("nb_mixed_model", f"""
+, v AS (SELECT instrument, patient, CAST(grp = 'Intervention' AS INT) AS g, CAST(time = 'post' AS INT) AS t, floor(score) AS y
+  FROM {{long}} WHERE grp IS NOT NULL AND score IS NOT NULL),
+c AS (SELECT instrument, g, t, ln((sum(y) + 0.5) / count(*)) AS eta FROM v GROUP BY instrument, g, t),{nb_newton_sql()},
+fit AS (SELECT nb.instrument, p, ll, v, n_obs, n_patients FROM nb JOIN (
+  SELECT instrument, count(*) AS n_obs, count(DISTINCT patient) AS n_patients FROM v GROUP BY instrument) USING (instrument) WHERE step = {NB_STEPS}),
+terms AS (SELECT *, p[i] AS estimate, sqrt(v[i]) AS std_error, p[i] / sqrt(v[i]) AS statistic FROM fit, range(1, 5) places(i))
+SELECT instrument, {[*mixed_counts.TERMS]!r}[i] AS term, estimate, std_error, statistic, CASE WHEN abs(statistic) > 6 THEN 0.0 ELSE
+    1 - 2 * exp(-statistic * statistic / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k:
+      exp((2 * k + 1) * ln(abs(statistic)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END AS p_value,
+  exp(p[5]) AS theta, CASE WHEN p[6] > -8 THEN exp(p[6]) ELSE 0.0 END AS sigma, ll AS log_lik, n_obs, n_patients, 'fitted' AS status FROM terms""",
+       doubles=["estimate", "std_error", "statistic", "p_value", "theta", "sigma", "log_lik"], digits=4)
 def nb_mixed_model(t):
     return mixed_counts.nb_mixed_model(counts(t), group="grp")
 

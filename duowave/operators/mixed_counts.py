@@ -30,6 +30,9 @@ MAX_PASSES = 80
 ENOUGH = 1e-9
 LIMITS = ((-8.0, 12.0), (-8.0, 4.0))
 LONGEST_STEP = 2.0
+# A deviation below this is tried at the lower end of its range, which stands for none, and stays there unless the likelihood
+# falls by more than the loss.
+NEAR_NONE, LOSS = 0.1, 1e-7
 # Rows of patients evaluated together.
 CHUNK = 4096
 _UPPER = np.triu_indices(SIZE)
@@ -150,11 +153,16 @@ class _Climb:
     def __init__(self, start: np.ndarray):
         self.at, self.proposal, self.step = start, start, np.zeros(SIZE)
         self.value, self.hess, self.free = -np.inf, None, np.ones(SIZE, dtype=bool)
-        self.passes, self.converged, self.done = 0, False, False
+        self.converged, self.done, self.probed, self.probing = False, False, False, False
 
     def take(self, value: float, grad: np.ndarray, hess: np.ndarray) -> None:
         """Go on from the evaluated proposal, or half as far where it is no better."""
-        self.passes += 1
+        if self.probing:
+            # Back to where the search ended, or on from the end of the range.
+            if value < self.value - max(LOSS, 1e-11 * abs(self.value)):
+                self.done = self.converged = True
+                return
+            self.probing, self.value = False, -np.inf
         if value < self.value - 1e-11 * abs(self.value) or not np.isfinite(value):
             self.step = self.step / 2
             if np.abs(self.step).max() < 1e-9:
@@ -172,6 +180,10 @@ class _Climb:
         step[self.free] = axes @ ((axes.T @ grad[self.free]) / bend)
         promise = 0.5 * float(step @ grad)
         if promise < ENOUGH and (roots > 0).all():
+            if self.at[-1] > LIMITS[1][0] and self.at[-1] < np.log(NEAR_NONE) and not self.probed:
+                self.probed = self.probing = True
+                self.proposal = np.append(self.at[:-1], LIMITS[1][0])
+                return
             self.done = self.converged = True
         self.step = step * min(1.0, LONGEST_STEP / max(np.abs(step).max(), 1e-300))
         self.proposal = self._held(self.at + self.step)
@@ -181,6 +193,10 @@ class _Climb:
         ends = np.array(LIMITS)
         return np.concatenate([params[:-2], np.clip(params[-2:], ends[:, 0], ends[:, 1])])
 
+    def spreads(self) -> list[float]:
+        """Dispersion, and deviation of the intercepts, which is 0 at the lower end of its range."""
+        return [float(np.exp(self.at[-2])), float(np.exp(self.at[-1])) if self.at[-1] > LIMITS[1][0] else 0.0]
+
     def errors(self) -> np.ndarray:
         """Standard errors of the parameters; NaN where the information does not give them."""
         out = np.full(SIZE, np.nan)
@@ -235,8 +251,8 @@ def nb_mixed_model(long: DataFrame, by: Sequence[str] = ("instrument",), patient
                    max_passes: int = MAX_PASSES) -> DataFrame:
     """Fixed effects on the log scale per key, with dispersion, deviation of the intercepts and log-likelihood.
 
-    Variance is mean + mean squared / ``theta``; ``sigma`` is the standard deviation of the patients' intercepts. Scores
-    need not be whole: factorials are gamma functions. Keys with negative scores, an empty cell or too few rows give
+    Variance is mean + mean squared / ``theta``; ``sigma`` is the standard deviation of the patients' intercepts, 0 where none
+    fits as well. A ``theta`` of exp(12), the end of its range, stands for Poisson counts. Scores need not be whole: factorials are gamma functions. Keys with negative scores, an empty cell or too few rows give
     ``status`` and null estimates, as do those that a limit of passes stopped (``status`` tells). Each key is one model,
     so keys are few; the rows are not: a pass reads the distinct patterns once for all keys.
     """
@@ -258,7 +274,7 @@ def nb_mixed_model(long: DataFrame, by: Sequence[str] = ("instrument",), patient
         at = climb.at.tolist() if fitted else nan
         error = [None if np.isnan(e) else float(e) for e in climb.errors()] if fitted else nan
         for i, term in enumerate(TERMS):
-            out.append((*[r[c] for c in by], term, at[i], error[i], *([float(np.exp(v)) for v in at[-2:]] if fitted else (None, None)),
+            out.append((*[r[c] for c in by], term, at[i], error[i], *(climb.spreads() if fitted else (None, None)),
                         climb.value if fitted else None, r["n_obs"], r["n_patients"], status))
     kinds = dict(rows.dtypes)
     keys = "".join(f"`{c}` {kinds[c]}, " for c in by)

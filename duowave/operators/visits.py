@@ -1,7 +1,8 @@
 """Visit times and the choice of visits per patient.
 
 First, last and latest times are hash aggregates, which combine before the shuffle; only the rows at these times
-are compared as a whole. Only numbering needs every row of a patient in order.
+are compared as a whole. Few such times go to every task; of many a filter does, so that hardly any other row is
+shuffled. Only numbering needs every row of a patient in order.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 
 from duowave.functions.dates import parse_any_datetime
 from duowave.functions.names import detect_id_column, present_columns, require_columns
-from duowave.plans.skew import HOT_KEY_ROWS, running_index
+from duowave.plans.bloom import MOST_BITS, bitmap_pages, filter_bits, maybe_among
+from duowave.plans.scratch import materialize
+from duowave.plans.skew import HOT_KEY_ROWS, broadcast_if_small, running_index
+
+# Rows per end of a key from which rows are filtered before the shuffle.
+FILTER_FROM = 3
 
 # Visit time columns, best first.
 TIME_COLUMNS = ("when_dt", "authored", "created_at", "created", "timestamp", "time", "date", "datum",
@@ -36,14 +42,34 @@ def _chosen(df: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
 def _at(df: DataFrame, keys: Sequence[str], time_col: str, *ends: Column) -> DataFrame:
     """Rows whose time is one of the key's ``ends`` (or unknown where an end is), with the key's row count ``_n``.
 
-    The ends are hash aggregates of key and time alone. Rows of the same time remain, so what follows
-    compares few rows of a key.
+    The ends are hash aggregates of key and time alone, written and measured. Rows of the same time remain, so what
+    follows compares few rows of a key.
     """
-    times = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count("*").alias("_n"), *[e.alias(f"_end{i}") for i, e in enumerate(ends)])
+    ends = [e.alias(f"_end{i}") for i, e in enumerate(ends)]
+    times = materialize(df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"), *ends), "ends")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    hit = [F.col(time_col).eqNullSafe(F.col(f"_end{i}")) for i in range(len(ends))]
-    return df.join(times, reduce(lambda x, y: x & y, same)).where(reduce(lambda x, y: x | y, hit)).select(*df.columns, "_n")
+    small = broadcast_if_small(times)
+    if small is not times:
+        hit = [F.col(time_col).eqNullSafe(F.col(f"_end{i}")) for i in range(len(ends))]
+        return df.join(small, reduce(lambda x, y: x & y, same)).where(reduce(lambda x, y: x | y, hit)).select(*df.columns, "_n")
+    return _at_many(df, keys, time_col, times, len(ends), same)
+
+
+def _at_many(df: DataFrame, keys: Sequence[str], time_col: str, times: DataFrame, n_ends: int, same: Sequence[Column],
+             most_bits: int = MOST_BITS) -> DataFrame:
+    """The same for more keys than can be sent around: a filter over keys and ends goes before the shuffle.
+
+    Key and time are both keys of the join, so a key with many rows is dealt out by time.
+    """
+    found = times.agg(F.count("*").alias("keys"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    kept = [f"_k{i}" for i in range(len(keys))]
+    at = times.select(*kept, "_n", F.explode(F.array_distinct(F.array(*[F.col(f"_end{i}") for i in range(n_ends)]))).alias("_end"))
+    if found["rows"] > FILTER_FROM * n_ends * found["keys"]:
+        bits = filter_bits(n_ends * found["keys"], most_bits)
+        pages = bitmap_pages(at, [*kept, "_end"], bits)
+        df = maybe_among(df, [F.col(c) for c in (*keys, time_col)], pages, bits)
+    same = [*same, F.col(time_col).eqNullSafe(F.col("_end"))]
+    return df.join(at, reduce(lambda x, y: x & y, same)).select(*df.columns, "_n")
 
 
 def visit_number(df: DataFrame, keys: Sequence[str], time_col: str, tie_col: str, out: str = "visit_n",

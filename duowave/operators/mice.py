@@ -1,23 +1,26 @@
 """Multiple imputation by chained equations with predictive mean matching.
 
-The state has one row per copy and patient. All copies advance together; each step is one aggregation
-(the regression), a tiny solve per copy, and one range-partitioned pass that matches every gap with the
-observed cells of nearest prediction. All choices derive from row hashes, so a lost executor or another
-partitioning cannot change the result.
+Observed cells are stored once. Of the copies only the gaps are stored, one table per variable, so a step writes as many
+values as its variable has gaps. All copies advance together: rows without any gap add the same moments to the
+regressions of all copies and are summed up once; the others are put together with the gaps of each copy. A step is one
+aggregation, a tiny solve per copy, and one pass that matches every gap with the observed cells of nearest prediction.
+All choices derive from row hashes, so a lost executor or another partitioning cannot change the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duowave.operators.linear import cross_products, symmetric
 from duowave.plans.scratch import Scratch
-from duowave.plans.skew import BUCKET_ROWS, join_small, range_buckets
+from duowave.plans.skew import BUCKET_ROWS
 
 # Number of copies, rounds, donors per gap, seed and ridge of the regressions.
 COPIES = 20
@@ -32,68 +35,121 @@ def _uniform(seed: int, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 52)) / float(1 << 52)
 
 
-def _draw_coefficients(moments: DataFrame, k: int, seed: int, label: str) -> DataFrame:
-    """Per copy the fitted coefficients and one draw from their distribution, intercept first."""
-    def solve(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            # All copies of the batch as stacked matrices; each copy draws from a stream of its own.
-            s, means = symmetric(np.stack(batch["s"].to_numpy()), k + 1), np.stack(batch["means"].to_numpy())
-            n = batch["n"].to_numpy()
-            inner, cross = s[:, :k, :k], s[:, :k, k]
-            inverse = np.linalg.pinv(inner + RIDGE * np.eye(k) * inner, hermitian=True)
-            beta = np.einsum("bij,bj->bi", inverse, cross)
-            rest = np.maximum(s[:, k, k] - 2 * np.einsum("bi,bi->b", beta, cross)
-                              + np.einsum("bi,bij,bj->b", beta, inner, beta), 0.0)
-            dof = np.maximum(n - k - 1, 1)
-            streams = [np.random.default_rng([seed, int(i), *label.encode()]) for i in batch["imp"]]
-            draws = [(r.chisquare(d), r.standard_normal(k), r.standard_normal()) for r, d in zip(streams, dof)]
-            sigma = np.sqrt(rest / np.array([d[0] for d in draws]))
-            values, vectors = np.linalg.eigh(inverse)
-            root = vectors * np.sqrt(np.clip(values, 0, None))[:, None, :]
-            drawn = beta + sigma[:, None] * np.einsum("bij,bj->bi", root, np.array([d[1] for d in draws]))
-            centre = means[:, k] + sigma * np.array([d[2] for d in draws]) / np.sqrt(n)
-            yield pd.DataFrame({
-                "imp": batch["imp"],
-                "fitted": np.column_stack([means[:, k] - np.einsum("bi,bi->b", beta, means[:, :k]), beta]).tolist(),
-                "drawn": np.column_stack([centre - np.einsum("bi,bi->b", drawn, means[:, :k]), drawn]).tolist(),
-            })
-
-    return moments.mapInPandas(solve, "imp int, fitted array<double>, drawn array<double>")
-
-
-def _prediction(coefficients: str, predictors: Sequence[str]) -> Column:
-    total = F.col(f"{coefficients}")[0]
+def _draws(moments: tuple[np.ndarray, np.ndarray, np.ndarray], imps: Sequence[int], seed: int, label: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per copy the fitted coefficients and one draw from their distribution, intercept first.
+
+    ``moments`` are counts, means and cross-products per copy, the outcome last. Each copy draws from a stream of its own.
+    """
+    n, means, s = moments
+    k = means.shape[1] - 1
+    inner, cross = s[:, :k, :k], s[:, :k, k]
+    inverse = np.linalg.pinv(inner + RIDGE * np.eye(k) * inner, hermitian=True)
+    beta = np.einsum("bij,bj->bi", inverse, cross)
+    rest = np.maximum(s[:, k, k] - 2 * np.einsum("bi,bi->b", beta, cross) + np.einsum("bi,bij,bj->b", beta, inner, beta), 0.0)
+    dof = np.maximum(n - k - 1, 1)
+    streams = [np.random.default_rng([seed, int(i), *label.encode()]) for i in imps]
+    draws = [(r.chisquare(d), r.standard_normal(k), r.standard_normal()) for r, d in zip(streams, dof)]
+    sigma = np.sqrt(rest / np.array([d[0] for d in draws]))
+    values, vectors = np.linalg.eigh(inverse)
+    root = vectors * np.sqrt(np.clip(values, 0, None))[:, None, :]
+    drawn = beta + sigma[:, None] * np.einsum("bij,bj->bi", root, np.array([d[1] for d in draws]))
+    centre = means[:, k] + sigma * np.array([d[2] for d in draws]) / np.sqrt(n)
+    return (np.column_stack([means[:, k] - np.einsum("bi,bi->b", beta, means[:, :k]), beta]),
+            np.column_stack([centre - np.einsum("bi,bi->b", drawn, means[:, :k]), drawn]))
+
+
+def _prediction(coefficients: np.ndarray, predictors: Sequence[str]) -> Column:
+    """Linear prediction with the coefficients of the row's copy."""
+    def of_copy(i: int) -> Column:
+        return F.expr(f"element_at(array({', '.join(f'{float(c)!r}D' for c in coefficients[:, i])}), imp)")
+
+    total = of_copy(0)
     for i, x in enumerate(predictors, 1):
-        total = total + F.col(coefficients)[i] * F.col(x)
+        total = total + of_copy(i) * F.col(x)
     return total
 
 
-def _edge_donors(cut: DataFrame, order: Sequence[str], donors: int) -> DataFrame:
+def _merged(shared, own: Mapping[int, tuple], imps: Sequence[int], columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moments per copy of the shared rows (over all variables, or ``None``) and the copy's own rows together."""
+    k = len(columns)
+    counts, means, products = [], [], []
+    for imp in imps:
+        parts = [(shared[0], shared[1][columns], shared[2][np.ix_(columns, columns)])] if shared else []
+        parts += [own[imp]] if imp in own else []
+        n = sum(p[0] for p in parts)
+        mean = sum((p[0] * p[1] for p in parts), np.zeros(k)) / max(n, 1)
+        counts.append(n)
+        means.append(mean)
+        products.append(sum((p[2] + p[0] * np.outer(p[1] - mean, p[1] - mean) for p in parts), np.zeros((k, k))))
+    return np.array(counts), np.stack(means), np.stack(products)
+
+
+def _collected(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> dict[int, tuple]:
+    """Count, means and cross-products per copy (or under 0): one row per copy reaches the driver."""
+    return {r["imp"] if by else 0: (r["n"], np.array(r["means"], dtype=float), symmetric(r["s"], len(columns)))
+            for r in cross_products(df, columns, by).collect() if r["n"]}
+
+
+class _Cuts:
+    """Buckets of positions per copy: ranges between cut points. A cut point that comes more than once is a position of many
+    rows, which get as many buckets of their own, by tie."""
+
+    def __init__(self, points: Mapping[int, Sequence[float]]):
+        self.copies = {}
+        for imp, p in points.items():
+            values, times = np.unique(np.asarray(p, dtype=float), return_counts=True)
+            split = np.where(times > 1, times, 0)
+            self.copies[imp] = values, split, np.arange(len(values) + 1) + np.concatenate([[0], np.cumsum(split)])
+
+    def buckets(self, imp: int, at: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        values, split, first = self.copies[imp]
+        i = np.searchsorted(values, at, side="left")
+        inside = np.minimum(i, len(values) - 1)
+        parts = np.where((i < len(values)) & (values[inside] == at), split[inside], 0)
+        own = np.minimum(np.floor((tie.astype(float) + 2.0**63) / 2.0**64 * parts), np.maximum(parts - 1, 0)).astype(int)
+        return first[i] + np.where(parts > 0, 1 + own, 0)
+
+
+def _bucketed(rows: DataFrame, per_copy: int) -> DataFrame:
+    """Add ``bucket``, about ``per_copy`` ranges of ``at`` and ``tie`` per copy. The cut points are all that is kept of them."""
+    shares = [i / per_copy for i in range(1, per_copy)]
+    found = rows.groupBy("imp").agg(F.percentile_approx("at", shares, max(10_000, 20 * per_copy)).alias("p")).collect()
+    cuts = _Cuts({r["imp"]: r["p"] for r in found})
+
+    def label(batches):
+        for batch in batches:
+            imps, at, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("imp", "at", "tie"))
+            bucket = np.zeros(batch.num_rows, dtype=np.int32)
+            for imp in np.unique(imps):
+                here = imps == imp
+                bucket[here] = cuts.buckets(int(imp), at[here], tie[here])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], [*batch.schema.names, "bucket"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(label, f"{fields}, bucket int")
+
+
+def _edge_donors(cut: DataFrame, order: Sequence[str], donors: int, scratch: Scratch) -> DataFrame:
     """The donors just outside each bucket, as extra rows labelled with that bucket.
 
     Per copy and bucket only the outermost donors and a count are kept; from the counts each donor
     gets its rank among all donors of its copy, and each bucket asks for the ranks around its range.
     """
-    asc = Window.partitionBy("imp", "bucket").orderBy(*order)
-    desc = Window.partitionBy("imp", "bucket").orderBy(*[F.desc(c) for c in order])
-    given = cut.where("is_donor")
-    low = given.withColumn("place", F.row_number().over(asc)).where(F.col("place") <= donors)
-    high = given.withColumn("place", F.row_number().over(desc)).where(F.col("place") <= donors)
+    def outermost(pdf: pd.DataFrame) -> pd.DataFrame:
+        given = pdf[pdf["is_donor"]].sort_values(list(order), kind="stable")
+        n = len(given)
+        # A bucket without donors keeps one row, so that it asks for those of its neighbours.
+        out = pdf.head(1) if not n else given if n <= 2 * donors else pd.concat([given.head(donors), given.tail(donors)])
+        place = [0] if not n else list(range(1, n + 1)) if n <= 2 * donors else [*range(1, donors + 1), *range(n - donors + 1, n + 1)]
+        return out.assign(place=place, n=n)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    kept = scratch.write(cut.groupBy("imp", "bucket").applyInPandas(outermost, f"{fields}, place long, n long"), "edges")
     earlier = Window.partitionBy("imp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per copy and bucket, as the two tables of outermost donors are a few per copy and bucket.
-    sizes = (
-        cut.groupBy("imp", "bucket").agg(F.count_if("is_donor").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    )
-    ranks = [
-        low.join(sizes, ["imp", "bucket"]).withColumn("rank", F.col("before") + F.col("place")),
-        high.join(sizes, ["imp", "bucket"]).withColumn("rank", F.col("before") + F.col("n") - F.col("place") + 1),
-    ]
-    ranked = (
-        ranks[0].unionByName(ranks[1]).drop("n", "before", "place", "bucket").dropDuplicates(["imp", "rank"])
-    )
+    # One row per copy and bucket.
+    sizes = kept.select("imp", "bucket", "n").distinct().withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranked = kept.where("place > 0").drop("n").join(sizes.drop("n"), ["imp", "bucket"]).withColumn(
+        "rank", F.col("before") + F.col("place")).drop("before", "place", "bucket")
     wanted = sizes.select("imp", "bucket", F.explode(F.concat(
         F.sequence(F.col("before") - donors + 1, F.col("before")),
         F.sequence(F.col("before") + F.col("n") + 1, F.col("before") + F.col("n") + donors),
@@ -101,8 +157,8 @@ def _edge_donors(cut: DataFrame, order: Sequence[str], donors: int) -> DataFrame
     return wanted.join(ranked, ["imp", "rank"]).drop("rank")
 
 
-def _match(cut: DataFrame, name: str, donors: int) -> DataFrame:
-    """Give every gap in ``name`` the value of one of its nearest donors.
+def _match(cut: DataFrame, name: str, donors: int, gaps_only: bool) -> DataFrame:
+    """Give every gap in ``name`` the value of one of its nearest donors; donors are returned too unless ``gaps_only``.
 
     Of the ``donors`` donors before and after a gap, in the order of position and tie, the nearest by position count.
     """
@@ -127,22 +183,21 @@ def _match(cut: DataFrame, name: str, donors: int) -> DataFrame:
             filled = pdf[name].to_numpy(copy=True)
             filled[gaps] = value[slots[rows, nearest[rows, choice]]]
             pdf[name] = filled
-        return pdf[~pdf["is_edge"]][columns]
+        return pdf[gaps if gaps_only else ~pdf["is_edge"].to_numpy()][columns]
 
     return cut.groupBy("imp", "bucket").applyInPandas(fill, cut.schema)
 
 
 def _impute_step(rows: DataFrame, name: str, n_rows: int, copies: int, scratch: Scratch, donors: int,
-                 bucket_rows: int) -> DataFrame:
+                 bucket_rows: int, gaps_only: bool = False) -> DataFrame:
     """Match gaps in one variable; ``rows`` carries at (match position), tie, pick and is_donor."""
     rows = rows.withColumn("is_edge", F.lit(False))
     if n_rows <= bucket_rows:
         # A whole copy fits into one bucket.
-        return _match(rows.withColumn("bucket", F.lit(0)), name, donors)
-    order = ["at", "tie"]
-    cut = range_buckets(rows, ["imp", *order], n_rows * copies, scratch, "cut", bucket_rows)
-    edges = _edge_donors(cut, order, donors).withColumn("is_edge", F.lit(True))
-    return _match(cut.unionByName(edges.select(*cut.columns)), name, donors)
+        return _match(rows.withColumn("bucket", F.lit(0)), name, donors, gaps_only)
+    cut = _bucketed(rows, -(-n_rows // bucket_rows))
+    edges = _edge_donors(cut, ["at", "tie"], donors, scratch).withColumn("is_edge", F.lit(True))
+    return _match(cut.unionByName(edges.select(*cut.columns)), name, donors, gaps_only)
 
 
 def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES, rounds: int = ROUNDS,
@@ -156,7 +211,7 @@ def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES,
     variables = list(variables)
     scratch = Scratch(df.sparkSession, "mice")
     base = scratch.write(
-        df.select(key, *[F.col(v).cast("double").alias(v) for v in variables]), "input"
+        df.select(F.monotonically_increasing_id().alias("_row"), key, *[F.col(v).cast("double").alias(v) for v in variables]), "input"
     )
     sizes = base.agg(F.count("*").alias("_rows"), *[F.count(v).alias(v) for v in variables]).first()
     n_rows = sizes["_rows"]
@@ -164,36 +219,54 @@ def mice_pmm(df: DataFrame, key: str, variables: Sequence[str], m: int = COPIES,
     empty = [v for v in incomplete if sizes[v] == 0]
     if empty:
         raise ValueError(f"nothing observed in {empty}")
-    state = base.select(
-        F.explode(F.sequence(F.lit(1), F.lit(m))).alias("imp"), key, *variables,
-        *[F.col(v).isNotNull().alias(f"seen_{v}") for v in incomplete],
-    )
-    keep = state.columns
+    imps = list(range(1, m + 1))
+    copied = F.explode(F.sequence(F.lit(1), F.lit(m))).alias("imp")
+    if not incomplete:
+        return base.select(copied, key, *variables)
+    whole = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in incomplete])
+    complete, partial = base.where(whole), scratch.write(base.where(~whole), "partial")
+    # What the complete rows add to any regression of any copy.
+    shared = _collected(complete, variables, []).get(0)
+    store: dict[str, DataFrame] = {}
     turn = 0
 
-    def advance(next_state: DataFrame) -> DataFrame:
-        # Two alternating tables: the one being read is never the one being replaced.
+    def keep(gaps: DataFrame, v: str) -> None:
+        # Two alternating tables per variable: the one being read is never the one being replaced.
         nonlocal turn
         turn += 1
-        return scratch.write(next_state.select(*keep), f"state_{turn % 2}")
+        place = variables.index(v)
+        store[v] = scratch.write(gaps.select("imp", "_row", F.lit(place).alias("variable"), F.col(v).alias("value")), f"gaps_{place}_{turn % 2}")
+
+    def assembled() -> DataFrame:
+        """Partial rows of every copy with all gaps filled; ``seen_`` marks observed cells."""
+        gaps = reduce(DataFrame.unionByName, store.values())
+        filled = gaps.groupBy("imp", "_row").agg(*[
+            F.max(F.when(F.col("variable") == variables.index(v), F.col("value"))).alias(f"gap_{v}") for v in incomplete])
+        cells = [F.coalesce(v, f"gap_{v}").alias(v) if v in store else F.col(v) for v in variables]
+        return partial.join(filled, "_row").select("imp", "_row", key, *cells, *[F.col(v).isNotNull().alias(f"seen_{v}") for v in incomplete])
 
-    def matched(rows: DataFrame, v: str, at: Column, step: str) -> DataFrame:
-        return _impute_step(rows.withColumns({
-            "is_donor": F.col(f"seen_{v}"), "at": at,
+    def match(rows: DataFrame, v: str, step: str) -> None:
+        """``rows`` has ``imp``, ``_row``, the key, the variable, ``is_donor`` and ``at``."""
+        placed = rows.withColumns({
             "tie": F.xxhash64(F.lit(seed), F.lit(step), F.lit(v), F.col("imp"), F.col(key)),
             "pick": _uniform(seed, F.lit(step), F.lit(v), F.col("imp"), F.col(key)),
-        }), v, n_rows, m, scratch, donors, bucket_rows)
+        }).drop(key)
+        keep(_impute_step(placed, v, n_rows, m, scratch, donors, bucket_rows, gaps_only=True), v)
 
     # Start: a random observed value, found by matching on a random position.
     for v in incomplete:
-        state = advance(matched(state, v, _uniform(seed, F.lit("start"), F.lit(v), F.col("imp"), F.col(key)), "start"))
+        start = _uniform(seed, F.lit("start"), F.lit(v), F.col("imp"), F.col(key))
+        match(base.select(copied, "_row", key, v, F.col(v).isNotNull().alias("is_donor")).withColumn("at", start), v, "start")
     for round_ in range(rounds):
         for v in incomplete:
             predictors = [x for x in variables if x != v]
-            moments = cross_products(state.where(f"seen_{v}"), [*predictors, v], ["imp"])
-            coefficients = _draw_coefficients(moments, len(predictors), seed, f"{round_}:{v}")
-            scored = join_small(state, coefficients, ["imp"], "inner")
-            at = F.when(F.col(f"seen_{v}"), _prediction("fitted", predictors)).otherwise(_prediction("drawn", predictors))
-            step = scored.withColumn("at", at).drop("fitted", "drawn")
-            state = advance(matched(step, v, F.col("at"), str(round_)))
-    return state.select("imp", key, *variables)
+            rows = assembled()
+            own = _collected(rows.where(f"`seen_{v}`"), [*predictors, v], ["imp"])
+            moments = _merged(shared, own, imps, [variables.index(x) for x in [*predictors, v]])
+            fitted, drawn = (_prediction(c, predictors) for c in _draws(moments, imps, seed, f"{round_}:{v}"))
+            given = complete.select(copied, "_row", key, *variables).select(
+                "imp", "_row", key, v, F.lit(True).alias("is_donor"), fitted.alias("at"))
+            seen = F.col(f"seen_{v}")
+            match(given.unionByName(rows.select("imp", "_row", key, v, seen.alias("is_donor"), F.when(seen, fitted).otherwise(drawn).alias("at"))),
+                  v, str(round_))
+    return complete.select(copied, key, *variables).unionByName(assembled().select("imp", key, *variables))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from duowave.operators.mice import _impute_step, mice_pmm
+from duowave.operators.mice import _Cuts, _impute_step, mice_pmm
 from duowave.plans.scratch import Scratch
 
 
@@ -87,3 +87,38 @@ def test_matching_step_does_not_depend_on_cuts(spark, tmp_path, positions):
     # Equal positions reach many donors.
     if positions == 1:
         assert len({filled[i] for i in np.flatnonzero(missing)}) > missing.sum() / 4
+
+
+def test_only_gaps_are_written(spark, people, monkeypatch):
+    written = {}
+    plain = Scratch.write
+
+    def counting(self, df, name):
+        out = plain(self, df, name)
+        written.setdefault(name.split("_")[0], []).append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counting)
+    mice_pmm(people, "patient", ["x", "y", "z"], m=3, rounds=2, bucket_rows=60)
+    gaps = people.selectExpr("count_if(y is null) as y", "count_if(z is null) as z").first()
+    assert written["input"] == [400] and written["partial"][0] < 400
+    assert sorted(set(written["gaps"])) == sorted({3 * gaps["y"], 3 * gaps["z"]}) and len(written["gaps"]) == 6
+    # The borders of buckets keep a few donors each.
+    assert max(written["edges"]) <= 3 * 10 * 8
+
+
+def test_cuts_split_positions_of_many_rows():
+    cuts = _Cuts({1: [1.0, 2.0, 2.0, 2.0, 5.0]})
+    at = np.array([0.5, 1.0, 1.5, 2.0, 2.0, 2.0, 3.0, 5.0, 9.0])
+    tie = np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0, 0])
+    assert cuts.buckets(1, at, tie).tolist() == [0, 0, 1, 2, 3, 4, 5, 5, 6]
+    rng = np.random.default_rng(1)
+    at, tie = rng.choice([1.0, 2.0, 2.0, 2.0, 3.0, 5.0], 2000), rng.integers(-(2**63), 2**63 - 1, 2000)
+    order = np.lexsort([tie, at])
+    assert (np.diff(cuts.buckets(1, at, tie)[order]) >= 0).all()
+
+
+def test_repeated_keys_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (1, 2.0, None), (2, 3.0, 9.0), (3, 1.0, 4.0), (None, 2.0, None)], "patient long, x double, y double")
+    got = mice_pmm(df, "patient", ["x", "y"], m=2, rounds=1)
+    assert got.count() == 10 and got.where("y is null").count() == 0

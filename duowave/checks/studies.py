@@ -120,8 +120,7 @@ SELECT instrument, patient, time, score FROM {long}""")
 def stack_instruments(t):
     ends = visits.add_pre_post(t["fx_visits"], KEYS, "when_dt", "tie")
     # Whatever instruments the table has.
-    found = sorted(r["instrument"] for r in ends.select("instrument").distinct().collect())
-    frames = {i: ends.where(F.col("instrument") == i).select("patient", "time", "score") for i in found}
+    frames = reshape.frames_by(ends.select("instrument", "patient", "time", "score"), "instrument")
     return reshape.stack_instruments({**frames, "fatigue": None})
 
 
@@ -159,15 +158,11 @@ FROM (SELECT * FROM w WHERE instrument = 'click') click
 LEFT JOIN arms a ON a.patient_id = patient
 WHERE coalesce(click.grp, a.grp) IS NOT NULL""")
 def full_outer_merge(t):
-    both = pairs(t)
+    def wide(i, rows):
+        return rows.select("patient", F.col("pre").alias(f"{i}_pre"), F.col("post").alias(f"{i}_post"), *(["grp"] if i == "click" else []))
 
-    def wide(i):
-        return both.where(F.col("instrument") == i).select(
-            "patient", F.col("pre").alias(f"{i}_pre"), F.col("post").alias(f"{i}_post"),
-            *(["grp"] if i == "click" else []))
-
-    found = sorted(r["instrument"] for r in both.select("instrument").distinct().collect())
-    return joins.full_outer_merge([wide(i) for i in found], "patient", arms(t), group="grp")
+    frames = reshape.frames_by(pairs(t).select("instrument", "patient", "pre", "post", "grp"), "instrument")
+    return joins.full_outer_merge([wide(i, rows) for i, rows in frames.items()], "patient", arms(t), group="grp")
 
 
 @query("semi_in", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duowave.functions.categories import TIMES
+from duowave.plans.scratch import Scratch
 
 
 def pivot_pre_post(long: DataFrame, keys: Sequence[str], value: str = "score", prefix: str = "") -> DataFrame:
@@ -35,6 +36,17 @@ def all_scales_wide(long: DataFrame, key: str, scales: Mapping[str, str], by: st
     return wide.withColumnsRenamed(renames)
 
 
+def frames_by(df: DataFrame, column: str) -> dict[str, DataFrame]:
+    """One frame per known value of a text column, sorted by it.
+
+    ``df`` is computed once and written by value, so every frame reads its own files only. Values are few; null has no
+    frame, and frames lack the column.
+    """
+    written = Scratch(df.sparkSession, "frames").write(df.where(F.col(column).isNotNull()), "by_value", [column])
+    values = sorted(r[0] for r in written.select(column).distinct().collect())
+    return {v: written.where(F.col(column) == v).drop(column) for v in values}
+
+
 def stack_instruments(frames: Mapping[str, DataFrame | None]) -> DataFrame:
     """One long table of all instruments; absent ones are left out."""
     return bind_results([

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,10 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         """Write ``df`` under ``name`` (replacing an earlier table of that name) and read it back."""
         target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def remove(self) -> bool:

@@ -1,12 +1,14 @@
 """The whole study: exports in, result tables out.
 
-Every report starts from two written tables, the long outcomes and the pre/post pairs, so the
-questionnaires are read and scored once.
+Scored visits, the long outcomes and the pre/post pairs are written when a report first asks for them, so a questionnaire
+is scored once for all reports that use its scores, and not at all for those that do not. The baseline table scores
+its forms by a rule of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +68,8 @@ def scored_visits(form: DataFrame, instrument: Instrument, seq_col: str = "inges
     return timed.select("patient", "when_dt", F.col(seq_col).alias("tie"), "score_raw", "score_imp", "score")
 
 
-def long_outcomes(forms: Mapping[str, DataFrame], groups: DataFrame, seq_col: str = "ingest_seq",
-                  instruments: Sequence[Instrument] = INSTRUMENTS) -> DataFrame:
-    """First and last visit per patient and instrument with score and arm; arms join the reduced rows."""
-    scored = {i.name: scored_visits(forms[i.name], i, seq_col) for i in instruments if i.name in forms}
+def long_outcomes(scored: Mapping[str, DataFrame | None], groups: DataFrame) -> DataFrame:
+    """First and last visit per patient and instrument with score and arm, from scored visits; arms join the reduced rows."""
     rows = reshape.stack_instruments(scored).select("patient", "instrument", "when_dt", "tie", "score")
     ends = visits.add_pre_post(rows, ["patient", "instrument"], "when_dt", "tie")
     return joins.join_group(ends, groups).select("patient", "instrument", "time", "score", "when_dt", "group")
@@ -86,10 +86,33 @@ class Study:
         self.forms, self.crf, self.seq_col, self.instruments = dict(forms), crf, seq_col, instruments
         self.dedup = dedup
         self.groups = study_groups(patients)
-        self.long = self.scratch.write(long_outcomes(forms, self.groups, seq_col, instruments), "long")
-        self.pairs = self.scratch.write(
-            reshape.change_score(reshape.pivot_pre_post(self.long, ["patient", "instrument", "group"])), "pairs"
-        )
+        self._scored: dict[str, DataFrame | None] = {}
+
+    def scored(self, instrument: Instrument) -> DataFrame | None:
+        """Dated scores of one questionnaire, computed once; ``None`` when its form lacks the items."""
+        if instrument.name not in self._scored:
+            made = scored_visits(self.forms[instrument.name], instrument, self.seq_col)
+            self._scored[instrument.name] = made if made is None else self.scratch.write(made, f"scored_{len(self._scored)}")
+        return self._scored[instrument.name]
+
+    @cached_property
+    def long(self) -> DataFrame:
+        """First and last visit per patient and instrument."""
+        scored = {i.name: self.scored(i) for i in self.instruments if i.name in self.forms}
+        return self.scratch.write(long_outcomes(scored, self.groups), "long")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pre, post and change per patient and instrument."""
+        wide = reshape.pivot_pre_post(self.long, ["patient", "instrument", "group"])
+        return self.scratch.write(reshape.change_score(wide), "pairs")
+
+    def remove(self) -> None:
+        """Delete the study's written tables; its reports cannot be computed from them afterwards."""
+        self.scratch.remove()
+        self._scored.clear()
+        for name in ("long", "pairs"):
+            self.__dict__.pop(name, None)
 
     # --- baseline characteristics ---
 
@@ -157,8 +180,7 @@ class Study:
 
     def missing_scores(self, instrument: Instrument = BURDEN) -> DataFrame:
         """Missing raw, imputed and preferred scores of one questionnaire."""
-        return summary.missing_summary(scored_visits(self.forms[instrument.name], instrument, self.seq_col),
-                                       "score_raw", "score_imp", "score")
+        return summary.missing_summary(self.scored(instrument), "score_raw", "score_imp", "score")
 
     def anova(self) -> DataFrame:
         """Group x time tests per instrument."""
@@ -189,7 +211,7 @@ class Study:
 
     def regression_imputed_pairs(self, instrument: Instrument = BURDEN) -> DataFrame:
         """Pairs of one instrument after filling missing raw totals with their arm's mean."""
-        rows = joins.join_group(scored_visits(self.forms[instrument.name], instrument, self.seq_col), self.groups)
+        rows = joins.join_group(self.scored(instrument), self.groups)
         filled = imputation.regression_impute(rows, "score_raw", out="total").withColumn("instrument", F.lit(instrument.name))
         pairs = visits.pre_post_pairs(filled.select("patient", "instrument", "when_dt", "tie", "total"),
                                       ["patient", "instrument"], "when_dt", "tie", "total")

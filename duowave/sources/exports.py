@@ -14,10 +14,13 @@ from pyspark.sql import types as T
 from duowave.functions.dates import ISO_TIME, parse_datetime_text
 from duowave.functions.names import clean_header, require_columns
 from duowave.functions.text import WHOLE_NUMBER, blank_to_null, to_numeric
+from duowave.sources.records import largest_file, read_quoted
 
 # Spellings of truth values in exports.
 TRUE_TOKENS = ("t", "true")
 FALSE_TOKENS = ("f", "false")
+# Size in bytes from which files with quoted line breaks are split.
+SPLIT_ABOVE = 128_000_000
 
 
 def scan_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,16 +93,18 @@ def infer_types(texts: DataFrame, columns: Sequence[str]) -> dict[str, T.DataTyp
 
 
 def read_export(spark: SparkSession, path: str | Sequence[str], types: dict[str, T.DataType] | None = None,
-                multi_line: bool = True, ingest_seq: bool = True, infer: bool = True) -> DataFrame:
+                multi_line: bool = True, ingest_seq: bool = True, infer: bool = True, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Read CSV exports with cleaned names, trimmed texts and column types.
 
     All missing-value tokens become NULL; a text that does not fit its type becomes NULL too. ``types`` names the type
     of columns; the others get the type that all their values fit (:func:`infer_types`) unless ``infer`` is off.
     Every file is read by its own header; files are put together by column name, with NULL where a file lacks a column.
     ``ingest_seq`` adds a sortable position (file, block, row) that follows the order within each file.
-    Quoted line breaks need ``multi_line``, which reads one file per task: deliver large exports as
-    several files, or pass ``False`` when no cell holds a line break so that files are split.
+    Quoted line breaks need ``multi_line``, which reads a file in one task unless one is larger than ``split_above``
+    bytes; then files are split, and cut into records by the quotes before them. Pass
+    ``False`` when no cell holds a line break.
     """
+    split = multi_line and largest_file(spark, path) > split_above
     form = {"encoding": "UTF-8", "multiLine": multi_line, "escape": '"'}
     headers = _headers(spark, path, form)
     position = F.struct(
@@ -109,6 +114,9 @@ def read_export(spark: SparkSession, path: str | Sequence[str], types: dict[str,
     )
 
     def read(columns: Sequence[str], files: str | Sequence[str]) -> DataFrame:
+        if split:
+            found = read_quoted(spark, files, columns, {"escape": '"', "multiLine": "true"})
+            return found.select(*columns, *([F.struct("file", "block", "row").alias("ingest_seq")] if ingest_seq else []))
         texts = spark.read.options(header=True, **form).schema(
             T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(files)
         return texts.select("*", position.alias("ingest_seq")) if ingest_seq else texts

@@ -329,3 +329,11 @@ def test_baseline_lines_for_absent_levels(spark):
     assert (got["c", "a", "Control"].n, got["c", "a", "Control"].pct, got["c", "a", "Control"].n_missing) == (1, 100.0, 1)
     assert (got["c", "b", "Control"].n, got["c", "b", "Control"].pct) == (0, 0.0)
     assert (got["x", None, "Control"].n, got["x", None, "Control"].n_missing, got["x", None, "Control"].n_overall) == (1, 1, 2)
+
+
+def test_frames_by_value_read_one_written_table(spark):
+    df = spark.createDataFrame([("a/b", 1), ("c", 2), (None, 3), ("c", 4)], "kind string, x int")
+    frames = reshape.frames_by(df, "kind")
+    assert {k: sorted(r["x"] for r in v.collect()) for k, v in frames.items()} == {"a/b": [1], "c": [2, 4]}
+    assert "PartitionFilters: [isnotnull(kind" in frames["c"]._jdf.queryExecution().executedPlan().toString()
+    assert reshape.frames_by(df.limit(0), "kind") == {}

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import types as T
 
 from duowave.checks.rows import _two_headers
 from duowave.operators.visits import when_fallback
-from duowave.sources import exports
+from duowave.sources import exports, records
 
 TEXT = '''Patient ID,Größe (cm),Aktiv,Bemerkung,Größe (cm)
  a ,170,TRUE,"erste
@@ -81,3 +83,51 @@ def test_results_are_checked_when_read_back(spark, tmp_path):
     assert tuple(exports.read_result_checked(spark, path, schema).first()) == ("age", 0.5, None)
     with pytest.raises(ValueError):
         exports.read_result_checked(spark, path, schema, ["conf_low"])
+
+
+@pytest.fixture
+def quoted(tmp_path):
+    """Two files with line ends, quotes and commas within cells; one cell is longer than several splits."""
+    rng = random.Random(5)
+    bits = ["x", " ", ",", '""', "\n", "ä", "\n\n", "1"]
+
+    def cell():
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        return f'"{text}"' if rng.random() < 0.7 else "plain"
+
+    for name, n in (("one.csv", 300), ("two.csv", 3)):
+        rows = [f"{i},{cell()},{cell()}" for i in range(n)]
+        if n > 100:
+            rows[150] = '150,"' + "long\nline " * 500 + '",end'
+            rows.insert(20, "")
+        (tmp_path / name).write_text('id,"te\nxt",b\n' + "\n".join(rows) + "\n", encoding="utf-8")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("split_bytes", [64, 700, 5000])
+def test_quoted_files_are_split(spark, quoted, split_bytes):
+    whole = exports.read_export(spark, quoted, infer=False, split_above=10**9)
+    want = sorted(map(tuple, whole.drop("ingest_seq").collect()), key=repr)
+    assert len(want) == 303
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = exports.read_export(spark, quoted, infer=False, split_above=0)
+        assert sorted(map(tuple, df.drop("ingest_seq").collect()), key=repr) == want
+        first = df.where("ingest_seq.file like '%one.csv'").orderBy("ingest_seq")
+        assert [int(r["id"]) for r in first.collect()] == list(range(300))
+        assert df.select("ingest_seq.block").distinct().count() > (10 if split_bytes < 5000 else 1)
+        monkey = pytest.MonkeyPatch()
+        monkey.setattr(records, "broadcast_if_small", lambda table: table)
+        assert sorted(map(tuple, exports.read_export(spark, quoted, infer=False, split_above=0).drop("ingest_seq").collect()), key=repr) == want
+        monkey.undo()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_are_cut_by_quotes():
+    lines = [("f", 0, 0, 'a,"b'), ("f", 0, 0, 'c",d'), ("f", 0, 0, 'e,"'), ("f", 9, 1, "in"), ("f", 12, 1, 'x",y'), ("f", 12, 1, "z"), ("g", 0, 0, '"q')]
+    assert list(records._cut(iter(lines))) == [
+        ("f", 0, 0, records.WHOLE, 'a,"b\nc",d'), ("f", 0, 2, records.START, 'e,"'), ("f", 9, 0, records.END, "in"),
+        ("f", 12, 0, records.END, 'x",y'), ("f", 12, 1, records.WHOLE, "z"), ("g", 0, 0, records.START, '"q')]

@@ -47,6 +47,9 @@ def test_reports_are_written_and_read_back(spark, made, tmp_path):
     assert tables["anova"].count() == 9
     assert tables["outlier_sensitivity"].select("model").distinct().count() == 2
     assert tables["imputed_effects"].count() == 3
+    assert tables["residual_shapiro"].where("w > 0 and w <= 1").count() == 3
+    assert tables["count_models"].where("status = 'fitted'").count() == 12
+    assert tables["moderator_net"].where("term = 'groupIntervention'").count() == 1
     assert tables["moderators"].where("not term rlike '^group.*:'").count() == 0
     assert spark.read.parquet(f"{tmp_path}/wide_scales").columns == [
         "patient", "who5_pre", "who5_post", "bdi_pre", "bdi_post", "zbi_pre", "zbi_post", "group"]
@@ -84,3 +87,18 @@ def test_wellbeing_is_a_percentage(tables):
     assert 0 <= low <= high <= 100
     dated = visits.get_when(got, "tie", "patient")
     assert dated.where("when_dt is null").count() == 0
+
+
+def test_tables_are_written_when_first_asked_for(tables, monkeypatch):
+    made = study(tables)
+    names = []
+    plain = made.scratch.write
+    monkeypatch.setattr(made.scratch, "write", lambda df, name: names.append(name) or plain(df, name))
+    assert made.baseline_rows().count() > 0 and names == []
+    made.missing_scores().count()
+    made.anova().count()
+    made.means().count()
+    made.effect_sizes().count()
+    assert names == ["scored_0", "scored_1", "scored_2", "long", "pairs"]
+    made.remove()
+    assert made.anova().count() == 9 and names[5:] == ["scored_0", "scored_1", "scored_2", "long", "pairs"]

@@ -221,10 +221,31 @@ class _Counts(dict):
         return value
 
 
+def _sums(found: list[np.ndarray], grams: np.ndarray, logs: np.ndarray, order: int) -> np.ndarray:
+    """Sum of ``logs`` over the sequences of each document; ``grams`` are sorted and hold all of them.
+
+    Sequences of all documents are sorted together, the document in the bits below the sequence, so that each different
+    one is looked up once, and in order. A document's sum does not depend on the others.
+    """
+    bits = 64 - 8 * (order + 1)
+    packed = np.concatenate(found).astype(np.uint64) << np.uint64(bits)
+    packed |= np.repeat(np.arange(len(found), dtype=np.uint64), [len(c) for c in found])
+    packed.sort()
+    document = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    codes = (packed >> np.uint64(bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    place = np.searchsorted(grams, codes[first])
+    if not np.array_equal(grams[np.minimum(place, len(grams) - 1)], codes[first]):
+        raise RuntimeError("a sequence was not counted")
+    value = np.repeat(logs[place], np.diff(np.append(first, len(codes))))
+    return np.bincount(document, value, minlength=len(found))
+
+
 def _scored(docs: DataFrame, answers: DataFrame, order: int, n_ends: int) -> DataFrame:
     """Scores of the documents of each chunk from the answers to what it asked."""
     schema = "id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
     names = ["id", "held_out", "n_tokens", "n_known", "log_counts", "score"]
+    most = 1 << 64 - 8 * (order + 1)
 
     def compute(texts: pa.Table, answers: pa.Table) -> pa.Table:
         key, value = answers["key"].to_numpy(), answers["value"].to_numpy()
@@ -232,20 +253,25 @@ def _scored(docs: DataFrame, answers: DataFrame, order: int, n_ends: int) -> Dat
         key, value = key[sort], value[sort]
         first = int(np.searchsorted(key, 0))
         counts, grams, logs = _Counts(key[:first], value[:first]), key[first:], value[first:]
-        out = []
+        n_tokens, n_known, log_counts = [], [], []
+        sums, held, size = [], [], 0
         for text in as_bytes(texts["text"]):
             words = words_of(text)
-            codes = sequences(words, order)
-            place = np.searchsorted(grams, codes)
-            if not np.array_equal(grams[np.minimum(place, len(grams) - 1)], codes):
-                raise RuntimeError("a sequence was not counted")
+            held.append(sequences(words, order))
+            size += len(held[-1])
+            if size > _GATHER or len(held) == most:
+                sums.append(_sums(held, grams, logs, order))
+                held, size = [], 0
             n = np.fromiter(map(counts.__getitem__, words), dtype=np.float64, count=len(words))
             n = np.append(n, n_ends)
-            out.append((len(n), int((n > 0).sum()), float(np.log10(n + 0.5).sum()), float(logs[place].sum())))
-        columns = list(zip(*out)) or [[]] * 4
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            n_tokens.append(len(n))
+            n_known.append(int((n > 0).sum()))
+            log_counts.append(float(np.log10(n + 0.5).sum()))
+        if held:
+            sums.append(_sums(held, grams, logs, order))
         return pa.table([texts["id"].combine_chunks(), texts["held_out"].combine_chunks(),
-                         *[pa.array(c, t) for c, t in zip(columns, types)]], names=names)
+                         pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(log_counts, pa.float64()),
+                         pa.array(np.concatenate([np.zeros(0), *sums]))], names=names)
 
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(compute, schema)
 

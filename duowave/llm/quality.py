@@ -1,9 +1,11 @@
 """Quality rules: robust multivariate outliers among documents of one language and source.
 
-Each document has a vector of transformed text statistics. Per language and source a minimum-covariance-determinant
-estimate (location and scatter of the three quarters of rows that lie closest together) is found by concentration
-steps, and a document is rejected whose squared Mahalanobis distance, less what the count noise of its own few lines and
-words explains, exceeds a chi-square point.
+Each document has a vector of transformed text statistics that vary in any text: word length, marks, short words and
+variety of words. Per language and source a minimum-covariance-determinant estimate (location and scatter of the three
+quarters of rows that lie closest together) is found by concentration steps. Rows of the language's estimate are added to
+those of a language and source, and rows of the general one to those of a language, so that a small group leans on the
+larger one and a large one on itself. A document is rejected whose squared Mahalanobis distance exceeds the F point for
+that many rows.
 """
 
 from __future__ import annotations
@@ -28,35 +30,34 @@ SYMBOLS = b"#*$%&|<>"
 # Vector entries are integers of 1 / GRID below LIMIT * GRID, so that all sums are exact.
 GRID, LIMIT = 1024, 16
 DIMS = 4
-# Shares of repeated lines and of repeated words above which a document is rejected for that alone, in a group without any.
-MOST_LINES, MOST_WORDS = 1 / 2, 1 / 3
-# Count noise of the roots of repeated lines and words: variance times the document's lines or words. Roots of counts vary by
-# a quarter; repeated words come in clumps of six or more, two windows of three words.
-LINE_NOISE, WORD_NOISE = 1 / 4, 6 / 4
 # Share of rows that the estimate rests on, concentration steps, rejection probability of a clean row.
 SUPPORT = 0.75
 STEPS = 5
-REJECT = 1e-5
-# Fewer rows than this are judged by the estimate of their language, or of all rows.
-LEAST_ROWS = 200
+REJECT = 1e-6
+# Rows of the larger group's estimate that are added to those of a group.
+PRIOR_ROWS = 200
 # Bins of log2(1 + distance), and of an entry's value.
 DISTANCE_BINS, VALUE_BINS = 16, 64
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-COUNTS = [*STATS, "n_lines"]
+# What the vector is made of, besides: bytes in words, marks (visible ASCII but letters and digits), words of up to 3 bytes.
+COUNTS = [*STATS, "word_bytes", "n_marks", "n_short", "n_distinct"]
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+SHORT = 3
 
 
-def base_statistics(text: bytes) -> tuple[int, int, int, int, int, int]:
-    """The five counts in ``STATS`` and the number of lines with a word."""
+def base_statistics(text: bytes) -> tuple[int, ...]:
+    """The counts in ``COUNTS``."""
     words = text.split()
     n = len(words)
     joined = b"".join(words)
     # Code points are the bytes that do not continue one.
     chars = int((np.frombuffer(joined, np.uint8) & 0xC0 != 0x80).sum())
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    seen, lines, doubled = set(), 0, 0
+    marks = len(text) - len(text.translate(None, MARKS))
+    short = int((np.fromiter(map(len, words), dtype=np.int64, count=n) <= SHORT).sum())
+    seen, doubled = set(), 0
     for line in text.split(b"\n"):
         if line.split(None, 1):
-            lines += 1
             if line in seen:
                 doubled += 1
             else:
@@ -74,7 +75,7 @@ def base_statistics(text: bytes) -> tuple[int, int, int, int, int, int]:
             for shift in range(3):
                 covered[shift:n - 2 + shift] |= again
             repeated = int(covered.sum())
-    return n, chars, symbols, doubled, repeated, lines
+    return n, chars, symbols, doubled, repeated, len(joined), marks, short, len(set(words))
 
 
 def with_statistics(packed: DataFrame) -> DataFrame:
@@ -84,10 +85,13 @@ def with_statistics(packed: DataFrame) -> DataFrame:
 
     def compute(batches):
         for batch in slices(batches):
-            counts = np.array([base_statistics(t) for t in as_bytes(batch.column("text"))], dtype=np.int64).reshape(-1, 6)
-            n, lines = np.maximum(counts[:, 0], 1), np.maximum(counts[:, 5], 1)
-            vectors = [np.log2(np.maximum(counts[:, 1] / n, 1)), np.sqrt(counts[:, 2] / n),
-                       np.sqrt(counts[:, 3] / lines), np.sqrt(counts[:, 4] / n)]
+            counts = np.array([base_statistics(t) for t in as_bytes(batch.column("text"))], dtype=np.int64).reshape(-1, len(COUNTS))
+            col = dict(zip(COUNTS, counts.T))
+            n, size = np.maximum(col["n_words"], 1), np.maximum(col["word_bytes"], 1)
+            # Shares by arcsine, whose spread does not depend on the share.
+            vectors = [np.log2(np.maximum(col["word_chars"] / n, 1)), np.arcsin(np.sqrt(col["n_marks"] / size)),
+                       np.arcsin(np.sqrt(col["n_short"] / n)),
+                       np.log2(np.maximum(col["n_distinct"], 1)) / np.log2(np.maximum(n, 2))]
             grid = [np.clip(np.rint(v * GRID), 0, LIMIT * GRID - 1).astype(np.int64) for v in vectors]
             arrays = [pa.array(np.ascontiguousarray(counts[:, i])) for i in range(len(COUNTS))] + [pa.array(v) for v in grid]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names)
@@ -120,22 +124,42 @@ def chi2_point(tail: float, dof: int) -> float:
     return high
 
 
+def f_point(tail: float, rows: np.ndarray) -> np.ndarray:
+    """Point with the given upper tail of squared distances of new rows from an estimate of ``rows`` rows, by halving."""
+    n = np.maximum(rows, DIMS + 1).astype(float)
+    rest = n - DIMS
+
+    def beyond(f):
+        y = rest / (rest + DIMS * f)
+        # Closed form for four statistics.
+        return y ** (rest / 2) * (1 + rest / 2 * (1 - y))
+
+    low, high = np.zeros(len(n)), np.ones(len(n))
+    while (more := beyond(high) > tail).any():
+        high = np.where(more, high * 2, high)
+    for _ in range(100):
+        mid = (low + high) / 2
+        above = beyond(mid) > tail
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return DIMS * (n * n - 1) / (n * (n - DIMS)) * high
+
+
 # Factor that makes the scatter of the inner SUPPORT of normal rows unbiased.
 CONSISTENCY = SUPPORT / (1 - chi2_tail(chi2_point(1 - SUPPORT, DIMS), DIMS + 2))
-CUTOFF = chi2_point(REJECT, DIMS)
-# Least standard deviation per entry: log2 of word length, roots of symbols a word, repeated lines and repeated words. A
-# share reaches the cut by itself at its limit above.
-FLOORS = (0.10, 0.06, math.sqrt(MOST_LINES / CUTOFF), math.sqrt(MOST_WORDS / CUTOFF))
+# Variance of rounding to the grid, the least variance of any entry.
+ROUNDING = 1 / 12 / GRID**2
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 _GROUP = ["level", "lang", "source"]
-_ESTIMATE = ("level int, lang string, source string, n long, centre array<double>, precision array<double>")
+_ESTIMATE = "level int, lang string, source string, n long, centre array<double>, scatter array<double>, precision array<double>"
 
 
 def _estimate(key: pd.DataFrame, n: int, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    precision = np.linalg.inv(scatter + np.diag(np.square(FLOORS)))
+    scatter = scatter + ROUNDING * np.eye(DIMS)
+    precision = np.linalg.inv(scatter)
     out = key[_GROUP].head(1).copy()
     out["n"], out["centre"] = n, [centre.tolist()]
-    out["precision"] = [[float(precision[p]) for p in _PAIRS]]
+    for name, matrix in (("scatter", scatter), ("precision", precision)):
+        out[name] = [[float(matrix[p]) for p in _PAIRS]]
     return out
 
 
@@ -169,19 +193,6 @@ def distance() -> Column:
     return sum(parts[1:], parts[0])
 
 
-def noise_credit() -> Column:
-    """Part of ``distance()`` that goes when the floors of ``x2`` and ``x3`` are raised to the document's own count noise."""
-    gap = [F.col(f"x{i}") / float(GRID) - F.col("centre")[i] for i in range(DIMS)]
-    held = {p: F.col("precision")[k] for k, p in enumerate(_PAIRS)}
-    more = {i: F.greatest(noise / F.greatest(F.col(count), F.lit(1)) - FLOORS[i] ** 2, F.lit(0.0))
-            for i, count, noise in ((2, "n_lines", LINE_NOISE), (3, "n_words", WORD_NOISE))}
-    u, v = (sum((held[min(i, j), max(i, j)] * gap[j] for j in range(1, DIMS)), held[0, i] * gap[0]) for i in (2, 3))
-    # Inverse of the scatter with two variances added (Woodbury).
-    a, b = 1 + more[2] * held[2, 2], 1 + more[3] * held[3, 3]
-    both = more[2] * more[3] * held[2, 3]
-    return (more[2] * u * u * b + more[3] * v * v * a - 2 * both * u * v) / (a * b - both * held[2, 3])
-
-
 def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """One step: location and scatter of the rows nearest to the present estimate."""
     there = broadcast_if_small(estimates.select(*[F.col(c).alias(f"g_{c}") for c in _GROUP], "centre", "precision"))
@@ -207,12 +218,53 @@ def _concentrate(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return moments.groupBy(*_GROUP).applyInPandas(fit, _ESTIMATE)
 
 
-def fit_estimates(stats: DataFrame, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``g_lang``, ``g_source``, ``centre`` and ``precision`` for every language and source in ``stats``.
+def _matrices(flat: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(flat), DIMS, DIMS))
+    for k, (i, j) in enumerate(_PAIRS):
+        out[:, i, j] = out[:, j, i] = flat[:, k]
+    return out
+
+
+def _added(own, larger, prior_rows: int):
+    """Rows, centres and scatters of estimates with up to ``prior_rows`` rows of the larger groups' estimates added."""
+    (n, c, s), (m, d, t) = own, larger
+    extra = np.minimum(m, prior_rows)
+    w = (n / (n + extra))[:, None]
+    gap = c - d
+    between = (w * (1 - w))[..., None] * gap[:, :, None] * gap[:, None, :]
+    return n + extra, w * c + (1 - w) * d, w[..., None] * s + (1 - w)[..., None] * t + between
+
+
+def blended(own: DataFrame, by_lang: DataFrame, general: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """``g_lang``, ``g_source``, ``centre``, ``precision`` and ``cutoff`` of every group in ``own``."""
+    def named(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("lang", "source", "n", "centre", "scatter")])
+
+    # Few rows: one per language and source, with its language's and the general estimate.
+    joined = named(own, "a").join(named(by_lang, "b"), F.col("a_lang").eqNullSafe(F.col("b_lang")))
+    joined = joined.withColumn("one", F.lit(0)).join(named(general, "c").withColumn("one", F.lit(0)), "one")
+
+    def blend(parts):
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            e = {tag: (pdf[f"{tag}_n"].to_numpy(float), np.stack(pdf[f"{tag}_centre"]), _matrices(np.stack(pdf[f"{tag}_scatter"])))
+                 for tag in "abc"}
+            n, centre, scatter = _added(e["a"], _added(e["b"], e["c"], prior_rows), prior_rows)
+            precision = np.linalg.inv(scatter)
+            yield pd.DataFrame({"g_lang": pdf["a_lang"], "g_source": pdf["a_source"], "centre": centre.tolist(),
+                                "precision": np.stack([precision[:, i, j] for i, j in _PAIRS], 1).tolist(),
+                                "cutoff": f_point(REJECT, n)})
+
+    return joined.mapInPandas(blend, "g_lang string, g_source string, centre array<double>, precision array<double>, cutoff double")
+
+
+def fit_estimates(stats: DataFrame, steps: int = STEPS, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """``g_lang``, ``g_source``, ``centre``, ``precision`` and ``cutoff`` for every language and source with rows to judge.
 
     ``stats`` comes from :func:`with_statistics` and should be a written table. Rows that fail the base rule do not
-    take part. Each row counts for its language and source, for its language and for all; a language and source of
-    fewer than ``least_rows`` rows gets the estimate of its language, or of all rows if that is small too.
+    take part. Each row counts for its language and source, for its language and for all. Rows of one language and source
+    with equal vectors count once, so that copies do not narrow the scatter.
     """
     scratch = Scratch(stats.sparkSession, "quality")
     text = F.lit(None).cast("string")
@@ -221,41 +273,24 @@ def fit_estimates(stats: DataFrame, steps: int = STEPS, least_rows: int = LEAST_
         F.struct(F.lit(1).alias("level"), F.col("lang"), text.alias("source")),
         F.struct(F.lit(0).alias("level"), text.alias("lang"), text.alias("source"))))
     vector = [f"x{i}" for i in range(DIMS)]
-    rows = stats.where(~base_failed()).select(levels.alias("g"), *vector).select("g.*", *vector)
+    different = scratch.write(stats.where(~base_failed()).select("lang", "source", *vector).distinct(), "vectors")
+    rows = different.select(levels.alias("g"), *vector).select("g.*", *vector)
     estimates = scratch.write(_start(rows), "start")
     for step in range(steps):
         estimates = scratch.write(_concentrate(rows, estimates), f"step_{step}")
-    groups = stats.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct()
-    # One row per language and source, joined with its own, its language's and the general estimate.
-    own = estimates.where(F.col("level") == 2).where(F.col("n") >= least_rows)
-    by_lang = estimates.where(F.col("level") == 1).where(F.col("n") >= least_rows)
-    general = estimates.where(F.col("level") == 0)
-
-    def named(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(F.col("lang").alias(f"{tag}_lang"), F.col("source").alias(f"{tag}_source"),
-                         F.struct("centre", "precision").alias(tag))
-
-    found = groups.join(named(own, "a"), F.col("g_lang").eqNullSafe(F.col("a_lang"))
-                        & F.col("g_source").eqNullSafe(F.col("a_source")), "left")
-    found = found.join(named(by_lang, "b"), F.col("g_lang").eqNullSafe(F.col("b_lang")), "left")
-    found = found.withColumn("one", F.lit(0)).join(
-        general.select(F.lit(0).alias("one"), F.struct("centre", "precision").alias("c")), "one", "left")
-    return scratch.write(found.select("g_lang", "g_source", F.coalesce("a", "b", "c").alias("e"))
-                         .select("g_lang", "g_source", "e.*"), "estimates")
-
+    own, by_lang, general = (estimates.where(F.col("level") == level) for level in (2, 1, 0))
+    return scratch.write(blended(own, by_lang, general, prior_rows), "estimates")
 
-def judge(stats: DataFrame, estimates: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Add ``base_failed``, ``distance2`` and ``kept`` to rows with statistics.
 
-    ``distance2`` is the distance from the estimate; the verdict credits the document's own count noise, so that one
-    repeated line among three is not held against it.
+def judge(stats: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Add ``base_failed``, ``distance2``, ``cutoff`` and ``kept`` to rows with statistics.
 
     Where no row passed the base rule there is no estimate, and none is needed.
     """
     there = broadcast_if_small(estimates)
     joined = stats.join(there, stats["lang"].eqNullSafe(there["g_lang"]) & stats["source"].eqNullSafe(there["g_source"]), "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("distance2", distance()).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2") - noise_credit(), F.lit(0.0)) <= cutoff)
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= F.col("cutoff"), F.lit(True))
     ).drop("g_lang", "g_source", "centre", "precision")
 
 
@@ -266,7 +301,7 @@ def _packed(df: DataFrame, text_col: str, lang_col: str, source_col: str, **othe
 
 def quality_verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                      source_col: str = "source") -> DataFrame:
-    """``id``, ``lang``, ``source``, the counts, ``base_failed``, ``distance2`` and ``kept`` per row, without texts.
+    """``id``, ``lang``, ``source``, the counts, ``base_failed``, ``distance2``, ``cutoff`` and ``kept`` per row, without texts.
 
     Null texts have no words and fail the base rule. Null languages and sources are groups like any other. Rows are
     judged singly, so repeated rows get equal verdicts. An empty table gives no rows. Other columns are not read.
@@ -280,7 +315,8 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     """The rows of ``df`` that are kept, with the columns of ``df``.
 
     Statistics are made twice, once for the estimates and once beside the texts: that costs a second reading, but no
-    text is shuffled or written.
+    text is shuffled or written. Null texts, and empty ones, fail the base rule and go; null languages and sources are
+    groups. Repeated rows stay or go together. An empty table gives no rows. Other columns stay as they are.
     """
     packed = _packed(df, text_col, lang_col, source_col)
     stats = Scratch(df.sparkSession, "statistics").write(with_statistics(packed).drop("text"), "rows")
@@ -293,4 +329,4 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
 def op2(spark, sf_dir: str) -> DataFrame:
     """``op2_robust_outliers``: statistics and verdict of every document."""
     found = quality_verdicts(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), *STATS, "base_failed", "kept", "distance2")
+    return found.select(F.col("id").alias("doc_id"), *STATS, "base_failed", "kept", "distance2", "cutoff")

@@ -87,40 +87,86 @@ def test_base_statistics():
         triples = Counter(zip(w, w[1:], w[2:]))
         covered = {k + s for k in range(len(w) - 2) if triples[tuple(w[k:k + 3])] > 1 for s in range(3)}
         lines = [x for x in t.split("\n") if words(x)]
-        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(lines))
+        marks = sum(c.isascii() and c.isprintable() and not c.isalnum() and c != " " for c in t)
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered),
+                len("".join(w).encode()), marks, sum(len(x.encode()) <= 3 for x in w), len(set(w)))
         assert quality.base_statistics(t.encode()) == want
 
 
 def _robust_brute(vectors):
-    """Concentration steps on whole arrays, from the same start."""
+    """Rows, centre and scatter by concentration steps on whole arrays, from the same start."""
     step = quality.GRID // quality.VALUE_BINS
     value = (vectors // step + 0.5) / quality.VALUE_BINS
 
     def middle(v):
         return np.sort(v)[int(np.ceil(len(v) / 2)) - 1]
 
+    floor = np.eye(4) / 12 / quality.GRID**2
     centre = np.array([middle(v) for v in value.T])
-    scatter = np.diag([(1.4826 * middle(np.abs(v - c))) ** 2 for v, c in zip(value.T, centre)])
+    scatter = np.diag([(1.4826 * middle(np.abs(v - c))) ** 2 for v, c in zip(value.T, centre)]) + floor
     x = vectors / quality.GRID
-
-    def distances():
-        inverse = np.linalg.inv(scatter + np.diag(np.square(quality.FLOORS)))
-        return np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
-
     for _ in range(quality.STEPS):
-        bins = np.floor(np.log2(1 + np.maximum(distances(), 0)) * quality.DISTANCE_BINS)
+        distances = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+        bins = np.floor(np.log2(1 + np.maximum(distances, 0)) * quality.DISTANCE_BINS)
         inner = bins <= np.sort(bins)[min(int(np.ceil(quality.SUPPORT * len(x))), len(x)) - 1]
-        centre, scatter = x[inner].mean(axis=0), quality.CONSISTENCY * np.cov(x[inner].T, bias=True)
-    return distances()
+        centre, scatter = x[inner].mean(axis=0), quality.CONSISTENCY * np.cov(x[inner].T, bias=True) + floor
+    return len(x), centre, scatter
+
+
+def _with_rows_of(own, larger):
+    """Mean and covariance of a sample that has rows of both estimates."""
+    (n, c, s), (m, d, t) = own, larger
+    m = min(m, quality.PRIOR_ROWS)
+    mean = (n * c + m * d) / (n + m)
+    return n + m, mean, (n * (s + np.outer(c - mean, c - mean)) + m * (t + np.outer(d - mean, d - mean))) / (n + m)
 
 
-def test_distances_equal_whole_array_estimate(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("a"))
+def test_verdicts_equal_whole_array_estimates_on_all_levels(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn(
+        "source", F.when(F.col("source") != "src3", F.col("source")))
+    got = quality.quality_verdicts(docs).toPandas()
     stats = quality.with_statistics(quality._packed(docs, "text", "lang", "source", id=docs["doc_id"])).toPandas()
+    stats[["lang", "source"]] = stats[["lang", "source"]].fillna("?")
     fit = stats[(stats.n_words >= 50) & (100 * stats.n_repeat_words <= 50 * stats.n_words)]
-    want = dict(zip(fit.id, _robust_brute(fit[["x0", "x1", "x2", "x3"]].to_numpy())))
-    got = {r["id"]: r["distance2"] for r in quality.quality_verdicts(docs).collect()}
-    assert all(abs(got[i] - d) <= 1e-6 * max(1, d) for i, d in want.items())
+    vector = ["x0", "x1", "x2", "x3"]
+    different = fit.drop_duplicates(["lang", "source", *vector])
+    general = _robust_brute(different[vector].to_numpy())
+    want = {}
+    for lang, here in different.groupby("lang"):
+        by_lang = _with_rows_of(_robust_brute(here[vector].to_numpy()), general)
+        for source, group in here.groupby("source"):
+            n, centre, scatter = _with_rows_of(_robust_brute(group[vector].to_numpy()), by_lang)
+            rows = fit[(fit.lang == lang) & (fit.source == source)]
+            gap = rows[vector].to_numpy() / quality.GRID - centre
+            d = np.einsum("ij,jk,ik->i", gap, np.linalg.inv(scatter), gap)
+            want |= dict(zip(rows.id, zip(d, np.broadcast_to(quality.f_point(quality.REJECT, np.array([n]))[0], len(d)))))
+    assert set(got[~got.base_failed].id) == set(want)
+    for r in got.itertuples():
+        if r.id in want:
+            d, cutoff = want[r.id]
+            assert r.distance2 == pytest.approx(d, rel=1e-6, abs=1e-9) and r.cutoff == pytest.approx(cutoff, rel=1e-9)
+            assert r.kept == (d <= cutoff)
+
+
+def test_point_of_distances():
+    # The tail of F(4, 20) is the beta function's; of many rows it becomes that of chi-square.
+    f = quality.f_point(1e-3, np.array([24]))[0] / (4 * (24 * 24 - 1) / (24 * 20))
+    x = 20 / (20 + 4 * f)
+    assert x**10 * (1 + 10 * (1 - x)) == pytest.approx(1e-3, rel=1e-9)
+    assert quality.f_point(1e-5, np.array([10**7]))[0] == pytest.approx(quality.chi2_point(1e-5, 4), rel=1e-4)
+
+
+def test_constant_estimate_gives_other_verdicts(spark):
+    """The estimates of the groups decide, not only the cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    stats = quality.with_statistics(quality._packed(docs, "text", "lang", "source", id=docs["doc_id"])).persist()
+    estimates = quality.fit_estimates(stats).persist()
+    constant = estimates.orderBy("g_lang", "g_source").limit(1).select("centre", "precision", "cutoff").first()
+    same = estimates.select("g_lang", "g_source", F.lit(constant["cutoff"]).alias("cutoff"),
+                            F.array(*map(F.lit, constant["centre"])).alias("centre"),
+                            F.array(*map(F.lit, constant["precision"])).alias("precision"))
+    one, other = (quality.judge(stats, e).where("NOT base_failed").select("id", F.col("kept").alias(n)) for e, n in ((estimates, "a"), (same, "b")))
+    assert one.join(other, "id").where("a <> b").count() > 20
 
 
 def test_verdicts_follow_the_labels(spark):
@@ -141,10 +187,10 @@ def test_quality_takes_awkward_rows(spark, docs):
 
 def test_repetition_alone_is_rejected(spark):
     rng = random.Random(5)
-    vocabulary = ["".join(rng.choice("aeiou") + rng.choice("rstlmn") for _ in range(2)) for _ in range(900)]
+    vocabulary = ["".join(rng.choice("aeiou") + rng.choice("rstlmn") for _ in range(rng.choice((1, 2, 2, 3)))) for _ in range(2000)]
 
     def prose(n):
-        return " ".join(rng.sample(vocabulary, n))
+        return " ".join(vocabulary[int(2000 * rng.random() ** 3)] for _ in range(n))
 
     # Lines of one word, in an order without a repeated triple: 60 of 65 lines are repeated, and no words.
     lines, seen = ["am"] * 3, {("am",) * 3}
@@ -152,30 +198,15 @@ def test_repetition_alone_is_rejected(spark):
         word = next(w for w in ("os", "ir", "en", "am") if (*lines[-2:], w) not in seen)
         seen.add((*lines[-2:], word))
         lines.append(word)
-    phrase, short = prose(30), "ab cd ef"
-    rows = [(i, prose(120)) for i in range(300)]
-    # Repeated lines, 60 of 134 words in a passage twice, both, then one repeated line among three and few repeated words.
-    rows += [(1000, "\n".join([prose(60), *lines])), (1001, f"{phrase} {prose(74)} {phrase}"),
-             (1002, "\n".join([prose(80), *["ab cd"] * 30])), (1003, "\n".join([short, prose(60), short])), (1004, prose(200))]
+    rows = [(i, prose(rng.randint(60, 250))) for i in range(400)]
+    # Repeated lines, a passage many times, both, then one repeated line among three and an ordinary text.
+    rows += [(1000, "\n".join([prose(60), *lines])), (1001, prose(160) + " " + " ".join([prose(5)] * 24)),
+             (1002, "\n".join([prose(80), *["ab cd"] * 30])), (1003, "\n".join([short := prose(3), prose(60), short])), (1004, prose(200))]
     df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
     got = {r["id"]: r for r in quality.quality_verdicts(df).collect()}
-    assert got[1000]["n_repeat_words"] == 0 and got[1000]["n_dup_lines"] == 62
-    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (1000, 1001, 1002))
-    assert all(r["kept"] for i, r in got.items() if i not in (1000, 1001, 1002))
-
-
-def test_noise_credit_equals_the_inverse(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    stats = quality.with_statistics(quality._packed(docs, "text", "lang", "source", id=docs["doc_id"]))
-    half = np.random.default_rng(1).normal(size=(4, 4)) * 0.1
-    scatter, centre = half @ half.T + np.diag(np.square(quality.FLOORS)), np.array([2.3, 0.1, 0.05, 0.05])
-    precision = np.linalg.inv(scatter)
-    there = stats.withColumn("centre", F.array(*map(F.lit, centre.tolist()))).withColumn(
-        "precision", F.array(*[F.lit(float(precision[p])) for p in quality._PAIRS]))
-    for r in there.withColumn("left", quality.distance() - quality.noise_credit()).collect():
-        more = [0, 0, max(0.25 / max(r["n_lines"], 1) - quality.FLOORS[2] ** 2, 0), max(1.5 / max(r["n_words"], 1) - quality.FLOORS[3] ** 2, 0)]
-        gap = np.array([r[f"x{i}"] / quality.GRID for i in range(4)]) - centre
-        assert r["left"] == pytest.approx(gap @ np.linalg.inv(scatter + np.diag(more)) @ gap, rel=1e-9)
+    assert got[1000]["n_dup_lines"] == 62 and not any(got[i]["base_failed"] for i in (1000, 1001, 1002))
+    assert not any(got[i]["kept"] for i in (1000, 1001, 1002))
+    assert [r for i, r in got.items() if i not in (1000, 1001, 1002) and not r["kept"]] == []
 
 
 # 3 and 7: tokens

@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is reduced to lower-case words without copyright lines, punctuation and spelling variants; the digest of what
+A text is reduced line by line to lower-case words without copyright lines, punctuation and spelling variants; the digest of what
 remains is joined with the digests of known licences. The whole text is one unit, and each line another, for notices.
 DataFrame functions only.
 """
@@ -22,14 +22,12 @@ SPELLINGS = (
     ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("per cent", "percent"),
     ("v2", "version 2"), ("v3", "version 3"),
 )
-# The rule of the SQL twin, which has unwrapped lines only.
-COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 # How a copyright line starts. A line that goes on with one of these words, or ends, is licence wording wrapped there.
 WORDING = (r"(?:notice|holder|owner|licen[cs]e|law|statement|interest|right|term|protection|condition|disclaimer)s?|and|or|in|of|to|"
            r"is|are|as|for|protected|material")
-NOTICE = rf"(?:copyright(?![a-z]|[^a-z0-9\n©]*(?:\n|\z|(?:{WORDING})\b))|\(c\)|©|all rights reserved)[^\n]*"
-# The first word after copyright lines; reading stops there.
-HEAD = rf"(?i)\A(?:[^a-z0-9]*{NOTICE})*[^a-z0-9]*([a-z0-9]+)"
+COPYRIGHT = r"^[^a-z0-9]*copyright(?:[^a-z]|$)"
+WRAPPED = rf"^[^a-z0-9]*copyright[^a-z0-9©]*(?:$|(?:{WORDING})(?:[^a-z0-9]|$))"
+OTHER_NOTICE = r"^[^a-z0-9]*(?:\(c\)|©|all rights reserved)"
 
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
@@ -61,7 +59,7 @@ _BSD_WARRANTY = (
     "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
     "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-# Known texts: published wordings of short licences, and one-line notices.
+# Fixed values, known texts: published wordings of short licences, and one-line notices.
 KNOWN = (
     ("MIT", "MIT License\n" + (_MIT := (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
@@ -93,7 +91,7 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
-# The same texts under other common titles; those of KNOWN stand for texts without a title too.
+# Fixed values, the same texts under other common titles; those of KNOWN stand for texts without a title too.
 TITLES = {
     "MIT": ("The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "The MIT License, MIT"),
     "ISC": ("The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
@@ -110,18 +108,23 @@ _BODIES = {"MIT": _MIT, "ISC": _ISC, "0BSD": _ZERO, "BSD-2-Clause": _BSD_START +
 TITLED = tuple((name, f"{title}\n{_BODIES[name]}") for name, titles in TITLES.items() for title in titles)
 
 
+def is_notice(line: Column) -> Column:
+    """Whether a line in lower case is a copyright line."""
+    return line.rlike(OTHER_NOTICE) | (line.rlike(COPYRIGHT) & ~line.rlike(WRAPPED))
+
+
 def canonical(text: Column) -> Column:
     """Words of a text in lower case, without copyright lines, punctuation and spelling variants; null stays null."""
-    out = F.regexp_replace(F.lower(text), rf"(?m)^[^a-z0-9]*{NOTICE}$", "")
+    out = F.array_join(F.filter(F.split(F.lower(text), "\n"), lambda line: ~is_notice(line)), " ")
     out = F.concat(F.lit(" "), F.regexp_replace(out, "[^a-z0-9]+", " "), F.lit(" "))
     for variant, form in SPELLINGS:
         out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {form} "))
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
-def head(text: Column) -> Column:
-    """First word of a text in lower case, as written; empty if there is none."""
-    return F.lower(F.regexp_extract(text, HEAD, 1))
+def line_head(line: Column) -> Column:
+    """First word of a line in lower case; empty if there is none or the line is a copyright line."""
+    return F.when(is_notice(line), F.lit("")).otherwise(F.regexp_extract(line, "[a-z0-9]+", 0))
 
 
 def digest(text: Column) -> Column:
@@ -158,10 +161,14 @@ def scan(df: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id",
     digests = scratch.write(known_digests(known), "known")
     heads = broadcast_if_small(scratch.write(digests.select(F.explode("heads").alias("head")).distinct(), "heads"))
     docs = with_text_key(keyed_texts(df, id_col, text_col))
-    parts = docs.select("id", "text_key", F.split("text", "\n").alias("lines"), "text")
-    parts = parts.select("id", "text_key", F.size("lines").alias("n"), F.array_append("lines", F.col("text")).alias("units"))
-    units = parts.select("id", "text_key", "n", F.posexplode("units").alias("at", "unit"))
-    begun = units.withColumn("head", head(F.col("unit"))).join(heads, "head", "left_semi")
+    lines = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("unit"), line_head(F.lower(line)).alias("head")))
+    parts = docs.select("id", "text_key", "text", lines.alias("lines"))
+    # A text begins with the first word that any of its lines begins with.
+    first = F.try_element_at(F.filter("lines", lambda line: line["head"] != ""), F.lit(1))["head"]
+    whole = F.struct(F.col("text").alias("unit"), F.coalesce(first, F.lit("")).alias("head"))
+    parts = parts.select("id", "text_key", F.size("lines").alias("n"), F.array_append("lines", whole).alias("units"))
+    units = parts.select("id", "text_key", "n", F.posexplode("units").alias("at", "u")).select("id", "text_key", "n", "at", "u.*")
+    begun = units.join(heads, "head", "left_semi")
     # Null-safe: a plain join would let Spark test all units' digests for null before the heads are looked at.
     there = broadcast_if_small(digests.withColumnRenamed("digest", "d"))
     hits = begun.withColumn("digest", digest(F.col("unit"))).join(there, F.col("digest").eqNullSafe(F.col("d")))
@@ -183,21 +190,22 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def _digest_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '(?m){COPYRIGHT_LINE}', '', 'g')"
+    kept = (f"NOT (regexp_matches(line, '{OTHER_NOTICE}') OR (regexp_matches(line, '{COPYRIGHT}') AND NOT regexp_matches(line, '{WRAPPED}')))")
+    out = f"array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda line: {kept}), ' ')"
     out = f"' ' || regexp_replace({out}, '[^a-z0-9]+', ' ', 'g') || ' '"
     for variant, form in SPELLINGS:
         out = f"replace({out}, ' {variant} ', ' {form} ')"
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
-_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+_VALUES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in (*KNOWN, *TITLED))
 OP6_SQL = f"""
 WITH known AS (
   SELECT words, min(license) AS license
   FROM (SELECT license, {_digest_sql('text')} AS words FROM (VALUES {_VALUES}) AS k(license, text))
   WHERE words <> '' GROUP BY words),
-lines AS (SELECT doc_id, {_digest_sql('line')} AS words
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+lines AS (SELECT doc_id, {_digest_sql('unit')} AS words
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents)),
 notices AS (SELECT doc_id, list_sort(list(DISTINCT license)) AS found FROM lines JOIN known USING (words) GROUP BY doc_id),
 whole AS (SELECT doc_id, {_digest_sql('text')} AS words FROM documents)
 SELECT w.doc_id, k.license, CAST(coalesce(len(found), 0) AS BIGINT) AS n_notices,

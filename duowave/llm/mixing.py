@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is its source's target over its source's size. The whole part is taken for
-certain. For the rest each document has inclusion probability p and a uniform number u, and the documents with the
-smallest odds ratio u / (1 - u) : p / (1 - p) are taken until the words still wanted are reached.
+A source's target over its size gives the whole copies that every document gets for certain. What is left of the target is
+a sample without replacement. In it a document is included with probability p, in proportion to the power of two at or
+below its size, such that the words expected are those wanted. Documents whose p reaches 1 are certain. The others are
+ranked by their random odds over their inclusion odds, u / (1 - u) : p / (1 - p), and the sample is the first of them. Its
+size is fixed in words: it ends where the words are nearest to those wanted.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from duowave.llm.tables import WORD, table
 from duowave.plans.scratch import Scratch
+from duowave.plans.skew import broadcast_if_small
 
 # Weights by order of source, share of all sizes, cap on repeats and seed of the draw.
 WEIGHTS = (5, 2, 1)
@@ -30,10 +33,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: int, id_col: Column) -> Column:
-    """Integer below 2 ** 52 from the leading hex digits of an MD5 of seed and id; null ids share one."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, UNIFORM_BITS // 4), 16, 10).cast("long")
+def draw(seed: int, id_col: Column, key: Column) -> Column:
+    """Hex digits of an MD5 of seed, id and ``key``; null ids and keys count as empty."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in (id_col, key)]
+    return F.md5(F.concat(F.lit(f"{seed}:"), text[0], F.lit(":"), text[1]))
+
+
+def rank(draw_col: Column, p: Column) -> Column:
+    """Whole number below 2 ** 52 that grows with the random odds over the inclusion odds, r as r / (1 + r)."""
+    scale = float(1 << UNIFORM_BITS)
+    u = (F.conv(F.substring(draw_col, 1, UNIFORM_BITS // 4), 16, 10).cast("long").cast("double") + 0.5) / scale
+    out, kept = u * (1 - p), (1 - u) * p
+    return F.least(F.floor(out / (out + kept) * scale), F.lit((1 << UNIFORM_BITS) - 1)).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """Largest power of two up to ``size``; 1 for 0."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.greatest(size, F.lit(1)))) - 1)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT,
@@ -67,28 +83,53 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_per
     return placed.select("source", "source_size", target.alias("target"))
 
 
+def inclusion(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """``source``, ``class``, ``words`` and ``p`` of each class of sizes, from rows with ``size`` and goals with ``left``.
+
+    p is c times the class, at most 1, and c is such that the words expected are ``left``: the largest classes are
+    certain up to the first for which c, made of what then is left, keeps p below 1. At most 63 rows per source.
+    """
+    classes = sizes.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("source").orderBy(F.desc("class"))
+    larger, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    c = (F.col("left") - F.coalesce(F.sum("words").over(larger), F.lit(0))) / F.nullif(F.sum(
+        F.col("class").cast("double") * F.col("words")).over(onward), F.lit(0.0))
+    tried = _by_source(classes, goals.select("source", "left")).withColumn("c", c)
+    first = F.max(F.when(F.col("c") * F.col("class") < 1, F.struct("class", "c"))).over(Window.partitionBy("source"))
+    found = tried.withColumn("first", first)
+    # A source without words expects none, whatever p is.
+    return found.select("source", "class", "words", F.when(F.col("class") <= F.col("first.class"), F.greatest(
+        F.col("first.c") * F.col("class"), F.lit(0.0))).otherwise(1.0).alias("p"))
+
+
 def mix_limits(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT,
                max_copies: int = MAX_COPIES, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
-    """Where each source's sample ends, from a written table of ``id``, ``source``, ``size`` and ``u``.
+    """Where each source's sample ends, from a written table of ``source``, ``size`` and ``draw``.
 
-    Returns one row per source (target, certain copies, limit of u below which all are taken once more) and the
-    rows taken between limit and end. The limit is found by two rounds of binned sums over u, the end by a window over
-    the rows of one bin of a bin; no source is sorted as a whole.
+    Returns one row per source (size, target, certain copies ``whole``, words ``left`` for the sample, and its end: rank,
+    draw, how many of the equal rows there are and how many are taken) and the inclusion probabilities. The end is found
+    by two rounds of binned sums over the ranks, then by a window over the rows of one bin of a bin, equal rows counted
+    beforehand; no source is sorted as a whole.
     """
     scratch = Scratch(sizes.sparkSession, "mix")
     targets = scratch.write(source_targets(sizes, weights, share_percent, max_copies), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = targets.withColumn("whole", whole.cast("long")).withColumn(
-        "left", F.when(F.col("whole") < max_copies, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
-
-    # Words before, and range of u that still holds, the end of each source's sample.
-    state = goals.select("source", "left", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("low"))
+        "left", F.when(F.col("whole") < max_copies, F.greatest(
+            F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).otherwise(0.0))
+    odds = scratch.write(inclusion(sizes, goals), "odds")
+    certain = odds.groupBy("source").agg(F.sum(F.when(F.col("p") >= 1, F.col("words")).otherwise(0)).alias("certain"))
+    ranked = _ranked(sizes, odds).where("p < 1")
+
+    # Words before, and range of ranks that still holds, the end of each source's sample.
+    state = _by_source(goals.select("source", "left"), certain).select(
+        "source", "left", F.col("certain").alias("before"), F.lit(0).cast("long").alias("low"))
     width = 1 << UNIFORM_BITS
     for turn in range(2):
         step = -(-width // bins)
         binned = (
-            _by_source(sizes, state).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width))
-            .groupBy("source", "low", "before", "left", F.expr(f"(u - low) div {step}").alias("bin"))
+            _by_source(ranked, state).where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("low") + width))
+            .groupBy("source", "low", "before", "left", F.expr(f"(v - low) div {step}").alias("bin"))
             .agg(F.sum("size").alias("words"))
         )
         # At most `bins` rows per source.
@@ -101,61 +142,91 @@ def mix_limits(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent
             (F.col("low") + F.coalesce(F.col("at.bin") * step, F.lit(width))).alias("low"))
         state = scratch.write(nxt, f"state_{turn}")
         width = step
-    inside = _by_source(sizes, state).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + width))
-    # Equal u, as repeated rows have, are settled by id and size.
-    upto = F.col("before") + F.sum("size").over(
-        Window.partitionBy("source").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    # The last document is taken if the sum is then no farther from what is wanted than without it.
-    chosen = inside.withColumn("upto", upto).where((F.col("upto") - F.col("left")) * 2 <= F.col("size"))
-    counted = chosen.groupBy("source", "id", "size").agg(F.count("*").alias("n"))
-    limits = goals.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return scratch.write(limits, "limits"), scratch.write(counted, "chosen")
-
-
-def apply_mix(rows: DataFrame, limits: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Add ``source_size``, ``target`` and ``copies`` to rows with ``id``, ``source``, ``size`` and ``u``.
-
-    Of rows equal in id, source and size that stand at the end of a sample, either all are taken or none.
+    inside = _by_source(ranked, state).where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("low") + width)).groupBy(
+        "source", "v", "draw", "size", "before", "left").agg(F.count("*").alias("n"))
+    upto = F.col("before") + F.sum(F.col("size") * F.col("n")).over(
+        Window.partitionBy("source").orderBy("v", "draw").rowsBetween(Window.unboundedPreceding, 0))
+    reached = inside.withColumn("upto", upto).where(F.col("upto") >= F.col("left"))
+    # Of equal rows at the end as many are taken as bring the words nearest to what is wanted.
+    wanted = F.floor((F.col("left") - (F.col("upto") - F.col("size") * F.col("n"))) / F.nullif(F.col("size"), F.lit(0)) + 0.5)
+    end = reached.where("size > 0").groupBy(F.col("source").alias("s")).agg(F.min(F.struct(
+        F.col("v").alias("end_v"), F.col("draw").alias("end_draw"), F.col("n").alias("end_n"), wanted.alias("end_k"))).alias("e"))
+    limits = goals.join(end, F.col("source").eqNullSafe(F.col("s")), "left").select(*goals.columns, "e.*")
+    # A sample that nothing ends holds all.
+    return scratch.write(limits.fillna({"end_v": 1 << UNIFORM_BITS, "end_draw": "", "end_n": 1, "end_k": 1}), "limits"), odds
+
+
+def apply_mix(rows: DataFrame, limits: DataFrame, odds: DataFrame) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to rows with ``source``, ``size`` and ``draw``.
+
+    Rows before the end of their source's sample are in it. Of equal rows at the end some may be in it and some not:
+    these are written and numbered by the parts they were written in, so that a hot row spreads over tasks.
     """
-    last = chosen.select(F.col("source").alias("s"), F.col("id").alias("i"), F.col("size").alias("z"), F.lit(1).alias("extra"))
-    full = _by_source(rows, limits)
-    full = full.join(last, full["source"].eqNullSafe(last["s"]) & full["id"].eqNullSafe(last["i"])
-                     & (full["size"] == last["z"]), "left")
-    extra = F.when(F.col("left") > 0, F.when(F.col("u") < F.col("low"), 1).otherwise(F.coalesce("extra", F.lit(0)))).otherwise(0)
-    return full.select(*rows.columns, "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
-
-
-def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, seed: int = SEED, **others: Column) -> DataFrame:
-    """``id``, ``source``, ``size``, ``u`` and other columns of ``df`` under names that cannot clash."""
-    return df.select(df[id_col].cast("long").alias("id"), df[source_col].cast("string").alias("source"),
-                     size.alias("size"), *[c.alias(n) for n, c in others.items()]
-                     ).withColumn("u", uniform(seed, F.col("id")))
-
-
-def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS,
+    full = _ranked(_by_source(rows, limits), odds)
+    here, end = F.struct("v", "draw"), F.struct("end_v", "end_draw")
+    extra = F.when(F.col("left") <= 0, 0).when((F.col("p") >= 1) | (here < end), 1).when(here == end, F.col("end_k") / F.col("end_n")).otherwise(0)
+    full = full.withColumn("extra", extra.cast("double"))
+    out = [*rows.columns, "source_size", "target"]
+    settled = full.where("extra IN (0, 1)").select(*out, (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
+    if limits.where("left > 0 AND end_k > 0 AND end_k < end_n").isEmpty():
+        return settled
+    scratch = Scratch(rows.sparkSession, "ends")
+    split = full.where("extra > 0 AND extra < 1").select(*out, "whole", "end_k")
+    split = scratch.write(split.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    # Rows of one part are numbered together, after those of the parts before: one row per source and part.
+    part = F.shiftright("_at", 33)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = scratch.write(split.groupBy("source", part.alias("part")).count().select(
+        F.col("source").alias("s"), F.col("part").alias("q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift")), "shifts")
+    at = F.row_number().over(Window.partitionBy("source", "part").orderBy("_at"))
+    placed = split.withColumn("part", part).withColumn("at", at)
+    placed = placed.join(shifts, placed["source"].eqNullSafe(shifts["s"]) & (placed["part"] == shifts["q"]))
+    chosen = (F.col("at") + F.col("shift") <= F.col("end_k")).cast("long")
+    return settled.unionByName(placed.select(*out, (F.col("whole") + chosen).cast("long").alias("copies")))
+
+
+def mix_rows(df: DataFrame, id_col: str, source_col: str, size: Column, key: Column, seed: int = SEED, **others: Column) -> DataFrame:
+    """``source``, ``size``, ``draw`` and other columns of ``df`` under names that cannot clash."""
+    return df.select(df[source_col].cast("string").alias("source"), size.cast("long").alias("size"),
+                     draw(seed, df[id_col], key).alias("draw"), *[c.alias(n) for n, c in others.items()])
+
+
+def pareto_mix(df: DataFrame, id_col: str, source_col: str, size: Column, key: Column, weights: Sequence[int] = WEIGHTS,
                share_percent: int = SHARE_PERCENT, max_copies: int = MAX_COPIES, seed: int = SEED,
                bins: int = BINS) -> DataFrame:
     """``id``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` per row.
 
-    Per source every document is taken floor(target / source_size) times. Among all, those first in Pareto order
-    are taken once more while the words so taken stay nearer to what is left of the target than without. Inclusion
-    odds are equal within a source, so the order by odds ratio is that by u.
+    Per source every document is taken floor(target / source_size) times, and a Pareto sample of the documents once more.
+    ``key`` tells rows of one id apart, as a digest of the text does; rows equal in id and key must be of one size.
 
-    Null texts have size 0. Null sources are one source. Rows of one id share u and are ordered by size; equal rows get
-    equal copies. Empty tables give no rows. Other columns are not read.
+    Null texts have size 0. Null sources are one source, null ids one id. Rows equal in source, id and key are
+    drawn together; where the sample ends among them, only as many are taken as are wanted. Empty tables give no rows.
+    Other columns are not read.
     """
-    sizes = Scratch(df.sparkSession, "sizes").write(mix_rows(df, id_col, source_col, size, seed), "rows")
-    return apply_mix(sizes, *mix_limits(sizes, weights, share_percent, max_copies, bins)).drop("u")
+    sizes = Scratch(df.sparkSession, "sizes").write(
+        mix_rows(df, id_col, source_col, size, key, seed, id=df[id_col].cast("long")), "rows")
+    return apply_mix(sizes, *mix_limits(sizes, weights, share_percent, max_copies, bins)).select(
+        "id", "source", "size", "source_size", "target", "copies")
+
 
+def repeat_by_mix(df: DataFrame, id_col: str, source_col: str, size: Column, key: Column, **options) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it; the limits are small, so no row is shuffled.
 
-def repeat_by_mix(df: DataFrame, id_col: str, source_col: str, size: Column, **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; the limits are small, so no row is shuffled."""
-    sizes = Scratch(df.sparkSession, "sizes").write(mix_rows(df, id_col, source_col, size), "rows")
-    rows = mix_rows(df, id_col, source_col, size, row=F.struct(*[df[c] for c in df.columns]))
+    Nulls, repeated rows and empty tables as in :func:`pareto_mix`; all columns stay as they are.
+    """
+    sizes = Scratch(df.sparkSession, "sizes").write(mix_rows(df, id_col, source_col, size, key), "rows")
+    rows = mix_rows(df, id_col, source_col, size, key, row=F.struct(*[df[c] for c in df.columns]))
     taken = apply_mix(rows, *mix_limits(sizes, **options)).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
+def _ranked(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """Rows with the ``p`` of their source and class, and their rank ``v``."""
+    right = odds.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "p")
+    same = rows["source"].eqNullSafe(right["_source"]) & (size_class(rows["size"]) == right["_class"])
+    return rows.join(broadcast_if_small(right), same).drop("_source", "_class").withColumn("v", rank(F.col("draw"), F.col("p")))
+
+
 def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """Rows with the columns of their source. Spark broadcasts the few sources or splits skewed ones."""
     right = per_source.withColumnRenamed("source", "_source")
@@ -165,38 +236,58 @@ def _by_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     """``op9_pareto_mix``: words each document gives to the mix."""
     docs = table(spark, sf_dir, "documents")
-    mixed = pareto_mix(docs, "doc_id", "source", word_count(docs["text"]))
+    mixed = pareto_mix(docs, "doc_id", "source", word_count(docs["text"]), F.md5("text"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+# Targets by resharing in rounds, the sample by running sums over the whole order.
 OP9_SQL = f"""
-WITH base AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS u
-  FROM documents),
+WITH RECURSIVE base AS (
+  SELECT doc_id, source, size, CAST(1 AS BIGINT) << (length(bin(greatest(size, 1))) - 1) AS class, draw, row_number() OVER () AS rid,
+         (CAST(CAST('0x' || substr(draw, 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+               md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS draw
+        FROM documents)),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
-weighted AS (
-  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM sums),
-ranked AS (
-  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, row_number() OVER o AS place,
-         CAST(coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * 2 AS before,
-         CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weight_left
-  FROM weighted WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, weight, source NULLS LAST)),
-judged AS (
-  SELECT *, (CAST(total * 150 AS DOUBLE) / CAST(100 AS DOUBLE) - before) / weight_left AS level FROM ranked),
-first_open AS (SELECT level FROM judged WHERE NOT source_size * 2 <= level * weight ORDER BY place LIMIT 1),
+shared AS (
+  SELECT source, source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total, count(*) OVER () AS sources, false AS is_full, 0 AS round
+  FROM sums
+  UNION ALL
+  SELECT source, source_size, weight, total, sources, coalesce(is_full OR source_size * 2 <= level * weight, true), round + 1
+  FROM (SELECT *, (CAST(total * 150 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(sum(CASE WHEN is_full THEN source_size * 2 ELSE 0 END) OVER () AS BIGINT))
+                  / nullif(CAST(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS BIGINT), 0) AS level FROM shared)
+  WHERE round <= sources),
+leveled AS (
+  SELECT *, (CAST(total * 150 AS DOUBLE) / CAST(100 AS DOUBLE) - CAST(sum(CASE WHEN is_full THEN source_size * 2 ELSE 0 END) OVER () AS BIGINT))
+            / nullif(CAST(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS BIGINT), 0) AS level
+  FROM shared WHERE round = sources + 1),
 targets AS (
-  SELECT source, source_size, CASE WHEN source_size * 2 <= j.level * weight THEN CAST(source_size * 2 AS DOUBLE)
-         ELSE f.level * weight END AS target
-  FROM judged j LEFT JOIN first_open f ON true),
+  SELECT source, source_size, CASE WHEN is_full THEN CAST(source_size * 2 AS DOUBLE) ELSE level * weight END AS target FROM leveled),
 goals AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+wants AS (
+  SELECT *, CASE WHEN whole < 2 THEN greatest(target - whole * source_size, CAST(0 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END AS wanted FROM goals),
+classes AS (SELECT source, class, CAST(sum(size) AS BIGINT) AS words FROM base GROUP BY source, class),
+tried AS (
+  SELECT c.*, (wanted - CAST(coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
+              / nullif(sum(CAST(class AS DOUBLE) * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS c
+  FROM classes c JOIN wants w ON c.source IS NOT DISTINCT FROM w.source WINDOW o AS (PARTITION BY c.source ORDER BY class DESC)),
+starts AS (SELECT source, max(class) AS first_class, arg_max(c, class) AS c FROM tried WHERE c * class < 1 GROUP BY source),
+odds AS (
+  SELECT t.source, t.class, CASE WHEN t.class <= first_class THEN greatest(s.c * t.class, CAST(0 AS DOUBLE)) ELSE CAST(1 AS DOUBLE) END AS p
+  FROM classes t LEFT JOIN starts s ON t.source IS NOT DISTINCT FROM s.source),
+ranked AS (
+  SELECT b.*, p, w.source_size, w.target, w.whole, w.wanted,
+         CASE WHEN p >= 1 THEN -1 ELSE least(CAST(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * CAST(4503599627370496 AS DOUBLE)) AS BIGINT),
+                                             4503599627370495) END AS v
+  FROM base b JOIN wants w ON b.source IS NOT DISTINCT FROM w.source
+  JOIN odds o ON b.source IS NOT DISTINCT FROM o.source AND b.class = o.class),
 running AS (
-  SELECT b.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS wanted,
-         sum(size) OVER (PARTITION BY b.source ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM base b JOIN goals g ON b.source IS NOT DISTINCT FROM g.source)
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY v, draw, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM ranked)
 SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN wanted > 0 AND whole < 2 AND (upto - wanted) * 2 <= size THEN 1 ELSE 0 END) AS taken
+       size * (whole + CASE WHEN wanted > 0 AND (p >= 1 OR upto < wanted OR (upto - size < wanted AND (upto - wanted) * 2 <= size)) THEN 1 ELSE 0 END)
+         AS taken
 FROM running
 """

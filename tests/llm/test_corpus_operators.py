@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import textwrap
 from collections import Counter, defaultdict
 
@@ -294,6 +295,16 @@ def test_licences(spark):
     assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, "use it while you CAN.")], "doc_id long, text string"), own).collect()] == ["own"]
 
 
+def test_licences_in_very_long_texts(spark):
+    mit = licenses.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 A B\n" * 1_000_000 + mit), (2, "Это не лицензия\n" * 1_000_000), (3, "©" * 3_000_000),
+            (4, "Это не слова\n" * 200_000 + mit + "\n" * 200_000), (5, "copyright " * 300_000), (6, "Copyright\n" * 300_000)]
+    start = time.monotonic()
+    got = {r["id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", []), 2: (None, []), 3: (None, []), 4: ("MIT", []), 5: (None, []), 6: (None, [])}
+    assert time.monotonic() - start < 60
+
+
 def test_known_licences_at_any_line_width(spark):
     rows, want = [], []
     for width in (*range(12, 60, 7), 60, 66, 70, 72, 74, 76, 78, 79, 80, 100):
@@ -372,7 +383,7 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 
 def test_mix_of_awkward_rows(docs):
-    rows = mixing.pareto_mix(docs, "doc_id", "source", mixing.word_count(docs["text"])).collect()
+    rows = mixing.pareto_mix(docs, "doc_id", "source", mixing.word_count(docs["text"]), F.md5("text")).collect()
     assert len(rows) == len(corpus())
     sums, taken, target, largest = Counter(), Counter(), {}, Counter()
     for r in rows:
@@ -384,16 +395,52 @@ def test_mix_of_awkward_rows(docs):
     assert sum(target.values()) == pytest.approx(min(1.5, 2.0) * sum(sums.values()))
     for s in sums:
         assert target[s] <= 2 * sums[s] + 1e-9 and abs(taken[s] - target[s]) <= largest[s]
-    mixed = mixing.repeat_by_mix(docs, "doc_id", "source", mixing.word_count(docs["text"]))
+    mixed = mixing.repeat_by_mix(docs, "doc_id", "source", mixing.word_count(docs["text"]), F.md5("text"))
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["copies"] for r in rows)
-    assert mixing.pareto_mix(docs.limit(0), "doc_id", "source", mixing.word_count(docs["text"])).count() == 0
+    assert mixing.pareto_mix(docs.limit(0), "doc_id", "source", mixing.word_count(docs["text"]), F.md5("text")).count() == 0
 
 
 def test_mix_does_not_depend_on_bins_or_partitions(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
 
     def run(df, bins):
-        return plain(mixing.pareto_mix(df, "doc_id", "source", mixing.word_count(df["text"]), bins=bins).collect())
+        return plain(mixing.pareto_mix(df, "doc_id", "source", mixing.word_count(df["text"]), F.md5("text"), bins=bins).collect())
 
     assert run(docs, 4096) == run(docs.repartition(7), 8) == run(docs, 2)
+
+
+def test_equal_rows_at_the_end_are_taken_one_by_one(spark):
+    text = "a b c d e f g h"
+    rows = [(None, text, "a")] * 400 + [(i, text, "b") for i in range(100)] + [(7, None, "b"), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.pareto_mix(df, "doc_id", "source", mixing.word_count(df["text"]), F.md5("text"), share_percent=70).toPandas()
+    assert len(got) == len(rows)
+    for source, part in got.groupby("source"):
+        assert abs((part["size"] * part["copies"]).sum() - part["target"].iloc[0]) <= 4
+    mixed = mixing.repeat_by_mix(df, "doc_id", "source", mixing.word_count(df["text"]), F.md5("text"), share_percent=70)
+    assert mixed.where("text IS NOT NULL AND text <> ''").count() == got[got["size"] > 0]["copies"].sum()
+
+
+def test_inclusion_frequencies_follow_the_probabilities(spark):
+    sizes = [1, 2, 3, 5, 8, 13, 20, 40, 60, 100] * 12
+    df = spark.createDataFrame([(i, "a", n, seed) for seed in range(150) for i, n in enumerate(sizes)],
+                               "doc_id long, source string, n long, seed long")
+    # Every seed is a source of equal weight, with its own draws.
+    rows = df.select("doc_id", F.concat("source", F.lpad("seed", 3, "0")).alias("source"), "n", "seed")
+    options = {"weights": (1,), "share_percent": 40}
+    taken = mixing.pareto_mix(rows, "doc_id", "source", F.col("n"), F.col("seed"), **options).toPandas()
+    assert (abs((taken["size"] * taken["copies"]).groupby(taken["source"]).sum() - taken.groupby("source")["target"].first()) <= 50).all()
+    seen = taken.groupby("size")["copies"].mean()
+    total = sum(sizes)
+    classes = {n: 1 << n.bit_length() - 1 for n in sizes}
+    wanted, certain = 0.4 * total, set()
+    while True:
+        c = (wanted - sum(n for n in sizes if n in certain)) / sum(n * classes[n] for n in sizes if n not in certain)
+        over = {n for n in sizes if n not in certain and c * classes[n] >= 1}
+        if not over:
+            break
+        certain |= over
+    for n in set(sizes):
+        p = 1.0 if n in certain else c * classes[n]
+        assert seen[n] == pytest.approx(p, abs=4 * math.sqrt(p * (1 - p) / 1800) + 0.02), n

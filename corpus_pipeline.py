@@ -41,7 +41,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weights of the sources ask for."""
-    return mixing.repeat_by_mix(docs, "doc_id", "source", mixing.word_count(docs["text"]))
+    return mixing.repeat_by_mix(docs, "doc_id", "source", mixing.word_count(docs["text"]), F.md5("text"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ SYMBOLS = 255
 CHUNK_BYTES = 32_000_000
 # Training rows are those whose id's CRC-32 does not have this remainder.
 FOLDS, HELD_OUT = 5, 1
-_GATHER = 4_000_000
+_GATHER = 1_000_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -195,8 +195,12 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
                 settle()
                 size = 0
         settle()
-        codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        codes = np.unique(np.concatenate([p[0] for p in parts]))
+        n = np.zeros(len(codes), dtype=np.int64)
+        while parts:
+            # A part holds each of its sequences once.
+            some, times = parts.pop()
+            n[np.searchsorted(codes, some)] += times
         others.difference_update(words)
         keys = np.fromiter((word_key(w) for x in (words, others) for w in x), dtype=np.int64, count=len(words) + len(others))
         times = np.fromiter(words.values(), dtype=np.int64, count=len(words))

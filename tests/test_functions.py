@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -222,3 +223,28 @@ def test_tail_of_one_and_two_degrees_of_freedom():
     for t in (0.1, 1.0, 7.0, 300.0):
         assert float(tails.t_tail(t, 1)) == pytest.approx(2 / math.pi * math.atan(1 / t), rel=1e-10)
         assert float(tails.t_tail(t, 2)) == pytest.approx(2 / (2 + t * t) / (1 + t / math.sqrt(2 + t * t)), rel=1e-10)
+
+
+def test_tails_of_a_whole_batch():
+    rng = np.random.default_rng(3)
+    dof, t = rng.integers(1, 400, 200_000).astype(float), rng.uniform(0, 6, 200_000)
+    start = time.perf_counter()
+    got = tails.t_tail(t, dof)
+    assert time.perf_counter() - start < 20
+    # One by one the values are the same.
+    assert got[:50] == pytest.approx([float(tails.t_tail(a, b)) for a, b in zip(t[:50], dof[:50])], rel=1e-13)
+    quantiles = tails.t_quantile(0.975, dof)
+    assert tails.t_tail(quantiles, dof) == pytest.approx(0.05, rel=1e-11)
+    assert quantiles[dof == 1][0] == pytest.approx(math.tan(0.475 * math.pi), rel=1e-12)
+
+
+def test_error_function_of_a_batch():
+    z = np.concatenate([[0.0], np.geomspace(1e-8, 26, 500)])
+    assert tails.erfc(z) == pytest.approx([math.erfc(v) for v in z], rel=1e-12)
+    assert tails.erfc(40.0) == 0 and tails.erfc([]).shape == (0,)
+
+
+def test_empty_and_unknown_batches():
+    assert tails.inc_beta([], [], []).shape == (0,) and tails.t_quantile(0.975, []).shape == (0,)
+    assert np.isnan(tails.inc_beta([2, np.nan], [3, 1], [0.5, 0.5])).tolist() == [False, True]
+    assert tails.inc_beta(2, 3, [0.0, 1.0]).tolist() == [0.0, 1.0]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,10 @@ TRUE_TOKENS = ("t", "true")
 FALSE_TOKENS = ("f", "false")
 # Size in bytes from which files with quoted line breaks are split.
 SPLIT_ABOVE = 128_000_000
+# Files whose first lines one job reads.
+HEADERS_AT_ONCE = 64
+# Signs of path patterns, which stand for themselves in the name of a file.
+_PATTERN_SIGNS = re.compile(r"[\\\[\]{}*?]")
 
 
 def scan_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,25 +49,31 @@ def _typed(name: str, kind: T.DataType):
     return text.try_cast(kind)
 
 
+def _first_lines(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, str]]:
+    """Name, as a path pattern, and first line of every file that has a line.
+
+    A limit ends a scan after one buffer, so the size of a file does not matter; several files go into a job.
+    """
+    # The listing alone; no content is read.
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    found: list[tuple[str, str]] = []
+    for at in range(0, len(files), HEADERS_AT_ONCE):
+        names = [_PATTERN_SIGNS.sub(r"\\\g<0>", f) for f in files[at:at + HEADERS_AT_ONCE]]
+        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in names]
+        found += [(r["file"], r["value"]) for r in reduce(DataFrame.unionAll, firsts).collect()]
+    return found
+
+
 def _headers(spark: SparkSession, path: str | Sequence[str], form: dict) -> dict[tuple[str, ...], list[str]]:
-    """Files by their cleaned header; only different first lines and file names reach the driver."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
-                 F.col("value")).alias("line"),
-    ).where("line.block = 0")
-    firsts = lines.groupBy("file").agg(F.min("line").alias("line")).groupBy("line.value").agg(F.collect_list("file").alias("files"))
+    """Files by their cleaned header; only first lines and file names reach the driver."""
     found: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts.collect():
-        files = [unquote(f) for f in row["files"]]
-        if row["value"].count('"') % 2:
-            # A quoted line break in the header: such files are opened one by one.
-            cells = [(f, list(spark.read.options(**form).csv(f).first())) for f in files]
+    for file, line in _first_lines(spark, path):
+        if line.count('"') % 2:
+            # A quoted line break in the header.
+            header = list(spark.read.options(**form).csv(file).first())
         else:
-            header = next(csv.reader([row["value"].removeprefix("\ufeff")]), [])
-            cells = [(f, header) for f in files]
-        for file, header in cells:
-            found.setdefault(tuple(clean_header([h or "" for h in header])), []).append(file)
+            header = next(csv.reader([line.removeprefix("\ufeff")]), [])
+        found.setdefault(tuple(clean_header([h or "" for h in header])), []).append(file)
     return found
 
 

@@ -54,6 +54,28 @@ def test_files_with_other_headers(spark, tmp_path):
         ("p", 1, 2, None), ("q", 4, 3, None), ("r", None, None, 5)]
 
 
+def test_headers_are_read_without_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "HEADERS_AT_ONCE", 4)
+    (tmp_path / "long.csv").write_text("id,x\n" + "12345678,some text\n" * 2_000_000, encoding="utf-8")
+    for i in range(5):
+        (tmp_path / f"short{i}.csv").write_text(f"id,x{i}\n1,2\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem
+    files.clearStatistics()
+    got = {name.rsplit("/", 1)[1]: line for name, line in exports._first_lines(spark, str(tmp_path))}
+    read = sum(s.getBytesRead() for s in files.getAllStatistics())
+    assert got == {"long.csv": "id,x", **{f"short{i}.csv": f"id,x{i}" for i in range(5)}}
+    # Of 38 MB.
+    assert 0 < read < 2_000_000
+
+
+def test_file_names_with_pattern_signs(spark, tmp_path):
+    (tmp_path / "a[1].csv").write_text("id,x\n1,2\n", encoding="utf-8")
+    (tmp_path / "a{2,3}*.csv").write_text("id,y\n3,4\n", encoding="utf-8")
+    df = exports.read_export(spark, str(tmp_path), ingest_seq=False)
+    assert sorted(map(tuple, df.select("id", "x", "y").collect())) == [(1, 2, None), (3, None, 4)]
+
+
 def test_halves_with_other_headers_are_written_in_parallel(spark):
     class Views(dict):
         pass

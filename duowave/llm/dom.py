@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -51,6 +52,8 @@ class Page(HTMLParser):
         self.runs: list[tuple[int, list[str]]] = []
         # Open elements: name and block they are in.
         self.open: list[tuple[str, int]] = [("html", 0)]
+        # Places in ``open``, by name, of all but the root.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.hidden = self.links = 0
         self.joined = False
         self.feed(html)
@@ -59,32 +62,36 @@ class Page(HTMLParser):
             for counts in (self.words, self.linked, self.stops):
                 counts[self.parent[i]] += counts[i]
 
+    def _push(self, name: str, node: int) -> None:
+        self.places[name].append(len(self.open))
+        self.open.append((name, node))
+
     def _pop(self) -> None:
         name, _ = self.open.pop()
+        self.places[name].pop()
         self.hidden -= name in HIDDEN
         self.links -= name == "a"
         if name not in INLINE and name not in HIDDEN:
             self.joined = False
 
+    def _nearest(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def _close(self, place: int) -> None:
+        while len(self.open) > place:
+            self._pop()
+
     def _end(self, kinds, limits) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.open[k][0]
-            if name in kinds:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if name in limits:
-                return
+        place = self._nearest(kinds)
+        if place and place >= self._nearest(limits):
+            self._close(place)
 
     def _end_head(self, inner: bool) -> None:
         """Close a head that is still open; with ``inner`` also from inside one of its elements."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == "head":
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if not inner:
-                return
+        place = self._nearest(("head",))
+        if place and (inner or place == len(self.open) - 1):
+            self._close(place)
 
     def handle_starttag(self, name: str, attrs) -> None:
         if name not in IN_HEAD and name != "html":
@@ -110,9 +117,9 @@ class Page(HTMLParser):
             for counts in (self.words, self.linked, self.stops):
                 counts.append(0)
             self.joined = False
-            self.open.append((name, len(self.parent) - 1))
+            self._push(name, len(self.parent) - 1)
         else:
-            self.open.append((name, self.open[-1][1]))
+            self._push(name, self.open[-1][1])
         self.hidden += name in HIDDEN
         self.links += name == "a"
 

@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -141,3 +142,12 @@ def test_query_blocks_and_index_blocks_agree_when_all_is_verified(spark):
     want = _exact(e.vec_id.tolist(), np.array(e.embedding.tolist(), dtype=float))
     found = whole.toPandas().sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list)
     assert all(found[i] == j for i, j in want.items())
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<li>", "<body>", "<td>", "<table><tr>", "<span>"])
+def test_open_elements_take_linear_time(unit):
+    start = time.perf_counter()
+    page = dom.Page(unit * (200_000 // len(unit)) + "end")
+    # 0.2 MB; a walk over all open elements at each start would take minutes.
+    assert time.perf_counter() - start < 20
+    assert "".join(page.runs[-1][1]) == "end"

@@ -107,8 +107,7 @@ def test_results_are_checked_when_read_back(spark, tmp_path):
         exports.read_result_checked(spark, path, schema, ["conf_low"])
 
 
-@pytest.fixture
-def quoted(tmp_path):
+def write_quoted(folder, n_rows, long_lines):
     """Two files with line ends, quotes and commas within cells; one cell is longer than several splits."""
     rng = random.Random(5)
     bits = ["x", " ", ",", '""', "\n", "ä", "\n\n", "1"]
@@ -117,28 +116,30 @@ def quoted(tmp_path):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
         return f'"{text}"' if rng.random() < 0.7 else "plain"
 
-    for name, n in (("one.csv", 300), ("two.csv", 3)):
+    for name, n in (("one.csv", n_rows), ("two.csv", 3)):
         rows = [f"{i},{cell()},{cell()}" for i in range(n)]
-        if n > 100:
-            rows[150] = '150,"' + "long\nline " * 500 + '",end'
-            rows.insert(20, "")
-        (tmp_path / name).write_text('id,"te\nxt",b\n' + "\n".join(rows) + "\n", encoding="utf-8")
-    return str(tmp_path)
+        if n > 3:
+            rows[n // 2] = f'{n // 2},"' + "long\nline " * long_lines + '",end'
+            rows.insert(n // 4, "")
+        (folder / name).write_text('id,"te\nxt",b\n' + "\n".join(rows) + "\n", encoding="utf-8")
+    return str(folder)
 
 
-@pytest.mark.parametrize("split_bytes", [64, 700, 5000])
-def test_quoted_files_are_split(spark, quoted, split_bytes):
+# Intermediate tables are read in splits of the same size, so the smallest splits have fewer rows.
+@pytest.mark.parametrize("split_bytes, n_rows, long_lines", [(64, 12, 20), (700, 300, 500), (5000, 300, 500)])
+def test_quoted_files_are_split(spark, tmp_path, split_bytes, n_rows, long_lines):
+    quoted = write_quoted(tmp_path, n_rows, long_lines)
     whole = exports.read_export(spark, quoted, infer=False, split_above=10**9)
     want = sorted(map(tuple, whole.drop("ingest_seq").collect()), key=repr)
-    assert len(want) == 303
+    assert len(want) == n_rows + 3
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         df = exports.read_export(spark, quoted, infer=False, split_above=0)
         assert sorted(map(tuple, df.drop("ingest_seq").collect()), key=repr) == want
         first = df.where("ingest_seq.file like '%one.csv'").orderBy("ingest_seq")
-        assert [int(r["id"]) for r in first.collect()] == list(range(300))
-        assert df.select("ingest_seq.block").distinct().count() > (10 if split_bytes < 5000 else 1)
+        assert [int(r["id"]) for r in first.collect()] == list(range(n_rows))
+        assert df.select("ingest_seq.block").distinct().count() > ({64: 5, 700: 10, 5000: 1}[split_bytes])
         monkey = pytest.MonkeyPatch()
         monkey.setattr(records, "broadcast_if_small", lambda table: table)
         assert sorted(map(tuple, exports.read_export(spark, quoted, infer=False, split_above=0).drop("ingest_seq").collect()), key=repr) == want

@@ -812,12 +812,13 @@ def mice_pmm(t):
     rows = copies.join(seen, "patient").select("imp", cells.alias("cell")).select("imp", "cell.*")
     given = numbers.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
                                                for c in IMPUTED])).alias("g")).select("g.*").where("value IS NOT NULL").distinct()
-    known = rows.join(given.withColumn("known", F.lit(True)), ["variable", "value"], "left")
     filled = F.col("observed").isNull()
-    return known.groupBy("imp", "variable").agg(
+    counts = rows.groupBy("imp", "variable").agg(
         F.count("*").alias("n_rows"), F.count_if(filled).alias("n_filled"),
-        F.count_if(~filled & ~F.col("value").eqNullSafe(F.col("observed"))).alias("n_changed"),
-        F.count_if(filled & F.col("known").isNull()).alias("n_unseen"))
+        F.count_if(~filled & ~F.col("value").eqNullSafe(F.col("observed"))).alias("n_changed"))
+    # Only fills are looked up among the observed values.
+    unseen = rows.where(filled).join(given, ["variable", "value"], "left_anti").groupBy("imp", "variable").agg(F.count("*").alias("n_unseen"))
+    return counts.join(unseen, ["imp", "variable"], "left").withColumn("n_unseen", F.coalesce("n_unseen", F.lit(0).cast("long")))
 
 
 _PLACES = """

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from duowave.operators.mice import _Cuts, _impute_step, mice_pmm
+from duowave.operators.mice import _Cuts, _impute_step, _spread, mice_pmm
 from duowave.plans.scratch import Scratch
 
 
@@ -122,3 +122,36 @@ def test_repeated_keys_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(1, 1.0, None), (1, 2.0, None), (2, 3.0, 9.0), (3, 1.0, 4.0), (None, 2.0, None)], "patient long, x double, y double")
     got = mice_pmm(df, "patient", ["x", "y"], m=2, rounds=1)
     assert got.count() == 10 and got.where("y is null").count() == 0
+
+
+def test_rows_are_sent_once_per_range(spark):
+    df = spark.createDataFrame([(1, [1.0, 1.5, 9.0]), (2, [8.0, 9.0, 8.5]), (3, [3.0, 1.0, 5.0])], "patient long, at array<double>")
+    sent = _spread(df, 3, _Cuts({0: [2.0, 4.0]}), True)
+    assert rows(sent, "patient", "bucket", "copies", "at") == [
+        (1, 0, [1, 2], [1.0, 1.5]), (1, 2, [3], [9.0]), (2, 2, [1, 2, 3], [8.0, 9.0, 8.5]),
+        (3, 0, [2], [1.0]), (3, 1, [1], [3.0]), (3, 2, [3], [5.0])]
+    assert _spread(df, 3, _Cuts({0: [2.0, 4.0]}), False).where("at is not null").count() == 0
+
+
+def test_donors_within_a_range_are_not_read_again(people, monkeypatch):
+    written, moved = {}, []
+    plain, deal = Scratch.write, type(people).repartition
+
+    def counting(self, df, name):
+        out = plain(self, df, name)
+        written.setdefault(name.split("_")[0], []).append(out.count())
+        return out
+
+    def dealing(self, *by):
+        if by[-1] == "bucket":
+            moved.append(self.count())
+        return deal(self, *by)
+
+    monkeypatch.setattr(Scratch, "write", counting)
+    monkeypatch.setattr(type(people), "repartition", dealing)
+    mice_pmm(people, "patient", ["x", "y", "z"], m=3, rounds=2, bucket_rows=100)
+    gaps = people.selectExpr("count_if(y is null) as y", "count_if(z is null) as z").first()
+    # Gaps and, per copy and range, the outermost donors.
+    assert len(written["found"]) == 6 and max(written["found"]) <= 3 * max(gaps) + 3 * 4 * 20
+    # One exchange per step; a row comes at most once for each of its copies.
+    assert len(moved) == 6 and all(400 <= n <= 3 * 400 for n in moved)

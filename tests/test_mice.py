@@ -143,7 +143,7 @@ def test_donors_within_a_range_are_not_read_again(people, monkeypatch):
         return out
 
     def dealing(self, *by):
-        if by[-1] == "bucket":
+        if by[1:] == ("bucket",):
             moved.append(self.count())
         return deal(self, *by)
 
